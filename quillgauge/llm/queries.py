@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, toxicity
+from . import bpe, langid, neardup, packing, quality, toxicity
 from .shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,5 +37,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_packing, op6_language_id, op8_bpe, op9_quality)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op5_packing, op6_language_id, op8_bpe, op9_quality, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
