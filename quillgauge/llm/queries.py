@@ -6,18 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, packing, quality, toxicity
+from . import bpe, chat, flac, langid, neardup, packing, quality, toxicity, url_filter, warc
 from .shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.format_conversations(chat.as_events(rows.union(probe))))
+
+
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_features(flac.media_table(table(spark, sf_dir, "documents")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -29,6 +44,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -41,5 +61,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_packing, op6_language_id, op8_bpe, op9_quality, op10_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_toxicity, op3_chat, op4_flac, op5_packing, op6_language_id, op7_warc, op8_bpe, op9_quality, op10_near_duplicates)
+}
 ORACLE_SQL: dict[str, str] = {}
