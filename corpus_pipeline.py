@@ -1,8 +1,59 @@
-"""A corpus pipeline: toxicity, language identification, near-duplicates, packing."""
+"""A corpus pipeline: toxicity, language identification, near-duplicates, packing.
 
-STAGES: list = []
+Each stage reads what its predecessor kept, as Parquet.  All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgauge.llm import langid, neardup, packing, toxicity
+from quillgauge.llm.shared import fresh_path, table, tmp_name
+
+#: Least score at which a document counts as text of the language predicted.
+LEAST_LANGUAGE_SCORE = 0.15
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose last category in the chain is at least as likely as not."""
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    p = tmp_name(docs, "p")
+    scored = docs.withColumn(p, toxicity.predictor(chain)(F.col("text")))
+    return scored.where(F.col(f"{p}.{toxicity.FINAL}") < toxicity.THRESHOLD).drop(p)
+
+
+def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters, and those that resemble no learned language."""
+    profiles = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    p = tmp_name(docs, "p")
+    named = docs.withColumn(p, langid.predictor(profiles)(F.col("text")))
+    return named.where((F.col(f"{p}.lang_pred") != langid.UNKNOWN) & (F.col(f"{p}.score") >= LEAST_LANGUAGE_SCORE)).drop(p)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group (five-word shingles, similarity of 0.8 or more)."""
+    drop = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in its sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("language_id", drop_foreign), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
+
+#: Classifiers, profiles and a tokenizer cannot be written in SQL; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = fresh_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs
