@@ -168,6 +168,9 @@ def literal_pattern(term: Column) -> Column:
 
 
 def ngrams(toks: Column, n: int, sep: str = " ") -> Column:
-    """All runs of n tokens, joined."""
-    at = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1)))
-    return F.coalesce(F.transform(at, lambda i: F.array_join(F.slice(toks, i, n), sep)), F.array().cast("array<string>"))
+    """All runs of n tokens, joined: the list zipped with itself shifted."""
+    m = F.greatest(F.size(toks) - (n - 1), F.lit(0))
+    out = F.slice(toks, F.lit(1), m)
+    for j in range(1, n):
+        out = F.zip_with(out, F.slice(toks, F.lit(j + 1), m), lambda a, b: F.concat(a, F.lit(sep), b))
+    return out
