@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import settle
 
@@ -45,8 +46,10 @@ RECALL = 0.9999
 FIRST_DEPTH, LAST_DEPTH = 2, 7
 #: Documents of a node that is compared exhaustively.
 NODE_LIMIT = 512
+#: A large node with this share of its parent's documents holds mostly similar ones and is not branched further.
+ALIKE = 0.6
 #: Documents and shingles of a candidate component that one task confirms, documents of a block, leaders of a round.
-GROUP_DOCS, GROUP_SHINGLES, BLOCK_DOCS, LEADERS = 2000, 4_000_000, 1000, 64
+GROUP_DOCS, GROUP_SHINGLES, BLOCK_DOCS, LEADERS = 8000, 4_000_000, 2000, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,21 +202,25 @@ def candidate_pairs(reps: DataFrame, percent: int, recall: float, node_limit: in
     trees = trees_for(recall, percent, depth=last_depth)
     roots = [F.xxhash64(F.lit("tree"), F.lit(r)) for r in range(trees)]
     sig = F.col("sig")
-    nodes = reps.select(F.explode(F.array(*descend(roots, sig, FIRST_DEPTH))).alias("key"), "rep", "sig", "s0", "s1")
+    nodes = reps.select(F.explode(F.array(*descend(roots, sig, FIRST_DEPTH))).alias("key"), "rep", "sig", "s0", "s1", F.lit(None).cast("long").alias("above"))
     depth, found = FIRST_DEPTH, []
     while True:
-        large = settle(nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where(F.col("n") > node_limit), "large-nodes")
+        large = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("above").alias("above")).where(F.col("n") > node_limit)
+        alike = F.coalesce(F.col("n") >= F.col("above") * ALIKE, F.lit(False)) if depth < last_depth else F.lit(True)
+        large = settle(large.select("key", "n", "least", alike.alias("alike")), "large-nodes")
         leaves = nodes.join(large.select("key"), "key", "left_anti").select("key", "rep", "s0", "s1")
         leaves = leaves.repartition("key").sortWithinPartitions("key", "rep")
         found.append(settle(leaves.mapInArrow(compare_nodes(far_bits(percent)), "x long, y long").distinct(), "pairs"))
         if large.isEmpty():
             break
-        deeper = nodes.join(large.select("key", "least"), "key")
+        # documents that shared so many tokens are taken together as they are
+        whole = nodes.join(large.where("alike").select("key", "least"), "key").where(F.col("rep") != F.col("least"))
+        found.append(settle(whole.select(F.col("least").alias("x"), F.col("rep").alias("y")).distinct(), "pairs"))
+        deeper = nodes.drop("above").join(large.where("not alike").select("key", F.col("n").alias("above")), "key")
+        nodes = settle(deeper.select(F.explode(F.array(*children(F.col("key"), sig))).alias("key"), "rep", "sig", "s0", "s1", "above"), "nodes")
         depth += 1
-        if depth > last_depth:  # documents that shared so many tokens are taken together as they are
-            found.append(deeper.where(F.col("rep") != F.col("least")).select(F.col("least").alias("x"), F.col("rep").alias("y")))
+        if nodes.isEmpty():
             break
-        nodes = settle(deeper.select(F.explode(F.array(*children(F.col("key"), sig))).alias("key"), "rep", "sig", "s0", "s1"), "nodes")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -231,7 +238,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("y", "x"))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("m").alias("x"), "y").where("x <> y").distinct()
+        large = both.join(least, "x").where("y > x").select(F.col("m").alias("x"), "y").where("x <> y")
         below = large.groupBy("y").agg(F.min("x").alias("m"))
         small = large.join(below, "y").select(F.col("m").alias("x"), F.explode(F.array("x", "y")).alias("y")).where("x <> y").distinct()
         edges = settle(small, "edges")
@@ -253,36 +260,50 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (la + lb - shared)
 
 
-def overlaps(sets: list[np.ndarray], queries: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query its number of shared shingles with every set, through an inverted index."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    for q in queries:
-        lo, hi = np.searchsorted(flat, sets[q]), np.searchsorted(flat, sets[q], side="right")
-        n = hi - lo
+class Index:
+    """Which of some sets hold each shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets])
+        owner, flat = np.repeat(np.arange(len(sets)), self.sizes), np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+
+    def central(self) -> np.ndarray:
+        """How widely spread a set's shingles are, on average."""
+        df = np.searchsorted(self.flat, self.flat, side="right") - np.searchsorted(self.flat, self.flat)
+        return np.bincount(self.owner, weights=df, minlength=len(self.sets)) / np.maximum(self.sizes, 1)
+
+    def links(self, q: int, percent: int) -> list[int]:
+        """All sets whose exact similarity to set q reaches the threshold."""
+        lo = np.searchsorted(self.flat, self.sets[q])
+        n = np.searchsorted(self.flat, self.sets[q], side="right") - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        yield q, np.bincount(owner[at], minlength=len(sets))
+        shared = np.bincount(self.owner[at], minlength=len(self.sets))
+        return np.flatnonzero((shared > 0) & (100 * shared >= percent * (self.sizes + self.sizes[q] - shared))).tolist()
 
 
 def confirm(sets: list[np.ndarray], percent: int) -> Forest:
-    """Components of the exact links between the sets."""
+    """Components of the exact links between the sets.
+
+    One set after the other, the most central first, is compared with all,
+    until all sets outside the largest component have been.
+    """
     m, forest = len(sets), Forest(len(sets))
-    leaders: list[int] = []
-    for i in range(m):
-        hits = [j for j in leaders if linked(sets[j], sets[i], percent)]
-        for j in hits:
-            forest.join(i, j)
-        if not hits:
-            leaders.append(i)
-    root = np.array([forest.find(i) for i in range(m)])
-    kinds, counts = np.unique(root, return_counts=True)
-    if m > 2 and len(kinds) > 1:  # links that reach no leader: all that is outside the largest component against all
-        sizes = np.array([len(s) for s in sets])
-        for q, shared in overlaps(sets, np.flatnonzero(root != kinds[counts.argmax()]).tolist()):
-            for j in np.flatnonzero((100 * shared >= percent * (sizes + sizes[q] - shared)) & (shared > 0)).tolist():
-                forest.join(q, j)
+    if m == 2:
+        if linked(*sets, percent):
+            forest.join(0, 1)
+        return forest
+    index = Index(sets)
+    score, waiting = index.central(), np.ones(m, bool)
+    while waiting.any():
+        q = int(np.argmax(np.where(waiting, score, -1.0)))
+        for j in index.links(q, percent):
+            forest.join(q, j)
+        score[q] = -1.0  # asked
+        root = np.array([forest.find(i) for i in range(m)])
+        kinds, counts = np.unique(root, return_counts=True)
+        waiting = (score >= 0) & (root != kinds[counts.argmax()])
     return forest
 
 
@@ -319,10 +340,9 @@ def compare_leaders(width: int, percent: int):
             out = []
             for a, b in zip(edge, edge[1:], strict=False):
                 sets = [shingle_set(x, width) for x in t.column(2).slice(a, b - a).to_pylist()]
-                sizes = np.array([len(s) for s in sets])
-                for q, shared in overlaps(sets, np.flatnonzero(leads[a:b]).tolist()):
-                    hits = np.flatnonzero((100 * shared >= percent * (sizes + sizes[q] - shared)) & (shared > 0))
-                    out += [(reps[a + q], reps[a + j]) for j in hits.tolist() if reps[a + j] != reps[a + q]]
+                index = Index(sets)
+                for q in np.flatnonzero(leads[a:b]).tolist():
+                    out += [(reps[a + q], reps[a + j]) for j in index.links(q, percent) if reps[a + j] != reps[a + q]]
             if out:
                 x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
@@ -330,26 +350,38 @@ def compare_leaders(width: int, percent: int):
     return run
 
 
+def centrality(members: DataFrame) -> DataFrame:
+    """comp, rep, size, score: positions at which a document's signature has its component's most frequent token."""
+    rows = members.select("comp", "rep", "size", "sig").distinct()
+    each = rows.select("comp", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(POSITIONS)), lambda i: F.substring("sig", i, 1))).alias("p", "b"))
+    modes = each.groupBy("comp", "p", "b").count().groupBy("comp", "p").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    usual = modes.groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "b"))), lambda x: x.b).alias("usual"))
+    hits = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda i: F.substring("sig", i + 1, F.lit(1)) == F.get("usual", i))
+    return rows.join(usual, "comp").select("comp", "rep", "size", F.size(hits).alias("score"))
+
+
 def confirm_large(members: DataFrame, width: int, percent: int, block_docs: int = BLOCK_DOCS, leaders: int = LEADERS) -> DataFrame:
-    """id, root for the components too large for one task; members: comp, rep, text, n (documents of comp)."""
+    """id, root for the components too large for one task; members: comp, rep, text, sig, size (shingles), n, all (documents and shingles of comp)."""
     members = settle(members, "members")
-    ids = members.select("comp", "rep").distinct()
+    ids = settle(centrality(members), "centrality")
     asked = links = None
     while True:
         if links is None:
-            waiting = ids
+            waiting, most = ids, leaders // 32
         else:
             roots = components(links)
-            labelled = settle(ids.join(roots, ids.rep == roots.id, "left").select("comp", "rep", F.coalesce("root", "rep").alias("root")), "labelled")
+            labelled = settle(ids.join(roots, ids.rep == roots.id, "left").select("comp", "rep", "size", "score", F.coalesce("root", "rep").alias("root")), "labelled")
             sizes = labelled.groupBy("comp", "root").count().groupBy("comp").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
-            waiting = labelled.join(sizes, ["comp", "root"], "left_anti").join(asked, "rep", "left_anti")
-        # the first by hash: aggregated without gathering a component in one task
-        picked = waiting.groupBy("comp", F.pmod(F.xxhash64("rep"), F.lit(leaders)).alias("slot")).agg(F.min_by("rep", F.xxhash64("rep", F.lit(7))).alias("rep"))
-        picked = settle(picked.select("rep"), "leaders")
+            waiting, most = labelled.join(sizes, ["comp", "root"], "left_anti").join(asked, "rep", "left_anti"), leaders
+        # the most central first; Spark keeps no more than these of each partition before it gathers them
+        rank = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("score"), "rep"))
+        first = waiting.select("comp", "rep", "size", rank.alias("rank")).where(F.col("rank") <= most)
+        held = F.sum("size").over(Window.partitionBy("comp").orderBy("rank"))
+        picked = settle(first.withColumn("held", held).where((F.col("held") <= GROUP_SHINGLES // 2) | (F.col("rank") == 1)).select("rep"), "leaders")
         if picked.isEmpty():
             return labelled.select(F.col("rep").alias("id"), "root")
         asked = picked if asked is None else settle(asked.union(picked), "asked")
-        blocks = F.ceil(F.col("n") / block_docs).cast("int")
+        blocks = F.ceil(F.greatest(F.col("n") / block_docs, F.col("all") * 2 / GROUP_SHINGLES)).cast("int")
         rows = members.select(F.xxhash64("comp", F.pmod(F.xxhash64("rep"), blocks)).alias("block"), "rep", "text", F.lit(False).alias("leads"))
         lead = members.join(picked, "rep", "left_semi").select("comp", "rep", "text", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
         rows = rows.union(lead.select(F.xxhash64("comp", F.col("b").cast("long")), "rep", "text", F.lit(True)))
@@ -370,12 +402,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     else:
         comps = settle(components(pairs).select(F.col("id").alias("rep"), F.col("root").alias("comp")), "components")
         sized = comps.join(reps.select("rep", "n_shingles"), "rep").groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
-        sized = settle(sized.select("comp", "n", ((F.col("n") > group_docs) | (F.col("all") > GROUP_SHINGLES)).alias("big")), "sizes")
-        members = comps.join(sized, "comp").join(texts, F.col("rep") == F.col("doc_id")).select("comp", "rep", "text", "n", "big")
+        sized = settle(sized.select("comp", "n", "all", ((F.col("n") > group_docs) | (F.col("all") > GROUP_SHINGLES)).alias("big")), "sizes")
+        members = comps.join(sized, "comp").join(texts, F.col("rep") == F.col("doc_id")).select("comp", "rep", "text", "n", "all", "big")
         fits = members.where(~F.col("big")).select("comp", "rep", "text").repartition("comp").sortWithinPartitions("comp", "rep")
         roots = settle(fits.mapInArrow(confirm_groups(width, percent), "id long, root long").distinct(), "roots")
         if not sized.where("big").isEmpty():
-            roots = roots.union(confirm_large(members.where("big").drop("big"), width, percent))
+            large = members.where("big").join(reps.select("rep", "sig", F.col("n_shingles").alias("size")), "rep").select("comp", "rep", "text", "sig", "size", "n", "all")
+            roots = roots.union(confirm_large(large, width, percent))
     moved = roots.where("id <> root")
     named = reps.select("h0", "h1", "rep").join(moved, F.col("rep") == F.col("id"), "left").select("h0", "h1", F.coalesce("root", "rep").alias("component"))
     left = sets.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("h0")).alias("a"), F.col("h1").alias("b"))
