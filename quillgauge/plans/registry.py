@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("text", "chunks", "keywords", "joins", "graph", "scores", "stats", "gates", "trends", "review", "testsets")
+MODULES = ("text", "chunks", "keywords", "joins", "graph", "scores", "stats", "gates", "trends", "review", "testsets", "io")
 
 
 def query(name: str, sql: str | None = None):
