@@ -54,7 +54,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,39 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_filter, op2_toxicity, op3_chat, op4_flac, op5_packing, op6_language_id, op7_warc, op8_bpe, op9_quality, op10_near_duplicates)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+def _quality_sql() -> str:
+    """The counts, the sketches and the fences of op9 in SQL."""
+    metrics = [f.metric for f in quality.FENCES]
+    fence = {f.metric: f for f in quality.FENCES}
+    hi = {m: f"b.{m}75 + {quality.REACH} * (b.{m}75 - b.{m}25) + {fence[m].slack}" for m in metrics}
+    lo = {m: f"b.{m}25 - {quality.REACH} * (b.{m}75 - b.{m}25) - {fence[m].slack}" for m in metrics if fence[m].low}
+    broken = " OR ".join([f"r.{m} > {hi[m]}" for m in metrics] + [f"r.{m} < {lo[m]}" for m in lo])
+    at = lambda p: f"min(bucket) FILTER (WHERE rn * 100 >= n * {p})"
+    pick = ", ".join(f"max(CASE WHEN metric = '{m}' THEN CASE WHEN o.n < {quality.MIN_DOCS} THEN p.a{q} ELSE o.a{q} END END) {m}{q}" for m in metrics for q in (25, 75))
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) i FROM w)), rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(i, i + 8)) p FROM rep) GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+s AS (SELECT w.doc_id, lang, source, len(w)::BIGINT n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols, coalesce(dup.n, 0) n_dup_lines, coalesce(cov.n, 0) n_repeat_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
+r AS (SELECT *, floor(word_chars * 1000 / greatest(n_words, 1))::BIGINT word_len, floor(n_symbols * 1000 / greatest(n_words, 1))::BIGINT symbols, floor(n_dup_lines * 1000 / greatest(n_words, 1))::BIGINT dup_lines, floor(n_repeat_words * 1000 / greatest(n_words, 1))::BIGINT repeats FROM s),
+l AS (SELECT lang, source, metric, v - v % CAST(pow(2, greatest(length(bin(v)) - 5, 0)) AS BIGINT) bucket FROM ({' UNION ALL '.join(f"SELECT lang, source, '{m}' metric, {m} v FROM r" for m in metrics)})),
+o AS (SELECT lang, source, metric, any_value(n) n, {at(25)} a25, {at(75)} a75 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, metric ORDER BY bucket) rn, count(*) OVER (PARTITION BY lang, source, metric) n FROM l) GROUP BY ALL),
+p AS (SELECT metric, {at(25)} a25, {at(75)} a75 FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY bucket) rn, count(*) OVER (PARTITION BY metric) n FROM l) GROUP BY 1),
+b AS (SELECT lang, source, {pick} FROM o JOIN p USING (metric) GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR n_repeat_words * 100 > n_words * 30) base_failed, NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND NOT ({broken}) kept
+FROM r JOIN b ON r.lang IS NOT DISTINCT FROM b.lang AND r.source IS NOT DISTINCT FROM b.source"""
+
+
+_ESC = r"replace(replace(replace({}, '\', '\\'), '<|', '\<'), chr(10), '\n')"
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat": rf"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') t FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+g AS (SELECT conv_id, count(*) n_turns, string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn) s, coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') l, string_agg('<|im_start|>' || {_ESC.format('role')} || chr(10) || {_ESC.format('t')} || '<|im_end|>' || chr(10), '' ORDER BY turn) f FROM c GROUP BY 1)
+SELECT conv_id, n_turns, sha256(s) turns_sha256, length(l) loss_chars, sha256(l) loss_sha256, length(f) formatted_chars FROM g""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), f AS (SELECT sha256(h) d, min(page_id) least FROM p WHERE strlen(h) >= 100 GROUP BY 1)
+SELECT page_id, strlen(h) payload_bytes, sha256(h) payload_digest, CASE WHEN least <> page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN least <> page_id THEN least END refers_to FROM p LEFT JOIN f ON sha256(h) = d""",
+    "op9_quality": _quality_sql(),
+}
