@@ -59,8 +59,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
 
 def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from at most ``records`` payloads, cut to SAMPLE_BYTES; empty where there is too little to learn from."""
-    rows = pages.where(F.length("html") > 0).select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-    sample = [r.html.encode()[:SAMPLE_BYTES] for r in rows.orderBy(F.xxhash64("page_id"), "page_id").limit(records).collect()]
+    rows = pages.where((F.length("html") > 0) & F.col("page_id").isNotNull())
+    # ids first: each partition offers the driver its first by hash, which must not be whole payloads
+    ids = [r.page_id for r in rows.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(records).collect()]
+    texts = rows.where(F.col("page_id").isin(ids)).select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(records)
+    sample = [r.html.encode()[:SAMPLE_BYTES] for r in texts.collect()] if ids else []
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 8), sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
