@@ -34,9 +34,11 @@ POOL_TOKENS = 1 << 20
 #: Weights of the linear and the quadratic part of a piece's cost.
 LINEAR, QUADRATIC = 1.0, 1 / 1024
 #: Words whose ids a Python worker remembers.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 MARK = "<|startoftext|>"
+#: Marks that are tokens of their own behind a word.
+MARKS = frozenset(".,;:!?|")
 
 
 def cost(n: int) -> float:
@@ -48,7 +50,7 @@ class WordTokens:
 
     The tokenizer never joins characters across a blank, so a text's ids are
     those of its words in turn; words met before are looked up, and new ones
-    are encoded together, parted by a special token.
+    are encoded together, parted by blanks or a special token.
     """
 
     def __init__(self, path: str):
@@ -62,19 +64,41 @@ class WordTokens:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        safe = []
+        """Encode new words: plain stems once, whatever their case and the mark behind them, then all others."""
+        known, stems, built, others = self.known, {}, [], []
         for w in words:
-            if "<|" in w or not w:
-                self.known[w] = self.plain(w)
+            stem, mark = (w[:-1], w[-1]) if w[-1:] in MARKS else (w, "")
+            if stem.isalpha() and max(stem) < "\u0130":  # letters whose lower case is one letter
+                low = stem.lower()
+                built.append((w, low, mark))
+                if low not in known:
+                    stems[low] = None
+                if mark and mark not in known:
+                    known[mark] = self.plain(mark)
+            elif "<|" in w or not w:
+                known[w] = self.plain(w)
             else:
-                safe.append(w)
-        for i in range(0, len(safe), 4096):
-            part = safe[i : i + 4096]
+                others.append(w)
+        plain = list(stems)
+        for i in range(0, len(plain), 8192):
+            part = plain[i : i + 8192]
+            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
+            begins = np.cumsum([0, *[len(w) + 1 for w in part[:-1]]])
+            own = np.searchsorted(begins, np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc)), side="right") - 1
+            ends = np.cumsum(np.bincount(own, minlength=len(part))) * 4
+            raw, at = np.array(enc.ids, "<u4").tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                known[w] = raw[at:end]
+                at = end
+        for w, low, mark in built:
+            known[w] = known[low] + known[mark] if mark else known[low]
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
             ids = np.array(self.tok.encode(MARK.join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             raw, at = ids.tobytes(), 0
             for w, end in zip(part, [*(cuts * 4).tolist(), len(raw)], strict=True):
-                self.known[w] = raw[at:end]
+                known[w] = raw[at:end]
                 at = end + 4
 
     def ids(self, texts: list[str]) -> list[bytes]:
