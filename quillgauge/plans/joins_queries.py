@@ -17,9 +17,13 @@ PAIRS_SQL = "pr AS (SELECT a.id i, b.id j, na.n ni, nb.n nj, count(*) c FROM {t}
 PHR_SQL = f"{I.ENTITIES_SQL}, {I.PHRASES_SQL}, p AS (SELECT doc_id id, token FROM ph), pn AS (SELECT id, count(*) n FROM p GROUP BY id)"
 COS = "list_cosine_similarity(a.embedding, b.embedding)"
 
+#: Queries named ..._whole take all thirty entities of a document and the reference's thresholds: what that changes in the SQL.
+ALL_ENTITIES = {"FROM ent WHERE rank > 10": "FROM ent"}
 
-def entity_sets(spark, sf):
-    return I.entities(spark, sf).where("rank > 10").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("token").alias("entities"))
+
+def entity_sets(spark, sf, whole=False):
+    ent = I.entities(spark, sf)
+    return (ent if whole else ent.where("rank > 10")).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("token").alias("entities"))
 
 
 def phrase_sets(spark, sf):
@@ -30,14 +34,14 @@ def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-@query("e1_jaccard_join", f"WITH {ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')} SELECT i, j, c common, c / (ni + nj - c) score FROM pr WHERE c / (ni + nj - c) >= 0.1")
-def e1(spark, sf):
-    return S.set_join(entity_sets(spark, sf), "entities", 0.1)
+@query("e1_jaccard_join", f"WITH {ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')} SELECT i, j, c common, c / (ni + nj - c) score FROM pr WHERE c / (ni + nj - c) >= 0.1", whole=ALL_ENTITIES)
+def e1(spark, sf, whole=False):
+    return S.set_join(entity_sets(spark, sf, whole), "entities", 0.1)
 
 
-@query("e1_jaccard_join_prefix", f"WITH {ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')} SELECT i, j, c common, c / (ni + nj - c) score FROM pr WHERE c / (ni + nj - c) >= 0.6")
-def e1p(spark, sf):
-    return S.set_join(entity_sets(spark, sf), "entities", 0.6)
+@query("e1_jaccard_join_prefix", f"WITH {ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')} SELECT i, j, c common, c / (ni + nj - c) score FROM pr WHERE c / (ni + nj - c) >= 0.6", whole=ALL_ENTITIES)
+def e1p(spark, sf, whole=False):
+    return S.set_join(entity_sets(spark, sf, whole), "entities", 0.6)
 
 
 @query("e2_overlap_join", f"WITH {PHR_SQL}, {PAIRS_SQL.format(t='p', n='pn')} SELECT i, j, c common, c / least(ni, nj) score FROM pr WHERE c / least(ni, nj) >= 0.05")
@@ -67,29 +71,29 @@ def e4(spark, sf):
 @query("e5_edges_by_type", f"""
 WITH {PHR_SQL}, e AS (SELECT doc_id id, token FROM ent WHERE rank > 10), en AS (SELECT id, count(*) n FROM e GROUP BY id),
 a AS (WITH {PAIRS_SQL.format(t='e', n='en')} SELECT * FROM pr WHERE c / (ni + nj - c) >= 0.1), b AS (WITH {PAIRS_SQL.format(t='p', n='pn')} SELECT * FROM pr WHERE c / least(ni, nj) >= 0.05)
-SELECT 'jaccard_similarity' AS type, count(*) n FROM a UNION ALL SELECT 'overlap_score', count(*) FROM b""")
-def e5(spark, sf):
-    nodes = entity_sets(spark, sf).join(phrase_sets(spark, sf), "id", "full")
+SELECT 'jaccard_similarity' AS type, count(*) n FROM a UNION ALL SELECT 'overlap_score', count(*) FROM b""", whole=ALL_ENTITIES)
+def e5(spark, sf, whole=False):
+    nodes = entity_sets(spark, sf, whole).join(phrase_sets(spark, sf), "id", "full")
     return S.count_by_type(S.build_edges(nodes))
 
 
-@query("e6_summary_overlap", f"WITH {ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')} SELECT i, j, c common, c / greatest(ni, nj) score FROM pr WHERE c / greatest(ni, nj) > 0.3")
-def e6(spark, sf):
-    return S.set_join(entity_sets(spark, sf), "entities", 0.3, "max", strict=True)
+@query("e6_summary_overlap", f"WITH {ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')} SELECT i, j, c common, c / greatest(ni, nj) score FROM pr WHERE c / greatest(ni, nj) > 0.3", whole=ALL_ENTITIES | {"> 0.3": "> 0.1"})
+def e6(spark, sf, whole=False):
+    return S.set_join(entity_sets(spark, sf, whole), "entities", 0.1 if whole else 0.3, "max", strict=True)
 
 
 @query("e7_entity_overlap", f"""
 WITH {ENT_SQL}, pr AS (SELECT a.id i, b.id j, na.n ni, nb.n nj, count(*) c, string_agg(a.token, ' ' ORDER BY a.token) shared FROM e a JOIN e b ON a.token = b.token AND a.id < b.id JOIN en na ON na.id = a.id JOIN en nb ON nb.id = b.id GROUP BY 1, 2, 3, 4)
-SELECT i, j, c common, c / least(ni, nj) score, shared FROM pr WHERE c / least(ni, nj) > 0.4""")
-def e7(spark, sf):
-    return S.set_join(entity_sets(spark, sf), "entities", 0.4, "overlap", strict=True, shared=True).withColumn("shared", F.array_join("shared", " "))
+SELECT i, j, c common, c / least(ni, nj) score, shared FROM pr WHERE c / least(ni, nj) > 0.4""", whole=ALL_ENTITIES | {"> 0.4": "> 0.2"})
+def e7(spark, sf, whole=False):
+    return S.set_join(entity_sets(spark, sf, whole), "entities", 0.2 if whole else 0.4, "overlap", strict=True, shared=True).withColumn("shared", F.array_join("shared", " "))
 
 
-def _parts(spark, sf):
+def _parts(spark, sf, whole):
     ent = I.entities(spark, sf)
     terms = I.terms(spark, sf)
-    e = ent.where("rank > 10").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("token").alias("words"))
-    t = ent.where("rank > 20").join(terms, F.lower("token") == F.col("term"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.lower("token")).alias("terms"))
+    e = (ent if whole else ent.where("rank > 10")).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("token").alias("words"))
+    t = (ent if whole else ent.where("rank > 20")).join(terms, F.lower("token") == F.col("term"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.lower("token")).alias("terms"))
     p = phrase_sets(spark, sf).withColumnRenamed("keyphrases", "phrases")
     return e.join(p, "id", "full").join(t, "id", "full")
 
@@ -99,17 +103,17 @@ WITH {PHR_SQL}, e AS (SELECT doc_id id, token FROM ent WHERE rank > 10), en AS (
 terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) term FROM benchmark), t AS (SELECT DISTINCT doc_id id, lower(token) token FROM ent WHERE rank > 20 AND lower(token) IN (SELECT term FROM terms)), tn AS (SELECT id, count(*) n FROM t GROUP BY id),
 a AS (WITH {PAIRS_SQL.format(t='e', n='en')} SELECT i, j, c / (ni + nj - c) * 0.4 s FROM pr), b AS (WITH {PAIRS_SQL.format(t='p', n='pn')} SELECT i, j, c / (ni + nj - c) * 0.3 s FROM pr), d AS (WITH {PAIRS_SQL.format(t='t', n='tn')} SELECT i, j, c / (ni + nj - c) * 0.3 s FROM pr),
 u AS (SELECT i, j, sum(s) score FROM (FROM a UNION ALL FROM b UNION ALL FROM d) GROUP BY 1, 2 HAVING sum(s) > 0.2)
-SELECT i source, j target, round(score, 9) score FROM u UNION ALL SELECT j, i, round(score, 9) FROM u""")
-def e8(spark, sf):
-    return S.content_similarity_join(_parts(spark, sf), 0.2).withColumn("score", F.round("score", 9))
+SELECT i source, j target, round(score, 9) score FROM u UNION ALL SELECT j, i, round(score, 9) FROM u""", whole=ALL_ENTITIES | {"rank > 20 AND ": ""})
+def e8(spark, sf, whole=False):
+    return S.content_similarity_join(_parts(spark, sf, whole), 0.2).withColumn("score", F.round("score", 9))
 
 
 @query("e9_threshold_sweep", f"""
 WITH {ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')}, s AS (SELECT c / (ni + nj - c) score FROM pr), g AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.8])::DOUBLE threshold)
-SELECT threshold, count(score) edges, round(coalesce(avg(score), 0), 9) avg_score FROM g LEFT JOIN s ON score >= threshold GROUP BY 1""")
-def e9(spark, sf):
+SELECT threshold, count(score) edges, round(coalesce(avg(score), 0), 9) avg_score FROM g LEFT JOIN s ON score >= threshold GROUP BY 1""", whole=ALL_ENTITIES)
+def e9(spark, sf, whole=False):
     grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.5, 0.8)))).alias("threshold"))
-    return S.threshold_sweep(S.set_join(entity_sets(spark, sf), "entities", 0.1), grid).withColumn("avg_score", F.round("avg_score", 9))
+    return S.threshold_sweep(S.set_join(entity_sets(spark, sf, whole), "entities", 0.1), grid).withColumn("avg_score", F.round("avg_score", 9))
 
 
 @query("e10_lexical_search", r"""
@@ -144,9 +148,9 @@ def e12(spark, sf):
 @query("e13_multi_hop_edges", f"""
 WITH {ENT_SQL}, n AS (SELECT vec_id id, embedding FROM embeddings), x AS (SELECT * FROM e WHERE id IN (SELECT id FROM n)), xn AS (SELECT id, count(*) n FROM x GROUP BY id), {PAIRS_SQL.format(t='x', n='xn')}
 SELECT 'summary' AS type, count(*) n, round(sum(round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 5)), 1) total FROM n a, n b WHERE a.id < b.id AND list_cosine_similarity(a.embedding, b.embedding) > 0.3
-UNION ALL SELECT 'entity', count(*), round(sum(c / (ni + nj - c)), 1) FROM pr UNION ALL SELECT 'content', count(*), round(sum(c / (ni + nj - c)), 1) FROM pr WHERE c / (ni + nj - c) > 0.2 AND c > 5""")
-def e13(spark, sf):
-    nodes = vectors(spark, sf).join(entity_sets(spark, sf), "id", "left").withColumn("words", F.col("entities"))
+UNION ALL SELECT 'entity', count(*), round(sum(c / (ni + nj - c)), 1) FROM pr UNION ALL SELECT 'content', count(*), round(sum(c / (ni + nj - c)), 1) FROM pr WHERE c / (ni + nj - c) > 0.2 AND c > 5""", whole=ALL_ENTITIES)
+def e13(spark, sf, whole=False):
+    nodes = vectors(spark, sf).join(entity_sets(spark, sf, whole), "id", "left").withColumn("words", F.col("entities"))
     return S.multi_hop_edges(nodes).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("score"), 1).alias("total"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,11 +16,22 @@ ORACLE_SQL: dict[str, str] = {}
 MODULES = ("text", "chunks", "keywords", "joins", "graph", "scores", "stats", "gates", "trends", "review", "testsets", "io", "streams")
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, whole: dict[str, str] | None = None, whole_sql: bool = True):
+    """Registers a query; with ``whole``, also ``<name>_whole``: the function called with whole=True, and the SQL with these parts replaced."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = sql
+        if whole is not None:
+            QUERIES[f"{name}_whole"] = partial(f, whole=True)
+            if sql and whole_sql:
+                other = sql
+                for old, new in whole.items():
+                    if old not in other:
+                        raise ValueError(f"{name}: its SQL lacks {old!r}")
+                    other = other.replace(old, new)
+                ORACLE_SQL[f"{name}_whole"] = other
         return f
 
     return add
@@ -36,4 +48,4 @@ def load() -> None:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     load()
-    return QUERIES["h6_gcr"](spark, sf_dir)
+    return QUERIES["h6_gcr_whole"](spark, sf_dir)

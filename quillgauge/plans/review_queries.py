@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import review as R
 from . import inputs as I
-from .graph_queries import GCR_SQL
+from .graph_queries import ALL_EDGES, GCR_SQL
 from .registry import QUERIES, query, table
 from .stats_queries import rounded
 
@@ -112,9 +112,9 @@ def m13(spark, sf):
 
 
 @query("m14_diagnose_gaps", f"""WITH RECURSIVE {GCR_SQL}, sr AS (SELECT query_id, round(se::DOUBLE, 6) se, round(sc::DOUBLE, 6) sc, round(ph::DOUBLE, 6) ph FROM sc), gp AS (SELECT query_id, 'connectivity' gap, 0.5 - sc severity FROM sr WHERE sc < 0.5 UNION ALL SELECT query_id, 'coverage', 0.4 - se FROM sr WHERE se < 0.4 UNION ALL SELECT query_id, 'hub_noise', ph - 0.3 FROM sr WHERE ph > 0.3)
-SELECT query_id, gap, round(severity, 6) severity, row_number() OVER (PARTITION BY query_id ORDER BY severity DESC, gap) AS position FROM gp""")
-def m14(spark, sf):
-    return rounded(R.diagnose_gaps(QUERIES["h6_gcr"](spark, sf)), "severity", n=6)
+SELECT query_id, gap, round(severity, 6) severity, row_number() OVER (PARTITION BY query_id ORDER BY severity DESC, gap) AS position FROM gp""", whole=ALL_EDGES)
+def m14(spark, sf, whole=False):
+    return rounded(R.diagnose_gaps(QUERIES["h6_gcr_whole" if whole else "h6_gcr"](spark, sf)), "severity", n=6)
 
 
 @query("m15_propose_patch")

@@ -1,0 +1,48 @@
+"""Queries over all entities against brute force on the smallest tables."""
+
+import re
+from collections import Counter
+
+import pytest
+
+from quillgauge.plans import registry
+
+SF = "/root/testdata/sf0.001"
+registry.load()
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
+    """Every pair of documents whose top thirty entities have a Jaccard of 0.1 or more."""
+    sets = {}
+    for r in registry.table(spark, SF, "documents").select("doc_id", "text").collect():
+        found = re.findall("[一-鿿]{2,}|[A-Za-z]{3,}", r.text or "")
+        top = sorted(Counter(found).items(), key=lambda x: (-x[1], found.index(x[0])))[:30]
+        sets[r.doc_id] = {w for w, _ in top}
+    out = {}
+    for i in sets:
+        for j in sets:
+            if i < j and (c := len(sets[i] & sets[j])) and c / len(sets[i] | sets[j]) >= 0.1:
+                out[i, j] = c
+    return sets, out
+
+
+def test_all_entities_are_joined(spark, pairs):
+    got = {(r.i, r.j): r.common for r in registry.QUERIES["e1_jaccard_join_whole"](spark, SF).collect()}
+    assert got == pairs[1]
+    assert len(got) > registry.QUERIES["e1_jaccard_join"](spark, SF).count()
+
+
+def test_components_of_all_edges(spark, pairs):
+    root = {i: i for i in pairs[0]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs[1]:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    got = {r.id: r.component for r in registry.QUERIES["g11_components_whole"](spark, SF).collect()}
+    assert got == {i: find(i) for i in root}
