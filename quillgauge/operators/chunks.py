@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.session import settle
 
+#: Between the documents of a unit.
+SEPARATOR = "\n\n--- Document ---\n\n"
 ENDINGS, QUOTES = ".?!。？！；", "\"'”’」』）)]"
 
 
@@ -135,33 +139,92 @@ def pack_passages(docs: DataFrame, most: int = 500, least: int = 60) -> DataFram
     return d.select("doc_id", "pos", F.array_join(F.slice("s", F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), " ").alias("passage")).where(F.length("passage") >= least)
 
 
-def aggregate_documents(docs: DataFrame, key: str, target: int, least: int, most: int, overlap: int = 0) -> DataFrame:
-    """Units of a category: documents in order joined up to ``target`` tokens; a rest below ``least`` is dropped.
+def unit_saves(ahead: np.ndarray, starts: np.ndarray, target: int, least: int, most: int) -> np.ndarray:
+    """For each start, the first document before which a unit is saved; len(ahead) - 1 if there is none.
 
-    The fold runs over token counts alone, grouped by category and a salt of
-    document ids so that a large category is many groups.
+    ``ahead`` are the running token counts, 0 first; a start is the running
+    count at which its unit is empty.  A unit is saved before a document if it
+    has tokens and would pass ``most``, or has ``least`` and would pass
+    ``target``; both only come true once as counts run on.
     """
-    rows = docs.select(key, "doc_id", F.size(T.words(F.col("text"))).alias("n"))
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        out, unit, total, k = [], [], 0, 0
-        for doc_id, n in f.sort_values("doc_id")[["doc_id", "n"]].itertuples(index=False):
-            if unit and total + n > most:
-                if total >= least:
-                    out += [(f[key].iloc[0], k, d, total) for d in unit]
-                    k += 1
-                unit, total = [], 0
-            unit.append(doc_id)
-            total += n
-            if total >= target:
-                out += [(f[key].iloc[0], k, d, total) for d in unit]
-                unit, total, k = (unit[-overlap:] if overlap else []), 0, k + 1
-        if unit and total >= least:
-            out += [(f[key].iloc[0], k, d, total) for d in unit]
-        return pd.DataFrame(out, columns=[key, "unit", "doc_id", "tokens"])
-
-    salted = rows.withColumn("block", F.floor(F.col("doc_id") / 1000))
-    return salted.groupBy(key, "block").applyInPandas(lambda f: fold(f).assign(block=f["block"].iloc[0]), f"{key} string, unit int, doc_id long, tokens long, block long")
+    over = np.maximum(np.searchsorted(ahead, starts, "right"), np.searchsorted(ahead, starts + most, "right") - 1)
+    full = np.maximum(np.searchsorted(ahead, starts + least, "left"), np.searchsorted(ahead, starts + target, "right") - 1)
+    return np.minimum(np.minimum(over, full), len(ahead) - 1)
+
+
+def aggregate_documents(docs: DataFrame, key: str, target: int, least: int, most: int, overlap: int = 0, ids: int = 1000) -> DataFrame:
+    """key, unit, doc_id, tokens: documents of a category in order, joined into units of tokens.
+
+    A unit is saved before a document that takes it over ``most``, or over
+    ``target`` once it has ``least``; only the last rest of a category is
+    dropped, if below ``least``.  With an overlap a unit begins with the last
+    4 * ``overlap`` characters of the one before, whose tokens count.
+
+    Token counts are folded in blocks of document ids.  After the first unit
+    that a block saves, its fold does not depend on the blocks before; so each
+    block tells its outcome for every document that can be the first to be
+    saved before, a pass over these finds the tokens that enter each block,
+    and the blocks are folded with them.  An overlap depends on texts of the
+    blocks before, so a category is one block then.
+    """
+    if not 0 < least <= target <= most:
+        raise ValueError("needs 0 < least <= target <= most")
+    last = F.expr(f"right(text, {4 * overlap})") if overlap else F.lit("")
+    block = F.lit(0).cast("long") if overlap else F.floor(F.col("doc_id") / ids)
+    rows = settle(docs.select(F.col(key).alias("k"), block.alias("block"), "doc_id", F.greatest(F.size(T.words(F.col("text"))), F.lit(0)).cast("long").alias("n"), F.coalesce(last, F.lit("")).alias("tail")), "units")
+
+    def ordered(f: pd.DataFrame) -> pd.DataFrame:
+        return f.sort_values(["doc_id", "n", "tail"])
+
+    def outcomes(f: pd.DataFrame) -> pd.DataFrame:
+        n = ordered(f)["n"].to_numpy(dtype=np.int64)
+        ahead = np.concatenate([[0], np.cumsum(n)])
+        saves, out, units = unit_saves(ahead, ahead[:-1], target, least, most), [0] * len(n), [0] * len(n)
+        for p in range(len(n) - 1, -1, -1):
+            q = saves[p]
+            out[p], units[p] = (int(ahead[-1] - ahead[p]), 0) if q == len(n) else (out[q], units[q] + 1)
+        k = int(unit_saves(ahead, np.array([0]), target, least, most)[0]) + 1  # any unit that has tokens is saved by then
+        return pd.DataFrame([(f["k"].iloc[0], f["block"].iloc[0], ahead[: k + 1].tolist(), out[:k], units[:k], int(ahead[-1]))], columns=["k", "block", "ahead", "out", "units", "total"])
+
+    def enter(f: pd.DataFrame) -> pd.DataFrame:
+        got, tokens, unit = [], 0, 0
+        for b in f.sort_values("block").itertuples(index=False):
+            got.append((b.k, b.block, tokens, unit))
+            ahead = np.asarray(b.ahead, dtype=np.int64)
+            p = int(unit_saves(ahead, np.array([-tokens]), target, least, most)[0])
+            if p < len(b.out):
+                tokens, unit = int(b.out[p]), unit + 1 + int(b.units[p])
+            else:
+                tokens += int(b.total)
+        out = pd.DataFrame(got, columns=["k", "block", "tokens_in", "unit_in"])
+        return out.assign(dropped=unit if tokens < least else -1)
+
+    def fold(f: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        out, tokens, unit, dropped = [], int(at["tokens_in"].iloc[0]), int(at["unit_in"].iloc[0]), int(at["dropped"].iloc[0])
+        carried, text, empty = 0, "", True
+        for doc_id, n, tail in ordered(f)[["doc_id", "n", "tail"]].itertuples(index=False):
+            if tokens and (tokens + n > most or tokens >= least and tokens + n > target):
+                text = text[-4 * overlap :] if overlap else ""
+                tokens = carried = len(text.split())
+                unit, empty = unit + 1, not text
+            if overlap:
+                text = (text if empty else text + SEPARATOR) + tail
+                text, empty = text[-4 * overlap :], not text
+            tokens += n
+            out.append((f["k"].iloc[0], unit, doc_id, n, carried))
+        if overlap and tokens >= least:
+            dropped = -1
+        elif overlap:
+            dropped = unit
+        got = pd.DataFrame(out, columns=["k", "unit", "doc_id", "n", "carried"])
+        return got[got["unit"] != dropped]
+
+    kind = dict(rows.dtypes)["k"]
+    told = rows.groupBy("k", "block").applyInPandas(outcomes, f"k {kind}, block long, ahead array<long>, out array<long>, units array<long>, total long")
+    entries = told.groupBy("k").applyInPandas(enter, f"k {kind}, block long, tokens_in long, unit_in long, dropped long")
+    got = rows.groupBy("k", "block").cogroup(entries.groupBy("k", "block")).applyInPandas(fold, f"k {kind}, unit long, doc_id long, n long, carried long")
+    tokens = F.sum("n").over(Window.partitionBy("k", "unit")) + F.col("carried")
+    return got.select(F.col("k").alias(key), "unit", "doc_id", tokens.alias("tokens"))
 
 
 def multi_hop_groups(docs: DataFrame, budget: int, per: int = 3) -> DataFrame:

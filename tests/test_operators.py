@@ -1,5 +1,8 @@
 """Hand-made fixtures for single operators."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillgauge.operators import chunks, gcr, graph, quality, simjoin, stats
@@ -65,3 +68,35 @@ def test_verdicts(spark):
     th = spark.createDataFrame([("A", 0.9, 0.8, False), ("B", 0.5, 0.4, False)], "metric string, warning double, critical double, lower_better boolean")
     k = spark.createDataFrame([("r1", "A", 0.95), ("r1", "B", 0.5), ("r2", "A", 0.85), ("r2", "B", 0.6), ("r3", "A", 0.75), ("r3", "B", 0.6)], "run_id string, metric string, value double")
     assert {r.run_id: r.verdict for r in stats.verdict(k, th).collect()} == {"r1": "Ready", "r2": "At Risk", "r3": "Blocked"}
+
+
+def fold_documents(docs, target, least, most, overlap=0):
+    """The reference's balanced aggregation of (doc_id, text): unit numbers and tokens of documents."""
+    out, unit, text, tokens, k = [], [], "", 0, 0
+
+    def save():
+        out.extend((k, d, tokens) for d in unit)
+
+    for doc_id, content in docs:
+        n = len(content.split())
+        if text and (tokens > 0 and tokens + n > most or tokens >= least and tokens + n > target):
+            save()
+            k, unit, text = k + 1, [], text[-overlap * 4 :] if overlap else ""
+            tokens = len(text.split())
+        text += ("\n\n--- Document ---\n\n" if text else "") + content
+        tokens += n
+        unit.append(doc_id)
+    if tokens >= least:
+        save()
+    return out
+
+
+@pytest.mark.parametrize("overlap", [0, 5])
+def test_aggregate_documents_is_the_sequential_fold(spark, overlap):
+    rng = random.Random(5)
+    sizes = {"a": lambda: rng.choice([0, 1, 3, 9, 40, 130]), "b": lambda: rng.randint(0, 2), "few": lambda: 4, "long": lambda: rng.choice([2, 90, 300])}
+    docs = [(i, s, " ".join(f"w{rng.randint(0, 9)}" for _ in range(sizes[s]()))) for i in range(400) for s in sizes if s != "few" or i % 90 == 0]
+    got = chunks.aggregate_documents(spark.createDataFrame(docs, "doc_id long, source string, text string"), "source", 60, 15, 100, overlap, ids=7).collect()
+    want = [(s, *r) for s in sizes for r in fold_documents([(i, t) for i, x, t in docs if x == s], 60, 15, 100, overlap)]
+    assert sorted((r.source, r.unit, r.doc_id, r.tokens) for r in got) == sorted(want)
+    assert {"few", "long"} <= {r.source for r in got} and any(r.tokens < 15 for r in got)
