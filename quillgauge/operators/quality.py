@@ -66,11 +66,46 @@ def normalized(question: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(question), r"[^\p{L}\p{N}_]+", " "))
 
 
+def ratio_candidates(texts: DataFrame, t: float) -> DataFrame:
+    """i, j of all pairs i < j of different texts (id, norm) that can reach the ratio t of difflib.
+
+    A ratio 2m / s of s characters in all means a common subsequence of m >= t s / 2
+    characters.  Each character outside it costs a text three trigrams, or two
+    where it stands in the other one, so the texts share 5 m - 2 s - 2 trigrams
+    or more, counted with repeats; texts of n characters at most differ so that
+    s >= 2 n / (2 - t).  Trigrams are numbered by occurrence and the rare prefix
+    of each text that this bound leaves is joined.  Where s is so small that the
+    bound asks for no trigram, pairs are joined by their lengths.
+    """
+    need = lambda s: F.ceil((2.5 * t - 2) * s - 2 - 1e-9)
+    n = F.length("norm")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda k: F.substring(F.col("norm"), k, F.lit(3)))
+    rows = texts.select("id", n.alias("n"), F.posexplode(grams).alias("pos", "gram"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))).select("id", "n", F.concat("gram", "k").alias("gram"))
+    df = rows.groupBy("gram").agg(F.count("*").alias("df"))
+    sets = settle(rows.join(df, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g")).select("id", "n", F.transform("g", lambda x: x.gram).alias("g")), "grams")
+    least = F.greatest(need(2 * F.col("n") / (2 - t)), F.lit(1))
+    index = sets.select("id", "n", F.explode(F.slice("g", 1, F.greatest(F.size("g") - least + 1, F.lit(0)).cast("int"))).alias("g"))
+    a = index.select(F.col("id").alias("i"), F.col("n").alias("ni"), "g")
+    b = index.select(F.col("id").alias("j"), F.col("n").alias("nj"), "g")
+    fits = 2 * F.least("ni", "nj") >= t * (F.col("ni") + F.col("nj")) - 1e-9
+    cand = a.join(b, "g").where("i < j").where(fits).select("i", "j", "ni", "nj").distinct()
+    both = cand.join(sets.select(F.col("id").alias("i"), F.col("g").alias("gi")), "i").join(sets.select(F.col("id").alias("j"), F.col("g").alias("gj")), "j")
+    out = both.where(F.size(F.array_intersect("gi", "gj")) >= need(F.col("ni") + F.col("nj"))).select("i", "j")
+    most = 3 / (2.5 * t - 2) if t > 0.8 else float("inf")
+    if most * (1 - t) <= 1:
+        return out  # different texts of so few characters miss the ratio
+    lengths = texts.select("id", n.alias("n"))
+    x = lengths.select(F.col("id").alias("i"), F.col("n").alias("ni"), F.explode(F.sequence(F.floor(F.col("n") * t / (2 - t)), F.ceil(F.col("n") * (2 - t) / t))).alias("nj"))
+    short = x.join(lengths.select(F.col("id").alias("j"), F.col("n").cast("long").alias("nj")), "nj").where("i < j").where(fits)
+    return out.union(short.where(F.col("ni") + F.col("nj") < most).select("i", "j")).distinct()
+
+
 def fuzzy_dedup(samples: DataFrame, t: float = 0.92) -> DataFrame:
     """Samples (id, question) without an earlier kept one of the same normalised text or a ratio of at least t.
 
-    Candidates share half of their character trigrams; the ratio is that of
-    difflib, batch by batch on candidates only.
+    The ratio is that of difflib, of the later text to the earlier one, batch
+    by batch on all pairs that can reach it.
     """
     rows = samples.withColumn("norm", normalized(F.col("question")))
     first = rows.groupBy("norm").agg(F.min("id").alias("id"))
@@ -78,14 +113,12 @@ def fuzzy_dedup(samples: DataFrame, t: float = 0.92) -> DataFrame:
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
-    grams = F.array_distinct(F.regexp_extract_all("norm", F.lit("(?=(.{1,3}))"), F.lit(1)))
-    cand = set_join(base.select("id", grams.alias("g")), "g", 0.5)
-    text = base.select("id", "norm")
+    text = settle(base.select("id", "norm"), "texts")
+    cand = ratio_candidates(text, t)
     both = cand.join(text.select(F.col("id").alias("i"), F.col("norm").alias("a")), "i").join(text.select(F.col("id").alias("j"), F.col("norm").alias("b")), "j")
-    la, lb = F.length("a"), F.length("b")
-    edges = both.where(2 * F.least(la, lb) >= t * (la + lb)).where(ratio("a", "b") >= t).select(F.col("i").alias("x"), F.col("j").alias("y"))
+    edges = both.where(ratio("b", "a") >= t).select(F.col("i").alias("x"), F.col("j").alias("y"))
     return greedy_keep(base, edges).drop("norm")
 
 

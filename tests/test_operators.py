@@ -1,5 +1,6 @@
 """Hand-made fixtures for single operators."""
 
+import difflib
 import random
 
 import pytest
@@ -100,3 +101,25 @@ def test_aggregate_documents_is_the_sequential_fold(spark, overlap):
     want = [(s, *r) for s in sizes for r in fold_documents([(i, t) for i, x, t in docs if x == s], 60, 15, 100, overlap)]
     assert sorted((r.source, r.unit, r.doc_id, r.tokens) for r in got) == sorted(want)
     assert {"few", "long"} <= {r.source for r in got} and any(r.tokens < 15 for r in got)
+
+
+@pytest.mark.parametrize("t", [0.92, 0.85, 0.7])
+def test_fuzzy_dedup_is_the_sequential_pass(spark, t):
+    rng = random.Random(4)
+    letters = "abcdefgh "
+    texts = ["".join(rng.choice(letters) for _ in range(n)).strip() for n in (3, 6, 7, 12, 30, 60, 100, 100, 240)] + ["na" * 40, "what is the highest surface temperature that the steel plate may reach before it is checked"]
+    rows = []
+    for x in texts:
+        rows.append(x)
+        for share in (0.02, 0.1, 0.17, 0.3):
+            y = list(x)
+            for at in sorted(rng.sample(range(len(x)), max(1, int(len(x) * share))), reverse=True):
+                y.insert(at, rng.choice("xyz"))
+            rows += ["".join(y), x[: len(x) // 2] + x[len(x) // 2 + 1 :]]
+    rows = [" ".join(x.split()) for x in rows]
+    kept = []
+    for i, x in enumerate(rows):
+        if not any(x == rows[k] or difflib.SequenceMatcher(None, x, rows[k]).ratio() >= t for k in kept):
+            kept.append(i)
+    got = quality.fuzzy_dedup(spark.createDataFrame(list(enumerate(rows)), "id long, question string"), t)
+    assert sorted(r.id for r in got.collect()) == kept
