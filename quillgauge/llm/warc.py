@@ -34,8 +34,10 @@ from .shared import fresh_path
 
 #: Payloads of fewer bytes are always archived whole.
 REVISIT_BYTES = 100
-#: Records of the training sample (the first by a hash of the id), bytes of each that are used, size of the dictionary.
+#: Different payloads of the training sample (the first by their digests), bytes of each that are used, size of the dictionary.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 16_384, 65_536
+#: Windows, spread evenly from head to end, that a longer payload is read in.
+WINDOWS = 4
 #: Compressed bytes after which a new archive begins.
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
@@ -58,12 +60,16 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
 
 
 def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from at most ``records`` payloads, cut to SAMPLE_BYTES; empty where there is too little to learn from."""
-    rows = pages.where((F.length("html") > 0) & F.col("page_id").isNotNull())
-    # ids first: each partition offers the driver its first by hash, which must not be whole payloads
-    ids = [r.page_id for r in rows.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(records).collect()]
-    texts = rows.where(F.col("page_id").isin(ids)).select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(records)
-    sample = [r.html.encode()[:SAMPLE_BYTES] for r in texts.collect()] if ids else []
+    """A dictionary from at most ``records`` different payloads, whole or in windows of SAMPLE_BYTES in all; empty where there is too little to learn from."""
+    rows = pages.where((F.length("html") > 0) & F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    digest = F.sha2("html", 256)
+    # ids first: each partition offers the driver its first by digest, which must not be whole payloads
+    ids = [r.page_id for r in rows.groupBy(digest.alias("digest")).agg(F.min("page_id").alias("page_id")).orderBy("digest").limit(records).collect()]
+    n, width = F.length("html"), SAMPLE_BYTES // WINDOWS
+    at = [F.floor((n - width) * k / (WINDOWS - 1)).cast("int") + 1 for k in range(WINDOWS)]
+    parts = F.when(n <= SAMPLE_BYTES, F.array("html")).otherwise(F.array(*[F.substring(F.col("html"), x, F.lit(width)) for x in at]))
+    chosen = rows.where(F.col("page_id").isin(ids)).select(digest.alias("digest"), parts.alias("parts")).dropDuplicates(["digest"]).orderBy("digest").limit(records)
+    sample = [x.encode()[:SAMPLE_BYTES] for r in chosen.collect() for x in r.parts] if ids else []
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 8), sample).as_bytes()
     except (zstandard.ZstdError, ValueError):

@@ -27,17 +27,17 @@ def a1(spark, sf):
 JSON_SQL = "j AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN to_json({'text': left(text, 100)})::VARCHAR WHEN doc_id % 3 = 1 THEN to_json({'display': source, 'cause': left(text, 30), 'remedy': lang})::VARCHAR ELSE left(text, 50) END AS raw FROM documents)"
 
 
-def _json(spark, sf):
+def _json(spark, sf, whole=False):
     d = F.col("doc_id") % 3
-    text = lambda n: F.substring("text", 1, n)
+    text = lambda n: F.col("text") if whole else F.substring("text", 1, n)
     return table(spark, sf, "documents").select(
         "doc_id", F.when(d == 0, F.to_json(F.struct(text(100).alias("text")))).when(d == 1, F.to_json(F.struct(F.col("source").alias("display"), text(30).alias("cause"), F.col("lang").alias("remedy")))).otherwise(text(50)).alias("raw")
     )
 
 
-@query("a2_extract_json_content", "SELECT doc_id, content FROM (SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN left(text, 100) WHEN doc_id % 3 = 1 THEN source || chr(10) || left(text, 30) || chr(10) || lang ELSE left(text, 50) END) content FROM documents) WHERE length(content) >= 20")
-def a2(spark, sf):
-    return A.extract_json_content(_json(spark, sf), "raw").select("doc_id", "content")
+@query("a2_extract_json_content", "SELECT doc_id, content FROM (SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN left(text, 100) WHEN doc_id % 3 = 1 THEN source || chr(10) || left(text, 30) || chr(10) || lang ELSE left(text, 50) END) content FROM documents) WHERE length(content) >= 20", whole={"left(text, 100)": "text", "left(text, 30)": "text", "left(text, 50)": "text"})
+def a2(spark, sf, whole=False):
+    return A.extract_json_content(_json(spark, sf, whole), "raw").select("doc_id", "content")
 
 
 @query("a3_render_json_template", "SELECT event_id, 'k=' || coalesce(props ->> '$.k', '') || ' z=' AS rendered FROM events")

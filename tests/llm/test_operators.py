@@ -249,3 +249,13 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert before * 0.7 < len(kept) <= before - labels * 0.5
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == kept and isinstance(docs.schema["doc_id"].dataType, T.LongType)
+
+
+def test_dictionary_learns_from_different_payloads_and_their_ends(spark):
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    common = " ".join(noise(9) for _ in range(60))
+    rows = [(i, None, noise(40_000) + common) for i in range(40)]
+    copies = [(100 + i, None, "hot " + "page " * 40) for i in range(400)]
+    dictionary = warc.train_dictionary(spark.createDataFrame(rows + copies, "page_id long, url string, html string"), records=41)
+    assert common[100:200].encode() in dictionary
