@@ -1,8 +1,11 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories are predicted one after the other.  Each category has its own
-logistic regression over word-presence features; the probabilities of earlier
-categories are further inputs of the later ones.  In training these inputs
+logistic regression over the presence of every word of MIN_DOCS documents or
+more; a word's input is the smaller the less its chi-square is above what the
+best of so many unrelated words would reach, so that weak words stay in use
+without drowning the strong ones.  The probabilities of earlier categories are
+further inputs of the later ones.  In training these inputs
 are out-of-fold predictions, so that a later model sees them as noisy as they
 will be in use.
 
@@ -29,13 +32,13 @@ from pyspark.sql import functions as F
 
 WORDS = re.compile(r"\w+")
 #: Seed words of the two weakly labelled categories; a toxic document that has one of them belongs to the category.
+#: Where no labelled toxic document has one, the words most typical of toxic documents are dealt to the category instead.
 CATEGORIES = {
     "insult": ("idiot", "moron", "clown", "loser", "stupid"),
     "degradation": ("trash", "scum", "worthless", "pathetic", "disgusting"),
 }
 FINAL = "toxic"
 MAX_ROWS = 6000
-FEATURES = 64
 FOLDS = 5
 RIDGE = 0.05
 MIN_DOCS = 5
@@ -54,24 +57,52 @@ def distinct_words(text: Column) -> Column:
     return distinct(text)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
-    """Weights (the intercept last) by Newton's method with a ridge penalty on all but the intercept."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    pen = np.full(x1.shape[1], ridge)
+def sigmoid(m: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+
+
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, dense: np.ndarray, y: np.ndarray, used: np.ndarray, ridge: float = RIDGE, rounds: int = 150, memory: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the words, and of the dense inputs with the intercept last, by L-BFGS with a ridge penalty on all but the intercept.
+
+    Row rows[k] has word cols[k], whose input is scale[cols[k]]; only rows of ``used`` count.
+    """
+    n, d = len(y), len(scale)
+    keep = used[rows]
+    rows, cols = rows[keep], cols[keep]
+    dense = np.hstack([dense, np.ones((n, 1))])
+    pen = np.full(d + dense.shape[1], ridge)
     pen[-1] = 1e-6
-    w = np.zeros(x1.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(pen)
-        step = np.linalg.solve(h, x1.T @ (p - y) + pen * w)
-        w -= np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-7:
-            break
-    return w
 
+    def value(w):
+        z = np.bincount(rows, (w[:d] * scale)[cols], n) + dense @ w[d:]
+        g = (sigmoid(z) - y) * used
+        loss = ((np.logaddexp(0, z) - y * z) * used).sum() + (pen * w * w).sum() / 2
+        return loss, np.concatenate([np.bincount(cols, g[rows], d) * scale, dense.T @ g]) + pen * w
 
-def sigmoid(m: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+    w, past = np.zeros(len(pen)), []
+    f, g = value(w)
+    for _ in range(rounds):
+        q, backs = g.copy(), []
+        for s, t in reversed(past):
+            backs.append(s @ q / (s @ t))
+            q -= backs[-1] * t
+        q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.linalg.norm(g), 1)
+        for (s, t), a in zip(past, reversed(backs), strict=True):
+            q += s * (a - t @ q / (s @ t))
+        step = 1.0
+        w2, (f2, g2) = w - q, value(w - q)
+        while f2 > f - 1e-4 * step * (q @ g) and step > 1e-6:
+            step /= 2
+            w2, (f2, g2) = w - step * q, value(w - step * q)
+        if f2 > f:
+            break
+        if (g2 - g) @ (w2 - w) > 1e-12:
+            past = [*past, (w2 - w, g2 - g)][-memory:]
+        done = f - f2 < 1e-6 * abs(f)
+        w, f, g = w2, f2, g2
+        if done:
+            break
+    return w[:d] * scale, w[d:]
 
 
 @dataclass(frozen=True)
@@ -96,23 +127,25 @@ class Chain:
         return out
 
 
-def pick_words(bags: list[list[str]], y: np.ndarray, k: int, min_docs: int = MIN_DOCS) -> list[str]:
-    """The k words of the largest chi-square against y, ties by word."""
+def word_scores(bags: list[list[str]], y: np.ndarray, min_docs: int = MIN_DOCS) -> tuple[dict[str, float], float, set[str]]:
+    """Chi-square against y of every word of min_docs documents, what the best of so many unrelated words would reach, and the words more frequent where y is 1."""
     df, pos = Counter(), Counter()
     for bag, label in zip(bags, y, strict=True):
         df.update(bag)
         if label:
             pos.update(bag)
     n, p = len(bags), float(y.sum())
-    score = {}
-    for w, c in df.items():
-        if c >= min_docs:
+    score, more = {}, set()
+    for w in sorted(df):
+        if (c := df[w]) >= min_docs:
             e = c * p / n
             score[w] = (pos[w] - e) ** 2 / max(e * (1 - c / n) * (1 - p / n), 1e-9)
-    return sorted(score, key=lambda w: (-score[w], w))[:k]
+            if pos[w] > e:
+                more.add(w)
+    return score, 2 * float(np.log(max(len(score), 2))), more
 
 
-def fit_chain(bags: list[list[str]], labels: dict[str, np.ndarray], folds: np.ndarray, features: int = FEATURES) -> Chain:
+def fit_chain(bags: list[list[str]], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
     """Fit the models in the order of ``labels``; ``folds`` numbers each row's fold."""
     links, earlier = [], np.zeros((len(bags), 0))
     for category, y in labels.items():
@@ -121,27 +154,29 @@ def fit_chain(bags: list[list[str]], labels: dict[str, np.ndarray], folds: np.nd
             links.append(Link(category, {}, (0.0,) * earlier.shape[1], float(np.log(base / (1 - base)))))
             earlier = np.hstack([earlier, np.full((len(bags), 1), base)])
             continue
-        chosen = pick_words(bags, y, features)
-        at = {w: i for i, w in enumerate(chosen)}
-        x = np.zeros((len(bags), len(chosen)))
-        for i, bag in enumerate(bags):
-            x[i, [at[w] for w in bag if w in at]] = 1
-        x = np.hstack([x, earlier])
+        score, level, _ = word_scores(bags, y)
+        at = {w: i for i, w in enumerate(score)}
+        scale = np.minimum(1, np.array([*score.values()], float) / level)
+        found = [[at[w] for w in bag if w in at] for bag in bags]
+        row, col = np.repeat(np.arange(len(bags)), [len(x) for x in found]), np.array([k for x in found for k in x], np.int64)
         oof = np.zeros(len(bags))
         for f in np.unique(folds):
             out, rest = folds == f, folds != f
             if rest.sum() and 0 < y[rest].sum() < rest.sum():
-                w = fit_logistic(x[rest], y[rest])
-                oof[out] = sigmoid(x[out] @ w[:-1] + w[-1])
+                w, v = fit_logistic(row, col, scale, earlier, y, rest)
+                oof[out] = sigmoid(np.bincount(row, w[col], len(y)) + earlier @ v[:-1] + v[-1])[out]
             else:
                 oof[out] = y.mean()
-        w = fit_logistic(x, y)
-        k = len(chosen)
-        links.append(Link(category, dict(zip(chosen, map(float, w[:k]), strict=True)), tuple(map(float, w[k:-1])), float(w[-1])))
+        w, v = fit_logistic(row, col, scale, earlier, y, np.ones(len(y), bool))
+        links.append(Link(category, dict(zip(score, map(float, w), strict=True)), tuple(map(float, v[:-1])), float(v[-1])))
         earlier = np.hstack([earlier, oof[:, None]])
     return Chain(tuple(links))
 
 
+def weak_labels(bags: list[list[str]], toxic: np.ndarray, seeds: set[str]) -> np.ndarray:
+    return np.array([t > 0 and not seeds.isdisjoint(b) for t, b in zip(toxic, bags, strict=True)], float)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> Chain:
     """Fit the chain on at most ``max_rows`` labelled documents, the first by a hash of the id."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -151,7 +186,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: i
     rows = rows.sort_values(["doc_id"], kind="stable")
     bags = [list(b) for b in rows["bag"]]
     toxic = rows["toxic"].to_numpy(dtype=float) if len(rows) else np.zeros(0)
-    y = {c: np.array([t > 0 and not set(seeds).isdisjoint(b) for t, b in zip(toxic, bags, strict=True)], float) for c, seeds in CATEGORIES.items()}
+    y = {c: weak_labels(bags, toxic, set(seeds)) for c, seeds in CATEGORIES.items()}
+    if missing := [c for c in y if (toxic > 0).any() and not y[c].any()]:
+        score, level, more = word_scores(bags, (toxic > 0).astype(float))
+        typical = sorted((w for w in more if score[w] > level), key=lambda w: (-score[w], w))
+        y |= {c: weak_labels(bags, toxic, set(typical[k :: len(missing)])) for k, c in enumerate(missing)}
     y[FINAL] = (toxic > 0).astype(float)
     return fit_chain(bags, y, (rows["doc_id"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64)) % folds)
 

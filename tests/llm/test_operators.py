@@ -259,3 +259,20 @@ def test_dictionary_learns_from_different_payloads_and_their_ends(spark):
     copies = [(100 + i, None, "hot " + "page " * 40) for i in range(400)]
     dictionary = warc.train_dictionary(spark.createDataFrame(rows + copies, "page_id long, url string, html string"), records=41)
     assert common[100:200].encode() in dictionary
+
+
+def test_toxicity_keeps_every_word_and_finds_its_categories(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(2400):
+        words = [f"w{k}" for k in rng.integers(0, 50, 20)]
+        if i % 2 == 0:
+            words[5] = f"vile{i // 2 % 100}"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 2 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(d, chain).collect()}
+    assert all(got[i].is_toxic == bool(t) for i, t in labels)
+    assert all(len(link.words) == 150 for link in chain.links)
+    assert any(r.insult > 0.5 for r in got.values()) and any(r.degradation > 0.5 for r in got.values())
