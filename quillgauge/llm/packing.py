@@ -12,12 +12,16 @@ what is left over at the end of a partition becomes sequences whose lengths are
 powers of two, which need no padding.
 
 Edge cases: a null or empty text is a document of the end token alone; equal
-and repeated rows are packed separately; ties go to the smaller id; an empty
-table gives no pieces; other columns are ignored.
+and repeated rows are packed separately; of pieces as long, the one whose
+document came first goes first, and of sequences that cost the same the first
+is taken; a very long text is tokenised whole, in memory in proportion to it,
+and cut into full sequences; a null doc_id stays null; an empty table gives no
+pieces; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,12 +37,32 @@ CAPACITY = 2048
 POOL_TOKENS = 1 << 20
 #: Weights of the linear and the quadratic part of a piece's cost.
 LINEAR, QUADRATIC = 1.0, 1 / 1024
-#: Words whose ids a Python worker remembers.
+#: Pieces of text whose ids a Python worker remembers.
 REMEMBER = 1_000_000
+#: Bytes of text that are tokenised together (more where a single text is longer).
+CHUNK_BYTES = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-MARK = "<|startoftext|>"
-#: Marks that are tokens of their own behind a word.
-MARKS = frozenset(".,;:!?|")
+SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
+
+
+def byte_classes() -> np.ndarray:
+    """Class of each byte: 0 blank, 1 letter, 2 digit, 3 punctuation, 4 apostrophe, 5 all others."""
+    out = np.full(256, 5, np.uint8)
+    out[0x21:0x7F] = 3
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    out[ord("0") : ord("9") + 1] = 2
+    out[ord("a") : ord("z") + 1] = 1
+    out[ord("'")] = 4
+    return out
+
+
+BYTE_CLASS = byte_classes()
+#: The character that stands for each byte in the vocabulary: itself if it is printable, else the next from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHAR = dict(zip((b for b in range(256) if b not in _SHOWN), map(chr, range(256, 512)), strict=False))
+
+PLAIN_LETTERS, PLAIN_MARKS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"), re.compile(rb"[!-&(-/:-@\[-`{-~]+")
+
 
 
 def cost(n: int) -> float:
@@ -46,69 +70,107 @@ def cost(n: int) -> float:
 
 
 class WordTokens:
-    """Ids of texts as the tokenizer gives them, by words between blanks.
-
-    The tokenizer never joins characters across a blank, so a text's ids are
-    those of its words in turn; words met before are looked up, and new ones
-    are encoded together, parted by blanks or a special token.
+    """Ids of texts as the tokenizer gives them, by pieces that it never joins.
+
+    The tokenizer lower-cases, drops blanks, takes runs of letters, single
+    digits, runs of other characters and a few endings behind an apostrophe,
+    and merges inside these alone.  So texts are cut at blanks, around digits,
+    before punctuation and, but for an apostrophe, behind it, all at once on
+    their bytes; each different piece is looked up, or encoded where it is met
+    for the first time.  Around bytes of other scripts nothing is cut: the
+    library sees such pieces as they are, as it does whole texts that hold one
+    of its special tokens.
     """
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.mark = self.tok.token_to_id(MARK)
-        self.known: dict[str, bytes] = {}
-
-    def plain(self, word: str) -> bytes:
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words: plain stems once, whatever their case and the mark behind them, then all others."""
-        known, stems, built, others = self.known, {}, [], []
-        for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in MARKS else (w, "")
-            if stem.isalpha() and max(stem) < "\u0130":  # letters whose lower case is one letter
-                low = stem.lower()
-                built.append((w, low, mark))
-                if low not in known:
-                    stems[low] = None
-                if mark and mark not in known:
-                    known[mark] = self.plain(mark)
-            elif "<|" in w or not w:
-                known[w] = self.plain(w)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encode new pieces: what is one run straight by the merges, all others by the library."""
+        known, model = self.known, self.tok.model
+        ids = []
+        for p in pieces:
+            if p.isalnum() or PLAIN_MARKS.fullmatch(p):
+                ids.append([t.id for t in model.tokenize(p.decode("ascii"))])
+            elif PLAIN_LETTERS.fullmatch(p):
+                ids.append([t.id for t in model.tokenize(p.decode("latin-1").translate(BYTE_CHAR))])
             else:
-                others.append(w)
-        plain = list(stems)
-        for i in range(0, len(plain), 8192):
-            part = plain[i : i + 8192]
-            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            begins = np.cumsum([0, *[len(w) + 1 for w in part[:-1]]])
-            own = np.searchsorted(begins, np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc)), side="right") - 1
-            ends = np.cumsum(np.bincount(own, minlength=len(part))) * 4
-            raw, at = np.array(enc.ids, "<u4").tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                known[w] = raw[at:end]
-                at = end
-        for w, low, mark in built:
-            known[w] = known[low] + known[mark] if mark else known[low]
-        for i in range(0, len(others), 4096):
-            part = others[i : i + 4096]
-            ids = np.array(self.tok.encode(MARK.join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, [*(cuts * 4).tolist(), len(raw)], strict=True):
-                known[w] = raw[at:end]
-                at = end + 4
+                ids.append(self.whole(p.decode("utf-8")))
+        n, m = len(known), len(known) + len(ids)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = self.used + int(sizes.sum())
+        if m > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros(m, np.int64)]) for x in (self.begin, self.size))
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(total, np.uint32)])
+        self.begin[n:m], self.size[n:m] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : total] = np.fromiter((i for x in ids for i in x), np.uint32, total - self.used)
+        self.used = total
+        known.update(zip(pieces, range(n, m), strict=True))
+
+    def cut(self, raw: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Lower-cased pieces of a run of bytes, and where each begins."""
+        low = raw.copy()
+        low[(raw >= 65) & (raw <= 90)] += 32
+        kind = BYTE_CLASS[low]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)  # letters of two bytes, but for the signs of multiplication and division
+        second = raw[lead + 1]
+        lead, second = lead[(second | 0x20) != 0xB7], second[(second | 0x20) != 0xB7]
+        low[lead + 1] = np.where(second < 0x9F, second + 0x20, second)
+        kind[lead] = kind[lead + 1] = 1
+        a, b = kind[:-1], kind[1:]
+        border = np.ones(len(low), bool)
+        border[1:] = (a == 0) | (a == 2) | (b == 2) | ((a == 1) & (b > 2)) | ((a == 3) & (b == 1))
+        border[1:] &= (a < 5) & (b < 5) | (a == 0)
+        held = kind > 0
+        starts = np.flatnonzero(border & held)
+        offsets = np.append(np.cumsum(held)[starts] - 1, np.count_nonzero(held)).astype(np.int32)
+        return starts, pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[held])])
+
+    def chunk_ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, one after the other, and where each text begins among them."""
+        at = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        starts, pieces = self.cut(np.frombuffer(b"\n".join([*texts, b""]), np.uint8)) if at[-1] > len(texts) else (np.zeros(0, np.int64), pa.array([], pa.binary()))
+        coded = pieces.dictionary_encode()
+        met = coded.dictionary.to_pylist()
+        if len(self.known) > REMEMBER:
+            self.forget()
+        self.learn([p for p in met if p not in self.known])
+        own = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.size[own]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.begin[own] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, at)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        cut_up = [t.split(" ") for t in texts]
-        met = set().union(*cut_up)
-        if len(self.known) > REMEMBER:
-            self.known = {w: v for w in met if (v := self.known.get(w)) is not None}
-        self.learn([w for w in met if w not in self.known])
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut_up]
+        out: list[bytes] = []
+        special = [SPECIAL.search(t) is not None for t in texts]
+        raws = [b"" if s else t.encode("utf-8", "replace") for t, s in zip(texts, special, strict=True)]
+        i = 0
+        while i < len(raws):
+            j, size = i + 1, len(raws[i])
+            while j < len(raws) and size + len(raws[j]) < CHUNK_BYTES:
+                size += len(raws[j])
+                j += 1
+            ids, at = self.chunk_ids(raws[i:j])
+            flat = ids.astype("<u4", copy=False).tobytes()
+            out += [flat[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            i = j
+        for k in np.flatnonzero(special).tolist():
+            out[k] = np.array(self.whole(texts[k]), "<u4").tobytes()
+        return out
 
 
 _LOADED: dict[str, WordTokens] = {}
@@ -207,9 +269,9 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
         tok, pool = load(path), Pool(TaskContext.get().partitionId(), capacity)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 1024):
-                part = [t or "" for t in texts[i : i + 1024]]
-                for doc_id, ids in zip(doc_ids[i : i + 1024], tok.ids(part), strict=True):
+            for i in range(0, len(texts), 2048):
+                part = [t or "" for t in texts[i : i + 2048]]
+                for doc_id, ids in zip(doc_ids[i : i + 2048], tok.ids(part), strict=True):
                     pool.add(doc_id, ids + end)
                     if pool.tokens >= POOL_TOKENS:
                         pool.flush(last=False)

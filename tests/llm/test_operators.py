@@ -276,3 +276,46 @@ def test_toxicity_keeps_every_word_and_finds_its_categories(spark):
     assert all(got[i].is_toxic == bool(t) for i, t in labels)
     assert all(len(link.words) == 150 for link in chain.links)
     assert any(r.insult > 0.5 for r in got.values()) and any(r.degradation > 0.5 for r in got.values())
+
+
+def test_packing_ids_match_the_library():
+    import random
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, rng = packing.WordTokens(path), random.Random(5)
+    signs = "aBcs'st'S.,!&-_ 019 \n\t\r\x0b\x00\x1c\x85\xa0×÷éÉßŸÿÞ\u0301İΣςªµº½²日語한😀\u200b\u2003“’<|>|"
+    whole = ["<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", "don't", "it'S", "''s", "'.s", "x'll've", "1's", "é'd", "'\u0301s", "s\u0301", "İ", "", "x" * 100_000]
+    texts = whole + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + [" ".join(rng.choice(whole[:12]) for _ in range(5)) for _ in range(200)]
+    for t, raw in zip(texts, tok.ids(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_takes_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        pieces = [(k, 0, int(n)) for k, n in enumerate(rng.integers(1, 60, int(rng.integers(1, 40))))]
+        rooms = packing.powers(sum(n for _, _, n in pieces), 64)
+        room, spent, want = list(rooms), [0.0] * len(rooms), []
+        for k, start, n in sorted(pieces, key=lambda p: -p[2]):
+            while n:
+                fit = [s for s in range(len(rooms)) if room[s] >= n] or [s for s in range(len(rooms)) if room[s]]
+                s = min(fit, key=lambda s: (spent[s], s))
+                m = min(n, room[s])
+                want.append((k, start, m, s, rooms[s] - room[s]))
+                room[s], spent[s], start, n = room[s] - m, spent[s] + packing.cost(m), start + m, n - m
+        assert packing.pack(pieces, rooms) == want and not any(room)
+
+
+def test_packing_balances_cost_and_wastes_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(docs.coalesce(1), public_tokenizers.path("word_bpe_49k.json")).collect()
+    size, cost, cut = {}, {}, set()
+    for r in rows:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+        cost[r.sequence_id] = cost.get(r.sequence_id, 0) + packing.cost(r.length)
+        if r.length == packing.CAPACITY:
+            cut.add(r.sequence_id)
+    assert all(n & (n - 1) == 0 for n in size.values()) and sum(n < packing.CAPACITY for n in size.values()) <= 11
+    mixed = [c for s, c in cost.items() if size[s] == packing.CAPACITY and s not in cut]
+    in_order = np.add.reduceat([packing.cost(r.length) for r in rows], np.arange(0, len(rows), 3))
+    assert np.std(mixed) / np.mean(mixed) < np.std(in_order) / np.mean(in_order)
