@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.session import settle
+from ..functions.session import hot_join, number_rows, settle
 
 #: Between the documents of a unit.
 SEPARATOR = "\n\n--- Document ---\n\n"
@@ -229,9 +229,12 @@ def aggregate_documents(docs: DataFrame, key: str, target: int, least: int, most
 
 def multi_hop_groups(docs: DataFrame, budget: int, per: int = 3) -> DataFrame:
     """Groups of ``per`` documents of each source, kept within 1.5 budgets while they reach 0.7."""
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = docs.select("source", "doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n"), (F.floor((rn - 1) / per)).alias("grp"))
-    run = F.sum("n").over(Window.partitionBy("grp").orderBy("source", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = docs.select("source", "doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n"))
+    rows = settle(number_rows(rows, "source", "doc_id"), "numbered")
+    first = rows.groupBy(F.col("source").alias("s")).agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    rows = hot_join(rows.withColumnRenamed("source", "s"), first, "s", rows.count())
+    rows = rows.select("s", "doc_id", "n", F.floor((F.col("number") - F.col("first")) / per).alias("grp"))
+    run = F.sum("n").over(Window.partitionBy("grp").orderBy("s", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     kept = rows.withColumn("total", run).where(F.col("total") <= budget * 1.5)
     return kept.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where(F.col("tokens") >= budget * 0.7)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.session import settle
+from ..functions.session import discard, hot_join, settle
 
 
 def upsert_nodes(store: DataFrame, batch: DataFrame, now: str) -> DataFrame:
@@ -91,26 +91,34 @@ def sample_subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most:
         frontier = nxt
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the smallest id of each connected component, edges taken both ways, isolated nodes included.
+def component_roots(edges: DataFrame) -> DataFrame:
+    """id, root (the smallest id of its component) for all ends of the edges (x, y).
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) on edge
-    sets written to the shared folder, until they form stars.
+    Alternates large-star and small-star steps (Kiveris et al. 2014), each edge
+    set written to the shared folder, until the edges form stars.  The leaves
+    of a large star are not gathered: its hub's minimum is brought to them.
     """
-    e = edges.select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).where("x <> y").distinct()
-    e, mark = settle(e, "edges"), None
+    e = settle(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    n, mark = e.count(), None
     while True:
         both = e.union(e.select("y", "x"))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("m").alias("x"), "y").where("x <> y").distinct()
-        m = large.groupBy("y").agg(F.min("x").alias("m"))
-        small = large.join(m, "y").select(F.col("m").alias("x"), F.explode(F.array("x", "y")).alias("y")).where("x <> y").distinct()
-        e = settle(small, "edges")
+        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
+        large = settle(hot_join(both, low, "x", 2 * n).where("y > x").select(F.col("m").alias("x"), "y").where("x <> y").distinct(), "large-stars")
+        m = large.groupBy("y").agg(F.min("x").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, m, "y", n).select(F.col("m").alias("x"), F.explode(F.array("x", "y")).alias("y")).where("x <> y").distinct()
+        new = settle(small, "edges")
+        discard(e, large)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
-    roots = e.select(F.col("y").alias("id"), F.col("x").alias("component"))
+        mark, n = now, now[0]
+    return e.select(F.col("y").alias("id"), F.col("x").alias("root")).union(e.select("x", "x").distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component: the smallest id of each connected component, edges taken both ways, isolated nodes included."""
+    roots = component_roots(edges.select(F.col("source").alias("x"), F.col("target").alias("y"))).withColumnRenamed("root", "component")
     return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

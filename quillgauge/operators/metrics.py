@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +44,44 @@ def keyword_gate(mandatory: Column, optional: Column, text: Column, pass_at: flo
     return F.struct(score.alias("score"), (score >= pass_at).alias("passed"))
 
 
-def keyword_match(items: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """item_id, score, matched, total; items: item_id, keywords, text; synonyms: keyword, synonym.
+def keyword_match(items: DataFrame, synonyms: DataFrame, fuzzy: bool = False, weight: float = 0.75) -> DataFrame:
+    """item_id, score, matched, total, missing; items: item_id, keywords, text; synonyms: keyword, synonym.
 
-    A keyword scores 1 if it or a synonym occurs, else 0.75 of the share of its tokens that occur.
+    A keyword scores 1 if it, a synonym or the keyword without its blanks
+    occurs; else ``weight`` times the best share of these: of an ideographic
+    one the share of characters that occur, of others the share of words that
+    are words of the text and, with ``fuzzy``, the best ratio of difflib to one
+    of them.  It is matched from 0.5 up; no keywords score 1.
     """
-    k = items.select("item_id", F.lower("text").alias("t"), F.explode_outer(F.transform("keywords", lambda x: F.lower(x))).alias("keyword"))
+    k = items.select("item_id", F.lower("text").alias("t"), F.explode_outer(F.transform("keywords", lambda x: F.lower(F.trim(x)))).alias("keyword"))
     s = synonyms.groupBy(F.lower("keyword").alias("keyword")).agg(F.collect_set(F.lower("synonym")).alias("syn"))
     k = k.join(s, "keyword", "left")
-    toks = T.token_set(F.col("keyword"))
-    part = F.when(F.size(toks) > 0, F.size(F.filter(toks, lambda w: F.col("t").contains(w))) / F.greatest(F.size(toks), F.lit(1)) * 0.75).otherwise(0.0)
-    exact = F.col("t").contains(F.col("keyword")) | F.exists(F.coalesce("syn", F.array().cast("array<string>")), lambda w: F.col("t").contains(w))
-    one = F.when(F.col("keyword").isNull(), None).when(exact, 1.0).otherwise(part)
-    return k.withColumn("one", one).groupBy("item_id").agg(F.coalesce(F.avg("one"), F.lit(1.0)).alias("score"), F.count_if(F.col("one") >= 0.5).alias("matched"), F.count("keyword").alias("total"))
+    forms = F.array_distinct(F.filter(F.concat(F.array("keyword", F.replace("keyword", F.lit(" "), F.lit(""))), F.coalesce("syn", F.array().cast("array<string>"))), lambda f: f != ""))
+    k = k.withColumns({"forms": forms, "w": T.token_set(F.col("t"))})
+    present = F.exists("forms", lambda f: F.col("t").contains(f))
+
+    def share(form: Column) -> Column:
+        signs = F.filter(F.split(form, ""), lambda c: F.trim(c) != "")
+        toks = F.filter(F.split(form, r"[^\p{L}\p{N}_]+"), lambda c: c != "")
+        of = lambda found, all_: F.size(found) / F.greatest(F.size(all_), F.lit(1))
+        words = F.filter(toks, lambda x: F.array_contains("w", x))
+        return F.when(form.rlike("[一-鿿]"), of(F.filter(signs, lambda c: F.col("t").contains(c)), signs)).otherwise(of(words, toks))
+
+    best = F.coalesce(F.array_max(F.transform("forms", share)), F.lit(0.0))
+    if fuzzy:
+
+        @F.pandas_udf("double")
+        def likeness(open_: pd.Series, forms: pd.Series, words: pd.Series, texts: pd.Series) -> pd.Series:
+            def one(form: str, words: list[str], text: str) -> float:
+                return max((difflib.SequenceMatcher(None, form, w).ratio() for w in (words if len(words) and re.search(r"\w", form) else [text])), default=0.0)
+
+            return pd.Series([max((one(f, w, t) for f in fs if not re.search("[一-鿿]", f)), default=0.0) if o else 0.0 for o, fs, w, t in zip(open_, forms, words, texts, strict=True)], dtype=float)
+
+        best = F.greatest(best, likeness(F.coalesce(~present, F.lit(False)), "forms", "w", F.coalesce("t", F.lit(""))))
+    one = F.when(F.col("keyword").isNull(), None).when(F.coalesce(present, F.lit(False)), 1.0).otherwise(best * weight)
+    k = k.withColumn("one", one)
+    missing = F.array_sort(F.collect_list(F.when(F.col("one") < 0.5, F.col("keyword"))))
+    return k.groupBy("item_id").agg(F.coalesce(F.avg("one"), F.lit(1.0)).alias("score"), F.count_if(F.col("one") >= 0.5).alias("matched"), F.count("keyword").alias("total"), missing.alias("missing"))
 
 
 def keyword_summary(scores: DataFrame, pass_at: float = 0.6) -> DataFrame:
@@ -67,11 +95,23 @@ def fuzzy_keywords(items: DataFrame, t: float = 0.8, kind: str = "word") -> Data
     return k.withColumn("best", F.coalesce(best, F.lit(0.0))).groupBy("item_id").agg((F.count_if(F.col("best") >= t) / F.count("*")).alias("match_rate"))
 
 
-def combine_methods(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """item_id, score, best: weights renormalised over the methods an item has a score of."""
+def adaptive_threshold(language: Column, domain: Column, base: float = 0.6) -> Column:
+    """The base, lower by 0.05 each for Chinese and for technical texts, 0.1 at least."""
+    less = F.when(language == "chinese", 0.05).otherwise(0.0) + F.when(domain == "technical", 0.05).otherwise(0.0)
+    return F.greatest(F.lit(0.1), F.lit(base) - less)
+
+
+def combine_methods(scores: DataFrame, weights: dict[str, float], thresholds: DataFrame | None = None) -> DataFrame:
+    """item_id, score, best, and with thresholds (item_id, threshold) whether the score passes.
+
+    Weights are renormalised over the methods that an item has a score of; of
+    equal scores the best is that of the method named first.
+    """
     w = F.coalesce(*[F.when(F.col("method") == m, F.lit(x)) for m, x in weights.items()], F.lit(0.0))
+    place = F.coalesce(*[F.when(F.col("method") == m, F.lit(-k)) for k, m in enumerate(weights)], F.lit(-len(weights)))
     rows = scores.where(F.col("score").isNotNull())
-    return rows.groupBy("item_id").agg((F.sum(F.col("score") * w) / F.sum(w)).alias("score"), F.max_by("method", F.struct("score", "method")).alias("best"))
+    out = rows.groupBy("item_id").agg(F.coalesce(F.sum(F.col("score") * w) / F.nullif(F.sum(w), F.lit(0.0)), F.lit(0.0)).alias("score"), F.max_by("method", F.struct(F.col("score"), place)).alias("best"))
+    return out if thresholds is None else out.join(thresholds, "item_id", "left").withColumn("passes", F.col("score") >= F.col("threshold"))
 
 
 def domain_rule_score(text: Column, terms: list[str], patterns: list[str]) -> Column:
@@ -167,3 +207,24 @@ def ngram_overlap(items: DataFrame, n: int) -> DataFrame:
     s = both.groupBy("item_id").agg(F.sum(F.least(zero("x"), zero("y"))).alias("hit"), F.sum(zero("x")).alias("nx"), F.sum(zero("y")).alias("ny"))
     div = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return s.select("item_id", div("hit", "nx").alias("precision"), div("hit", "ny").alias("recall"), F.when(F.col("nx") >= F.col("ny"), 1.0).when(F.col("nx") == 0, 0.0).otherwise(F.exp(1 - F.col("ny") / F.col("nx"))).alias("brevity"))
+
+
+#: What parts the words of an answer for highlighting (fixed value).
+HIGHLIGHT_BREAKS = r"[\s,.;:!?、。，！？·\-–—/\\()\[\]{}\"「」『』【】《》〈〉]+"
+
+
+def highlight_matches(items: DataFrame, least: int = 4, most: int = 12) -> DataFrame:
+    """item_id, pos, tier, matches: how often an item's terms occur in each of its contexts, whatever the case.
+
+    items: item_id, answer, entities, contexts.  Terms are the entities if
+    there are any (tier entity), else the longest words of the answer (overlap).
+    """
+    words = F.filter(F.split(F.coalesce("answer", F.lit("")), HIGHLIGHT_BREAKS), lambda w: F.length(w) >= least)
+    ranked = F.array_sort(F.transform(F.array_distinct(words), lambda w, i: F.named_struct(F.lit("n"), -F.length(w), F.lit("i"), i, F.lit("w"), w)))
+    own = F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: e != "")
+    terms = F.when(F.size(own) > 0, own).otherwise(F.transform(F.slice(ranked, 1, most), lambda x: x.w))
+    tier = F.when(F.size(own) > 0, "entity").when(F.size("terms") > 0, "overlap").otherwise("none")
+    rows = items.select("item_id", F.posexplode("contexts").alias("pos", "context"), terms.alias("terms"), F.col("entities"))
+    low = F.lower(F.coalesce("context", F.lit("")))
+    hits = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + ((F.length(low) - F.length(F.replace(low, F.lower(t), F.lit("")))) / F.length(t)).cast("long"))
+    return rows.select("item_id", "pos", tier.alias("tier"), hits.alias("matches"))

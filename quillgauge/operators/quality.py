@@ -10,16 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.session import settle
+from ..functions.session import discard, hot_join, settle
 from .simjoin import cosine_join, set_join
 
 
 def dedup_ingest(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """New documents of which neither (km_id, version) nor the checksum exists; the first to arrive of each stays."""
+    """New documents of which neither (km_id, version) nor the checksum is taken, as a pass in the order of arrival finds them.
+
+    A document that is turned away claims neither of its keys; a null key is
+    like no other.  Arrivals must differ.  Documents that share a key with no other are kept at once; of the
+    rest each round decides those that are first in both their keys among the
+    undecided: they stay, and what shares a key with them goes.
+    """
     fresh = new.join(existing.select("km_id", "version").distinct(), ["km_id", "version"], "left_anti").join(existing.select("checksum").distinct(), "checksum", "left_anti")
-    a = F.row_number().over(Window.partitionBy("km_id", "version").orderBy("arrival"))
-    b = F.row_number().over(Window.partitionBy("checksum").orderBy("arrival"))
-    return fresh.withColumns({"ra": a, "rb": b}).where("ra = 1 and rb = 1").drop("ra", "rb")
+    own = lambda c: F.concat(F.lit("?"), F.col("arrival").cast("string")) if c is None else F.coalesce(c, own(None))
+    document = F.concat(F.col("km_id").cast("string"), F.lit("\x1f"), F.col("version").cast("string"))
+    undecided = settle(fresh.select("arrival", own(document).alias("a"), own(F.col("checksum").cast("string")).alias("b")), "undecided")
+    kept = None
+    while n := undecided.count():
+        first = undecided
+        for c in ("a", "b"):
+            least = undecided.groupBy(c).agg(F.min("arrival").alias(f"least_{c}"), F.count("*").alias("n"))
+            first = hot_join(first, least, c, n)
+        first = settle(first.where("arrival = least_a and arrival = least_b").select("arrival", "a", "b"), "first")
+        kept = first.select("arrival") if kept is None else kept.union(first.select("arrival"))
+        left = settle(undecided.join(first.select("a"), "a", "left_anti").join(first.select("b"), "b", "left_anti").select("arrival", "a", "b"), "undecided")
+        discard(undecided)
+        undecided = left
+    return fresh.where("false") if kept is None else fresh.join(kept, "arrival", "left_semi").select(*new.columns)
 
 
 def shingle_sets(df: DataFrame, text: Column, k: int = 4, key: str = "id") -> DataFrame:
@@ -39,15 +57,16 @@ def greedy_keep(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """
     edges = settle(edges.select("x", "y"), "edges")
     removed = None
-    while True:
-        if edges.isEmpty():
-            break
-        heads = settle(edges.select("x").distinct().join(edges.select(F.col("y").alias("x")).distinct(), "x", "left_anti"), "heads")
+    while not edges.isEmpty():
+        heads = edges.select("x").distinct().join(edges.select(F.col("y").alias("x")).distinct(), "x", "left_anti")
         gone = settle(edges.join(heads, "x").select(F.col("y").alias("x")).distinct(), "gone")
         removed = gone if removed is None else removed.union(gone)
+        # what a head removed and edges into it are decided; a head without edges left has no neighbours to be asked
         rest = edges.join(heads, "x", "left_anti").join(gone, "x", "left_anti").join(gone.select(F.col("x").alias("y")), "y", "left_anti")
-        edges = settle(rest.select("x", "y"), "edges")
-    return rows if removed is None else rows.join(settle(removed, "removed").withColumnRenamed("x", "id"), "id", "left_anti")
+        left = settle(rest.select("x", "y"), "edges")
+        discard(edges)
+        edges = left
+    return rows if removed is None else rows.join(removed.withColumnRenamed("x", "id"), "id", "left_anti")
 
 
 def near_dedup(samples: DataFrame, t: float = 0.82, k: int = 4) -> DataFrame:

@@ -50,14 +50,14 @@ def robust_stats(long: DataFrame, fallback: float = 0.0, least: int = 1) -> Data
 
 
 def nan_tolerance(long: DataFrame, mode: str) -> DataFrame:
-    """Missing values skipped, set to 0, or set to the mean of the item's other metrics."""
+    """Missing values skipped, set to 0, or set to the mean of the record's other metrics (0 where none is valid)."""
     v = finite(F.col("value"))
     if mode == "skip":
         return long.withColumn("value", v).where("value is not null")
     if mode == "zero":
         return long.withColumn("value", F.coalesce(v, F.lit(0.0)))
     if mode == "mean":
-        return long.withColumn("value", F.coalesce(v, F.avg(v).over(Window.partitionBy("run_id", "metric")), F.lit(0.0)))
+        return long.withColumn("value", F.coalesce(v, F.avg(v).over(Window.partitionBy("run_id", "item_id")), F.lit(0.0)))
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -148,15 +148,40 @@ def pivot_scores(long: DataFrame, metrics: list[str]) -> DataFrame:
     return long.withColumn("value", finite(F.col("value"))).groupBy("item").pivot("metric", metrics).agg(F.avg("value"))
 
 
-METRIC_ALIASES = {"faithfulness_score": "Faithfulness", "answer_relevance": "AnswerRelevancy", "ctx_precision": "ContextPrecision"}
-
-
-def normalize_items(df: DataFrame, known: dict[str, str] = METRIC_ALIASES) -> DataFrame:
-    """id, metric, value: known aliases renamed, other numeric columns kept where their value is in [0, 1]."""
-    numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint") and c not in ("id", "item_id")]
-    rows = F.explode(F.array(*[F.struct(F.lit(known.get(c, c)).alias("metric"), finite(F.col(c).cast("double")).alias("value"), F.lit(c in known).alias("sure")) for c in numeric])).alias("r")
-    key = F.coalesce(*[F.col(c).cast("string") for c in ("id", "item_id") if c in df.columns])
-    return df.select(key.alias("id"), rows).where(F.col("r.value").isNotNull() & (F.col("r.sure") | F.col("r.value").between(0, 1))).select("id", "r.metric", "r.value")
+METRIC_ALIASES = {
+    "context_precision": "ContextPrecision", "context_recall": "ContextRecall", "faithfulness": "Faithfulness", "answer_relevancy": "AnswerRelevancy",
+    "answer_similarity": "AnswerSimilarity", "contextual_keyword_mean": "ContextualKeywordMean",
+}
+#: Names of an item's id, its latency, and columns that hold metrics by name, each in the order they are tried (fixed values).
+ID_NAMES = ("id", "index", "sample_id", "row_id", "question_id")
+LATENCY_NAMES = ("latencyMs", "latency_ms", "latency", "response_time_ms", "inference_latency_ms")
+NESTED_NAMES = ("metrics", "scores", "kpis")
+
+
+def first_of(df: DataFrame, names: tuple[str, ...], kind: str) -> Column:
+    """The first value that is there and can be read as the type."""
+    there = [n for n in names if n in df.columns]
+    return F.coalesce(*[F.expr(f"try_cast(`{n}` as {kind})") for n in there], F.lit(None).cast(kind))
+
+
+def normalize_items(df: DataFrame, aliases: dict[str, str] = METRIC_ALIASES) -> DataFrame:
+    """id, latency_ms, metric, value of every metric of an item.
+
+    Known names and their aliases keep any number; other numeric columns and
+    the entries of nested maps count where they lie in [0, 1].  Of a metric
+    found twice the first stays: known names, aliases, columns, maps.
+    """
+    kinds = dict(df.dtypes)
+    entry = lambda name, v, sure: F.struct(F.lit(name).alias("metric"), finite(v.cast("double")).alias("value"), F.lit(sure).alias("sure"))
+    known = [entry(m, F.expr(f"try_cast(`{c}` as double)"), True) for c, m in [*((m, m) for m in aliases.values()), *aliases.items()] if c in kinds]
+    reserved = {*ID_NAMES, *LATENCY_NAMES, *NESTED_NAMES, *aliases, *aliases.values()}
+    others = [entry(c, F.col(f"`{c}`"), False) for c, t in df.dtypes if c not in reserved and (t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal"))]
+    nested = [F.transform(F.map_entries(c), lambda e: F.struct(e.key.alias("metric"), finite(e.value.try_cast("double")).alias("value"), F.lit(False).alias("sure"))) for c in NESTED_NAMES if kinds.get(c, "").startswith("map<")]
+    found = F.concat(F.array(*known, *others), *[F.coalesce(n, F.array().cast("array<struct<metric:string,value:double,sure:boolean>>")) for n in nested])
+    found = F.filter(found, lambda x: x.value.isNotNull() & (x.sure | x.value.between(0, 1)))
+    rows = df.select(F.coalesce(first_of(df, ID_NAMES, "string"), F.lit("")).alias("id"), first_of(df, LATENCY_NAMES, "double").alias("latency_ms"), found.alias("f"))
+    first = F.filter("f", lambda x, i: F.array_position(F.transform("f", lambda y: y.metric), x.metric) == i + 1)
+    return rows.select("id", "latency_ms", F.explode(first).alias("r")).select("id", "latency_ms", "r.metric", "r.value")
 
 
 def metric_coverage(df: DataFrame, cols: list[str], n: int) -> DataFrame:

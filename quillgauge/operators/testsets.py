@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.session import number_rows
 from .chunks import split_sentences
 
 TEMPLATES = ["What does the text say about {}?", "Explain: {}", "How is this described: {}"]
@@ -41,12 +41,17 @@ def focus(chunks: DataFrame, by: str) -> DataFrame:
     return s.select(by, F.when(F.size(both) > 0, F.array_join(both, ", ")).otherwise(F.col("first")).alias("focus"))
 
 
+def scenario_table(extras: list[tuple[str, str]] = (), target: int = 0) -> list[tuple[str, str]]:
+    """The base scenarios and the extras, cloned with numbers behind their ids until there are ``target``."""
+    base = [*SCENARIOS, *extras]
+    return base + [(f"{base[k % len(base)][0]}-{k // len(base) + 1}", base[k % len(base)][1]) for k in range(len(base), target)]
+
+
 def assign_scenarios(drafts: DataFrame, scenarios: list[tuple[str, str]] = SCENARIOS, order: str = "draft_id") -> DataFrame:
-    """drafts with scenario_id and verb, round robin in order within blocks dealt by hash."""
-    block = F.pmod(F.crc32(F.col(order).cast("string").cast("binary")), F.lit(16))
-    n = F.row_number().over(Window.partitionBy(block).orderBy(order)) - 1
+    """drafts with scenario_id and verb, round robin over all of them in order."""
     table = F.array(*[F.struct(F.lit(a).alias("scenario_id"), F.lit(b).alias("verb")) for a, b in scenarios])
-    return drafts.withColumn("sc", F.element_at(table, (n % len(scenarios) + 1).cast("int"))).select(*drafts.columns, "sc.scenario_id", "sc.verb")
+    numbered = number_rows(drafts, order, name="__n")
+    return numbered.withColumn("__sc", F.element_at(table, (F.col("__n") % len(scenarios) + 1).cast("int"))).select(*drafts.columns, "__sc.scenario_id", "__sc.verb")
 
 
 def inject_persona(df: DataFrame, persona: str, most: int = 256) -> DataFrame:

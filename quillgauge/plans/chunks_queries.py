@@ -33,13 +33,14 @@ def c4(spark, sf):
 
 
 @query("c5_chunk_histogram", r"""
-WITH w AS (SELECT len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) n FROM documents)
+WITH c AS (SELECT substring(text, CAST(i * 800 + 1 AS BIGINT), 1000) chunk FROM (SELECT text, unnest(range(0, (greatest(length(text) - 1, 0) // 800) + 1)) i FROM documents)),
+w AS (SELECT len(list_filter(regexp_split_to_array(chunk, '\s+'), lambda x: x <> '')) n FROM c WHERE length(chunk) >= 100)
 SELECT (((n - 1) // 100) * 100) || '-' || (((n - 1) // 100) * 100 + 100) bucket, count(*) chunks, CAST(sum(n) AS BIGINT) tokens FROM w WHERE n > 0 GROUP BY 1""")
 def c5(spark, sf):
     from ..functions.text import words
 
-    whole = _docs(spark, sf).select(F.size(words(F.col("text"))).alias("token_count")).where("token_count > 0")
-    return C.chunk_histogram(whole)
+    chunks = C.chunk_chars(_docs(spark, sf)).select(F.size(words(F.col("chunk"))).alias("token_count")).where("token_count > 0")
+    return C.chunk_histogram(chunks)
 
 
 @query("c6_chunk_chars", r"""

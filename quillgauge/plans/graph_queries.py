@@ -8,22 +8,20 @@ from ..operators import gcr as R
 from ..operators import graph as G
 from ..operators import simjoin as S
 from . import inputs as I
-from .joins_queries import ALL_ENTITIES, ENT_SQL, PAIRS_SQL, entity_sets, phrase_sets
+from .joins_queries import ENT_SQL, PAIRS_SQL, entity_sets, phrase_sets
 from .registry import query, table
 
-EDGES_SQL = f"{ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')}, nodes AS (SELECT doc_id id FROM documents), edges AS (SELECT i source, j target, CASE WHEN c > 5 THEN 'strong' ELSE 'weak' END AS type, c / (ni + nj - c) score FROM pr WHERE c / (ni + nj - c) >= 0.2)"
+EDGES_SQL = f"{ENT_SQL}, {PAIRS_SQL.format(t='e', n='en')}, nodes AS (SELECT doc_id id FROM documents), edges AS (SELECT i source, j target, CASE WHEN c > 5 THEN 'strong' ELSE 'weak' END AS type, c / (ni + nj - c) score FROM pr WHERE c / (ni + nj - c) >= 0.1)"
 DEG_SQL = "deg AS (SELECT id, count(e) degree FROM nodes LEFT JOIN (SELECT source e FROM edges UNION ALL SELECT target FROM edges) ON id = e GROUP BY id)"
-#: The edges of queries named ..._whole are those of E1.
-ALL_EDGES = ALL_ENTITIES | {"WHERE c / (ni + nj - c) >= 0.2)": "WHERE c / (ni + nj - c) >= 0.1)"}
 
 
-def nodes(spark, sf, whole=False):
+def nodes(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(entity_sets(spark, sf, whole), "id", "left")
+    return docs.join(entity_sets(spark, sf), "id", "left")
 
 
-def edges(spark, sf, whole=False):
-    e = S.set_join(entity_sets(spark, sf, whole), "entities", 0.1 if whole else 0.2)
+def edges(spark, sf):
+    e = S.set_join(entity_sets(spark, sf), "entities", 0.1)
     return e.select(F.col("i").alias("source"), F.col("j").alias("target"), F.when(F.col("common") > 5, "strong").otherwise("weak").alias("type"), "score")
 
 
@@ -31,59 +29,59 @@ def ids(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
 
 
-@query("g1_build_kg", f"WITH {ENT_SQL}, {I.PHRASES_SQL} SELECT d.doc_id id, (SELECT count(*) FROM e WHERE e.id = d.doc_id) n_entities, (SELECT count(*) FROM ph WHERE ph.doc_id = d.doc_id) n_keyphrases FROM documents d", whole=ALL_ENTITIES)
-def g1(spark, sf, whole=False):
-    kg = nodes(spark, sf, whole).join(phrase_sets(spark, sf), "id", "left")
+@query("g1_build_kg", f"WITH {ENT_SQL}, {I.PHRASES_SQL} SELECT d.doc_id id, (SELECT count(*) FROM e WHERE e.id = d.doc_id) n_entities, (SELECT count(*) FROM ph WHERE ph.doc_id = d.doc_id) n_keyphrases FROM documents d")
+def g1(spark, sf):
+    kg = nodes(spark, sf).join(phrase_sets(spark, sf), "id", "left")
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return kg.select("id", n("entities").alias("n_entities"), n("keyphrases").alias("n_keyphrases"))
 
 
 @query("g2_upsert_nodes", """
-WITH s AS (SELECT md5(text) h, min(text[1:20]) p FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT md5(text) h, max_by(text[1:10], doc_id) p FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+WITH s AS (SELECT md5(text) h, min(text) p FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT md5(text) h, max_by(reverse(text), doc_id) p FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
 SELECT coalesce(s.h, b.h) node_hash, coalesce(b.p, s.p) properties, strftime(CASE WHEN s.h IS NULL THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END, '%Y-%m-%d') created_at, strftime(CASE WHEN b.h IS NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-06-01' END, '%Y-%m-%d') updated_at, s.h IS NULL is_new FROM s FULL JOIN b ON s.h = b.h""")
 def g2(spark, sf):
     d = table(spark, sf, "documents").withColumn("node_hash", F.md5("text"))
     t = F.lit("2024-01-01").cast("timestamp")
-    store = d.where("doc_id % 2 = 0").groupBy("node_hash").agg(F.min(F.substring("text", 1, 20)).alias("properties")).withColumns({"created_at": t, "updated_at": t})
-    batch = d.where("doc_id % 3 = 0").select("node_hash", F.substring("text", 1, 10).alias("properties"), F.col("doc_id").alias("seq"))
+    store = d.where("doc_id % 2 = 0").groupBy("node_hash").agg(F.min("text").alias("properties")).withColumns({"created_at": t, "updated_at": t})
+    batch = d.where("doc_id % 3 = 0").select("node_hash", F.reverse("text").alias("properties"), F.col("doc_id").alias("seq"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return G.upsert_nodes(store, batch, "2024-06-01").select("node_hash", "properties", day("created_at"), day("updated_at"), "is_new")
 
 
-@query("g3_add_edges", f"WITH {EDGES_SQL} SELECT type, count(*) n, CAST(sum(source) AS BIGINT) s FROM (SELECT DISTINCT source, target, type FROM edges) GROUP BY type", whole=ALL_EDGES)
-def g3(spark, sf, whole=False):
-    e = edges(spark, sf, whole).withColumn("seq", F.col("source"))
+@query("g3_add_edges", f"WITH {EDGES_SQL} SELECT type, count(*) n, CAST(sum(source) AS BIGINT) s FROM (SELECT DISTINCT source, target, type FROM edges) GROUP BY type")
+def g3(spark, sf):
+    e = edges(spark, sf).withColumn("seq", F.col("source"))
     store = e.where("source % 2 = 0").select("source", "target", "type", "score")
     return G.add_edges(store, e.union(e)).groupBy("type").agg(F.count("*").alias("n"), F.sum("source").alias("s"))
 
 
-@query("g4_prune_stale", f"WITH {EDGES_SQL}, k AS (SELECT id FROM nodes WHERE id % 10 < 7) SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)", whole=ALL_EDGES)
-def g4(spark, sf, whole=False):
+@query("g4_prune_stale", f"WITH {EDGES_SQL}, k AS (SELECT id FROM nodes WHERE id % 10 < 7) SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")
+def g4(spark, sf):
     n = ids(spark, sf).withColumn("updated_at", F.expr("timestamp '2024-01-10' - make_dt_interval(cast(id % 10 as int))"))
-    return G.prune_stale(n, edges(spark, sf, whole), F.expr("timestamp '2024-01-04'"))[1].select("source", "target", "type")
+    return G.prune_stale(n, edges(spark, sf), F.expr("timestamp '2024-01-04'"))[1].select("source", "target", "type")
 
 
-@query("g5_degrees", f"WITH {EDGES_SQL}, {DEG_SQL} SELECT id, degree FROM deg", whole=ALL_EDGES)
-def g5(spark, sf, whole=False):
-    return G.degrees(ids(spark, sf), edges(spark, sf, whole))
+@query("g5_degrees", f"WITH {EDGES_SQL}, {DEG_SQL} SELECT id, degree FROM deg")
+def g5(spark, sf):
+    return G.degrees(ids(spark, sf), edges(spark, sf))
 
 
 @query("g6_degree_histogram", f"""
 WITH {EDGES_SQL}, {DEG_SQL}, r AS (SELECT min(degree) a, greatest(least(count(DISTINCT degree), 50), 1) bins, greatest((max(degree) - min(degree)) / greatest(least(count(DISTINCT degree), 50), 1), 1e-9) w FROM deg),
 c AS (SELECT least(CAST(floor((degree - a) / w) AS BIGINT), bins - 1) bin, count(*) c FROM deg, r GROUP BY 1)
-SELECT b.bin, round(a + b.bin * w, 6) lo, round(a + (b.bin + 1) * w, 6) hi, coalesce(c, 0) n FROM (SELECT unnest(range(bins)) bin, a, w FROM r) b LEFT JOIN c ON c.bin = b.bin""", whole=ALL_EDGES)
-def g6(spark, sf, whole=False):
-    return G.degree_histogram(G.degrees(ids(spark, sf), edges(spark, sf, whole))).withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
+SELECT b.bin, round(a + b.bin * w, 6) lo, round(a + (b.bin + 1) * w, 6) hi, coalesce(c, 0) n FROM (SELECT unnest(range(bins)) bin, a, w FROM r) b LEFT JOIN c ON c.bin = b.bin""")
+def g6(spark, sf):
+    return G.degree_histogram(G.degrees(ids(spark, sf), edges(spark, sf))).withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
 
 
-@query("g7_top_entities", f"WITH {ENT_SQL} SELECT token entity, count(*) n FROM e GROUP BY 1 ORDER BY n DESC, entity LIMIT 20", whole=ALL_ENTITIES)
-def g7(spark, sf, whole=False):
-    return G.top_entities(entity_sets(spark, sf, whole))
+@query("g7_top_entities", f"WITH {ENT_SQL} SELECT token entity, count(*) n FROM e GROUP BY 1 ORDER BY n DESC, entity LIMIT 20")
+def g7(spark, sf):
+    return G.top_entities(entity_sets(spark, sf))
 
 
-@query("g8_kg_summary", f"WITH {EDGES_SQL}, {DEG_SQL} SELECT count(*) nodes, max(degree) max_degree, round(avg(degree), 9) mean_degree, count(*) FILTER (WHERE degree = 0) isolated, (SELECT count(*) FROM edges) edges FROM deg", whole=ALL_EDGES)
-def g8(spark, sf, whole=False):
-    return G.kg_summary(ids(spark, sf), edges(spark, sf, whole)).withColumn("mean_degree", F.round("mean_degree", 9))
+@query("g8_kg_summary", f"WITH {EDGES_SQL}, {DEG_SQL} SELECT count(*) nodes, max(degree) max_degree, round(avg(degree), 9) mean_degree, count(*) FILTER (WHERE degree = 0) isolated, (SELECT count(*) FROM edges) edges FROM deg")
+def g8(spark, sf):
+    return G.kg_summary(ids(spark, sf), edges(spark, sf)).withColumn("mean_degree", F.round("mean_degree", 9))
 
 
 @query("g9_summary_delta", "WITH h AS (SELECT source AS version, count(*) nodes, CAST(sum(n_chars) AS BIGINT) edges FROM documents GROUP BY 1) SELECT *, nodes - lag(nodes) OVER (ORDER BY version) nodes_delta, edges - lag(edges) OVER (ORDER BY version) edges_delta FROM h")
@@ -92,17 +90,18 @@ def g9(spark, sf):
     return G.summary_delta(h)
 
 
-@query("g10_sample_subgraph", whole={})
-def g10(spark, sf, whole=False):
-    seen, _, _ = G.sample_subgraph(ids(spark, sf), edges(spark, sf, whole), ids(spark, sf).where("id = 0"), 200)
+@query("g10_sample_subgraph")
+def g10(spark, sf):
+    seen, _, _ = G.sample_subgraph(ids(spark, sf), edges(spark, sf), ids(spark, sf).where("id = 0"), 200)
     return seen
 
 
 @query("g11_components", f"""
-WITH RECURSIVE {EDGES_SQL}, sym AS (SELECT source a, target b FROM edges UNION SELECT target, source FROM edges), r(id, reach) AS (SELECT id, id FROM nodes UNION SELECT r.id, b FROM r JOIN sym ON reach = a)
-SELECT id, min(reach) component FROM r GROUP BY id""", whole={}, whole_sql=False)
-def g11(spark, sf, whole=False):
-    return G.components(ids(spark, sf), edges(spark, sf, whole))
+WITH RECURSIVE {EDGES_SQL}, sym AS (SELECT source a, target b FROM edges UNION SELECT target, source FROM edges),
+r(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT b, min(r.component) FROM r JOIN sym ON a = r.id JOIN recurring.r o ON o.id = b WHERE r.component < o.component GROUP BY b)
+SELECT id, component FROM r""")
+def g11(spark, sf):
+    return G.components(ids(spark, sf), edges(spark, sf))
 
 
 @query("g12_clean_nodes", """
@@ -114,32 +113,32 @@ def g12(spark, sf):
     return G.clean_nodes(raw).select("node_id", "type", "label", F.length("text").cast("long").alias("n"))
 
 
-@query("g13_clean_edges", f"WITH {EDGES_SQL} SELECT source || '_' || target || '_' || t edge_id FROM (SELECT source, target, CASE WHEN type = 'weak' THEN 'related' ELSE type END t FROM edges WHERE source % 4 <> 0 AND target % 4 <> 0)", whole=ALL_EDGES)
-def g13(spark, sf, whole=False):
-    e = edges(spark, sf, whole).withColumn("type", F.when(F.col("type") != "weak", F.col("type")))
+@query("g13_clean_edges", f"WITH {EDGES_SQL} SELECT source || '_' || target || '_' || t edge_id FROM (SELECT source, target, CASE WHEN type = 'weak' THEN 'related' ELSE type END t FROM edges WHERE source % 4 <> 0 AND target % 4 <> 0)")
+def g13(spark, sf):
+    e = edges(spark, sf).withColumn("type", F.when(F.col("type") != "weak", F.col("type")))
     return G.clean_edges(e, ids(spark, sf).where("id % 4 <> 0")).select("edge_id")
 
 
-@query("g14_graph_diagnostics", f"WITH {EDGES_SQL}, {DEG_SQL} SELECT 'edges:' || type what, count(*) n FROM edges GROUP BY 1 UNION ALL SELECT 'self_loops', count(*) FILTER (WHERE source = target) FROM edges UNION ALL SELECT 'isolated', count(*) FILTER (WHERE degree = 0) FROM deg", whole=ALL_EDGES)
-def g14(spark, sf, whole=False):
-    return G.graph_diagnostics(ids(spark, sf), edges(spark, sf, whole))
+@query("g14_graph_diagnostics", f"WITH {EDGES_SQL}, {DEG_SQL} SELECT 'edges:' || type what, count(*) n FROM edges GROUP BY 1 UNION ALL SELECT 'self_loops', count(*) FILTER (WHERE source = target) FROM edges UNION ALL SELECT 'isolated', count(*) FILTER (WHERE degree = 0) FROM deg")
+def g14(spark, sf):
+    return G.graph_diagnostics(ids(spark, sf), edges(spark, sf))
 
 
-@query("g15_visible_subgraph", f"WITH {EDGES_SQL}, k AS (SELECT id FROM nodes WHERE (id % 4 IN (0, 1)) AND id % 5 <= 2) SELECT source, target FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)", whole=ALL_EDGES)
-def g15(spark, sf, whole=False):
+@query("g15_visible_subgraph", f"WITH {EDGES_SQL}, k AS (SELECT id FROM nodes WHERE (id % 4 IN (0, 1)) AND id % 5 <= 2) SELECT source, target FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")
+def g15(spark, sf):
     n = ids(spark, sf).select("id", F.element_at(F.array(F.lit("public"), F.lit("t1"), F.lit("t2"), F.lit("t3")), (F.col("id") % 4 + 1).cast("int")).alias("tenant"), (F.col("id") % 5).alias("min_role"))
-    return G.visible_subgraph(n, edges(spark, sf, whole), "t1", 2)[1].select("source", "target")
+    return G.visible_subgraph(n, edges(spark, sf), "t1", 2)[1].select("source", "target")
 
 
-@query("g16_rekey_edges", f"WITH {EDGES_SQL}, m AS (SELECT doc_id id, md5(text) hash FROM documents WHERE doc_id % 7 <> 0) SELECT a.hash src_hash, b.hash tgt_hash, type FROM edges JOIN m a ON a.id = source JOIN m b ON b.id = target", whole=ALL_EDGES)
-def g16(spark, sf, whole=False):
+@query("g16_rekey_edges", f"WITH {EDGES_SQL}, m AS (SELECT doc_id id, md5(text) hash FROM documents WHERE doc_id % 7 <> 0) SELECT a.hash src_hash, b.hash tgt_hash, type FROM edges JOIN m a ON a.id = source JOIN m b ON b.id = target")
+def g16(spark, sf):
     m = table(spark, sf, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.md5("text").alias("hash"))
-    return G.rekey_edges(edges(spark, sf, whole), m).select("src_hash", "tgt_hash", "type")
+    return G.rekey_edges(edges(spark, sf), m).select("src_hash", "tgt_hash", "type")
 
 
-@query("g17_cap_graph", f"WITH {EDGES_SQL}, k AS (SELECT id FROM nodes ORDER BY id LIMIT 300) SELECT source, target FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)", whole=ALL_EDGES)
-def g17(spark, sf, whole=False):
-    return G.cap_graph(ids(spark, sf), edges(spark, sf, whole), 300)[1].select("source", "target")
+@query("g17_cap_graph", f"WITH {EDGES_SQL}, k AS (SELECT id FROM nodes ORDER BY id LIMIT 300) SELECT source, target FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")
+def g17(spark, sf):
+    return G.cap_graph(ids(spark, sf), edges(spark, sf), 300)[1].select("source", "target")
 
 
 def retrieval(spark, sf):
@@ -162,36 +161,36 @@ hb AS (SELECT query_id, count(*) n, count(*) FILTER (WHERE sd > 0 AND degree > t
 sc AS (SELECT query_id, se, CASE WHEN n = 1 THEN 1.0 ELSE largest / n END sc, hubs / n ph, largest, n, hubs FROM se JOIN lc USING (query_id) JOIN hb USING (query_id))"""
 
 
-@query("h1_simple_graph", f"WITH {EDGES_SQL} SELECT DISTINCT least(source, target) x, greatest(source, target) y FROM edges WHERE source <> target", whole=ALL_EDGES)
-def h1(spark, sf, whole=False):
-    return R.simple_graph(ids(spark, sf), edges(spark, sf, whole))
+@query("h1_simple_graph", f"WITH {EDGES_SQL} SELECT DISTINCT least(source, target) x, greatest(source, target) y FROM edges WHERE source <> target")
+def h1(spark, sf):
+    return R.simple_graph(ids(spark, sf), edges(spark, sf))
 
 
-@query("h2_node_tokens", f"WITH {ENT_SQL} SELECT d.doc_id id, len(list_distinct(regexp_extract_all(lower(coalesce(array_to_string(l, ' ') || ' ', '') || text), '[a-z0-9_一-鿿]+'))) n FROM documents d LEFT JOIN (SELECT id, list(token) l FROM e GROUP BY id) x ON x.id = d.doc_id", whole=ALL_ENTITIES)
-def h2(spark, sf, whole=False):
-    return R.node_tokens(nodes(spark, sf, whole)).select("id", F.size("tokens").cast("long").alias("n"))
+@query("h2_node_tokens", f"WITH {ENT_SQL} SELECT d.doc_id id, len(list_distinct(regexp_extract_all(lower(coalesce(array_to_string(l, ' ') || ' ', '') || text), '[a-z0-9_一-鿿]+'))) n FROM documents d LEFT JOIN (SELECT id, list(token) l FROM e GROUP BY id) x ON x.id = d.doc_id")
+def h2(spark, sf):
+    return R.node_tokens(nodes(spark, sf)).select("id", F.size("tokens").cast("long").alias("n"))
 
 
-@query("h3_entity_overlap", f"WITH RECURSIVE {GCR_SQL} SELECT query_id, round(se, 9) entity_overlap FROM se", whole=ALL_EDGES)
-def h3(spark, sf, whole=False):
-    n = nodes(spark, sf, whole)
+@query("h3_entity_overlap", f"WITH RECURSIVE {GCR_SQL} SELECT query_id, round(se, 9) entity_overlap FROM se")
+def h3(spark, sf):
+    n = nodes(spark, sf)
     return R.entity_overlap(R.valid_retrieval(retrieval(spark, sf), n), R.node_tokens(n)).withColumn("entity_overlap", F.round("entity_overlap", 9))
 
 
-@query("h4_structural_connectivity", f"WITH RECURSIVE {GCR_SQL} SELECT query_id, largest, sc::DOUBLE connectivity FROM sc", whole=ALL_EDGES)
-def h4(spark, sf, whole=False):
+@query("h4_structural_connectivity", f"WITH RECURSIVE {GCR_SQL} SELECT query_id, largest, sc::DOUBLE connectivity FROM sc")
+def h4(spark, sf):
     n = ids(spark, sf)
-    return R.structural_connectivity(R.valid_retrieval(retrieval(spark, sf), n), R.simple_graph(n, edges(spark, sf, whole)))
+    return R.structural_connectivity(R.valid_retrieval(retrieval(spark, sf), n), R.simple_graph(n, edges(spark, sf)))
 
 
-@query("h5_hub_noise", f"WITH RECURSIVE {GCR_SQL} SELECT query_id, ph::DOUBLE hub_noise, hubs n_hubs FROM sc", whole=ALL_EDGES)
-def h5(spark, sf, whole=False):
+@query("h5_hub_noise", f"WITH RECURSIVE {GCR_SQL} SELECT query_id, ph::DOUBLE hub_noise, hubs n_hubs FROM sc")
+def h5(spark, sf):
     n = ids(spark, sf)
-    out = R.hub_noise(R.valid_retrieval(retrieval(spark, sf), n), R.hub_threshold(n, R.simple_graph(n, edges(spark, sf, whole))))
+    out = R.hub_noise(R.valid_retrieval(retrieval(spark, sf), n), R.hub_threshold(n, R.simple_graph(n, edges(spark, sf))))
     return out.select("query_id", "hub_noise", F.size("hub_nodes").cast("long").alias("n_hubs"))
 
 
-@query("h6_gcr", f"""WITH RECURSIVE {GCR_SQL} SELECT query_id, round(greatest(0, least(1, 0.4 * se + 0.4 * sc - 0.2 * ph))::DOUBLE, 6) score, round(se::DOUBLE, 6) entity_overlap, round(sc::DOUBLE, 6) structural_connectivity, round(ph::DOUBLE, 6) hub_noise_penalty, largest largest_component_size, n retrieved_count, hubs n_hubs FROM sc""", whole=ALL_EDGES)
-def h6(spark, sf, whole=False):
-    out = R.gcr(retrieval(spark, sf), nodes(spark, sf, whole), edges(spark, sf, whole))
+@query("h6_gcr", f"""WITH RECURSIVE {GCR_SQL} SELECT query_id, round(greatest(0, least(1, 0.4 * se + 0.4 * sc - 0.2 * ph))::DOUBLE, 6) score, round(se::DOUBLE, 6) entity_overlap, round(sc::DOUBLE, 6) structural_connectivity, round(ph::DOUBLE, 6) hub_noise_penalty, largest largest_component_size, n retrieved_count, hubs n_hubs FROM sc""")
+def h6(spark, sf):
+    out = R.gcr(retrieval(spark, sf), nodes(spark, sf), edges(spark, sf))
     return out.withColumn("n_hubs", F.col("n_hubs").cast("long"))

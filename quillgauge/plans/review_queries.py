@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import review as R
 from . import inputs as I
-from .graph_queries import ALL_EDGES, GCR_SQL
+from .graph_queries import GCR_SQL, edges, entity_sets
 from .registry import QUERIES, query, table
 from .stats_queries import rounded
 
@@ -105,16 +105,16 @@ def m12(spark, sf):
     return R.threshold_path(fb(spark, sf))
 
 
-@query("m13_preference_pairs", f"WITH {RESP_SQL} SELECT question prompt, answer chosen, CASE WHEN id % 4 = 0 THEN '' ELSE left(answer, 20) END rejected FROM resp WHERE trim(answer) <> '' AND (id % 4 = 0 OR trim(left(answer, 20)) = '' OR confidence < 0.6)")
+@query("m13_preference_pairs", f"WITH {RESP_SQL} SELECT question prompt, answer chosen, CASE WHEN id % 4 = 0 THEN '' ELSE question END rejected FROM resp WHERE trim(answer) <> '' AND (id % 4 = 0 OR trim(question) = '' OR confidence < 0.6)")
 def m13(spark, sf):
-    r = resp(spark, sf).withColumn("reference", F.col("answer")).withColumn("answer", F.when(F.col("id") % 4 != 0, F.substring("answer", 1, 20)))
+    r = resp(spark, sf).withColumn("reference", F.col("answer")).withColumn("answer", F.when(F.col("id") % 4 != 0, F.col("question")))
     return R.preference_pairs(r)
 
 
 @query("m14_diagnose_gaps", f"""WITH RECURSIVE {GCR_SQL}, sr AS (SELECT query_id, round(se::DOUBLE, 6) se, round(sc::DOUBLE, 6) sc, round(ph::DOUBLE, 6) ph FROM sc), gp AS (SELECT query_id, 'connectivity' gap, 0.5 - sc severity FROM sr WHERE sc < 0.5 UNION ALL SELECT query_id, 'coverage', 0.4 - se FROM sr WHERE se < 0.4 UNION ALL SELECT query_id, 'hub_noise', ph - 0.3 FROM sr WHERE ph > 0.3)
-SELECT query_id, gap, round(severity, 6) severity, row_number() OVER (PARTITION BY query_id ORDER BY severity DESC, gap) AS position FROM gp""", whole=ALL_EDGES)
-def m14(spark, sf, whole=False):
-    return rounded(R.diagnose_gaps(QUERIES["h6_gcr_whole" if whole else "h6_gcr"](spark, sf)), "severity", n=6)
+SELECT query_id, gap, round(severity, 6) severity, row_number() OVER (PARTITION BY query_id ORDER BY severity DESC, gap) AS position FROM gp""")
+def m14(spark, sf):
+    return rounded(R.diagnose_gaps(QUERIES["h6_gcr"](spark, sf)), "severity", n=6)
 
 
 @query("m15_propose_patch")
@@ -129,3 +129,11 @@ def m15(spark, sf):
 def m17(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
     return R.pending_proposals(e, F.lit("2024-01-03").cast("timestamp"))
+
+
+@query("m16_verify_patch")
+def m16(spark, sf):
+    q = QUERIES["h4_structural_connectivity"](spark, sf).where("connectivity < 0.5").select("query_id", F.col("connectivity").alias("structural_connectivity"))
+    items = I.items(spark, sf).select(F.col("item_id").alias("query_id"), T.token_set(F.col("question"), "graph").alias("tokens"))
+    patch = entity_sets(spark, sf).where("id % 200 = 7").select("id", T.token_set(F.concat_ws(" ", "entities"), "graph").alias("tokens"))
+    return R.verify_patch(items.join(q, "query_id"), patch, edges(spark, sf).where("score >= 0.2"))[0]

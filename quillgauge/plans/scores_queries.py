@@ -50,19 +50,28 @@ def i4(spark, sf):
 
 
 SYN = [("de", "der"), ("la", "las"), ("the", "that")]
-MATCH_SQL = f"""{KWS_SQL}, kk AS (SELECT item_id, lower(answer) t, unnest(k) keyword FROM kws), sy AS (SELECT * FROM (VALUES ('de', 'der'), ('la', 'las'), ('the', 'that')) v(keyword, synonym)),
-o AS (SELECT kk.item_id, kk.keyword, CASE WHEN contains(t, kk.keyword) OR (synonym IS NOT NULL AND contains(t, synonym)) THEN 1.0 ELSE 0.0 END one FROM kk LEFT JOIN sy ON sy.keyword = kk.keyword),
-km AS (SELECT i.item_id, coalesce(avg(one), 1.0)::DOUBLE score, count(*) FILTER (WHERE one >= 0.5) matched, count(keyword) total FROM items i LEFT JOIN o USING (item_id) GROUP BY 1)"""
+MATCH_SQL = f"""{KWS_SQL}, kk AS (SELECT item_id, lower(answer) t, regexp_extract_all(lower(answer), {W}) w, unnest(list_filter(list_concat(k[1:4], [k[1] || ' ' || k[2], k[3] || ' ' || k[4] || ' ' || k[5]]), lambda x: x IS NOT NULL)) keyword FROM kws), sy AS (SELECT * FROM (VALUES ('de', 'der'), ('la', 'las'), ('the', 'that')) v(keyword, synonym)),
+o AS (SELECT kk.item_id, kk.keyword, CASE WHEN contains(t, kk.keyword) OR contains(t, replace(kk.keyword, ' ', '')) OR (synonym IS NOT NULL AND contains(t, synonym)) THEN 1.0 ELSE 0.75 * len(list_filter(string_split(kk.keyword, ' '), lambda x: list_contains(w, x))) / len(string_split(kk.keyword, ' ')) END one FROM kk LEFT JOIN sy ON sy.keyword = kk.keyword),
+km AS (SELECT i.item_id, coalesce(avg(one), 1.0)::DOUBLE score, count(*) FILTER (WHERE one >= 0.5) matched, count(keyword) total, coalesce(string_agg(keyword, '|' ORDER BY keyword) FILTER (WHERE one < 0.5), '') missing FROM items i LEFT JOIN o USING (item_id) GROUP BY 1)"""
 
 
-def _match(spark, sf):
+def _match(spark, sf, fuzzy=False):
     syn = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("keyword"), F.lit(b).alias("synonym")) for a, b in SYN])).alias("s")).select("s.*")
-    return M.keyword_match(kws(spark, sf), syn)
+    k = lambda *at: F.concat_ws(" ", *[F.get("keywords", F.lit(i)) for i in at])
+    two = F.when(F.size("keywords") >= 2, k(0, 1))
+    three = F.when(F.size("keywords") >= 5, k(2, 3, 4))
+    words = kws(spark, sf).withColumn("keywords", F.array_compact(F.concat(F.slice("keywords", 1, 4), F.array(two, three))))
+    return M.keyword_match(words, syn, fuzzy)
 
 
-@query("i5_keyword_match", f"WITH {MATCH_SQL} SELECT item_id, round(score, 9) score, matched, total FROM km")
+@query("i5_keyword_match", f"WITH {MATCH_SQL} SELECT item_id, round(score, 9) score, matched, total, missing FROM km")
 def i5(spark, sf):
-    return _match(spark, sf).withColumn("score", F.round("score", 9))
+    return _match(spark, sf).withColumns({"score": F.round("score", 9), "missing": F.array_join("missing", "|")})
+
+
+@query("i5_keyword_match_fuzzy")
+def i5f(spark, sf):
+    return _match(spark, sf, fuzzy=True)
 
 
 @query("i6_keyword_summary", f"WITH {MATCH_SQL} SELECT count(*) items, round(avg(score), 9) mean_score, count(*) FILTER (WHERE score >= 0.6) passed, count(*) FILTER (WHERE score < 0.6) failed, round(avg((score >= 0.6)::INT), 9) pass_rate FROM km")
@@ -82,12 +91,15 @@ METHODS = {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}
 
 
 @query("i8_combine_methods", """
-WITH s AS (SELECT user_id item_id, chr(CAST(97 + event_id % 4 AS INTEGER)) AS method, max(value) score FROM events WHERE user_id % 3 <> event_id % 4 GROUP BY 1, 2), w AS (SELECT *, CASE method WHEN 'a' THEN 0.4 WHEN 'b' THEN 0.3 WHEN 'c' THEN 0.2 ELSE 0.1 END w FROM s)
-SELECT item_id, round((sum(score * w) / sum(w))::DOUBLE, 9) score, max_by(method, (score, method)) best FROM w GROUP BY 1""")
+WITH s AS (SELECT user_id item_id, chr(CAST(97 + event_id % 4 AS INTEGER)) AS method, max(value) / 40 score FROM events WHERE user_id % 3 <> event_id % 4 GROUP BY 1, 2), w AS (SELECT *, CASE method WHEN 'a' THEN 0.4 WHEN 'b' THEN 0.3 WHEN 'c' THEN 0.2 ELSE 0.1 END w FROM s),
+c AS (SELECT item_id, (sum(score * w) / sum(w))::DOUBLE score, max_by(method, (score, w)) best FROM w GROUP BY 1)
+SELECT item_id, round(score, 9) score, best, 0.6 - CASE WHEN item_id % 2 = 0 THEN 0.05 ELSE 0 END - CASE WHEN item_id % 5 = 0 THEN 0.05 ELSE 0 END threshold, score >= 0.6 - CASE WHEN item_id % 2 = 0 THEN 0.05 ELSE 0 END - CASE WHEN item_id % 5 = 0 THEN 0.05 ELSE 0 END passes FROM c""")
 def i8(spark, sf):
     e = table(spark, sf, "events").where("user_id % 3 <> event_id % 4")
-    s = e.groupBy(F.col("user_id").alias("item_id"), F.element_at(F.array(*map(F.lit, "abcd")), (F.col("event_id") % 4 + 1).cast("int")).alias("method")).agg(F.max("value").alias("score"))
-    return M.combine_methods(s, METHODS).withColumn("score", F.round("score", 9))
+    s = e.groupBy(F.col("user_id").alias("item_id"), F.element_at(F.array(*map(F.lit, "abcd")), (F.col("event_id") % 4 + 1).cast("int")).alias("method")).agg((F.max("value") / 40).alias("score"))
+    i = F.col("item_id")
+    t = s.select("item_id").distinct().select("item_id", M.adaptive_threshold(F.when(i % 2 == 0, "chinese").otherwise("english"), F.when(i % 5 == 0, "technical").otherwise("general")).alias("threshold"))
+    return M.combine_methods(s, METHODS, t).withColumns({"score": F.round("score", 9), "threshold": F.round("threshold", 9)})
 
 
 @query("i9_domain_rule_score", f"WITH {I.ITEMS_SQL} SELECT item_id, (contains(lower(answer), 'the')::INT + contains(lower(answer), 'de ')::INT + regexp_matches(answer, '[A-Z][a-z]+ing')::INT) / 3 score FROM items")
@@ -180,3 +192,15 @@ SELECT item_id, CASE WHEN nx > 0 THEN hit / nx ELSE 0 END::DOUBLE "precision", C
 def i18(spark, sf):
     t = I.items(spark, sf).select("item_id", T.tokens(F.col("answer")).alias("at"), T.tokens(F.col("question")).alias("rt"))
     return M.ngram_overlap(t, 2).withColumn("brevity", F.round("brevity", 9))
+
+
+@query("b15_highlight_matches", r"""
+WITH """ + I.ITEMS_SQL + r""", w AS (SELECT item_id, answer, CASE WHEN item_id % 2 = 0 THEN list_filter(regexp_extract_all(question, '[A-Z][a-z]{3,}'), lambda x: x <> '') ELSE [] END e FROM items),
+a AS (SELECT item_id, unnest(l) t, unnest(range(len(l))) p FROM (SELECT item_id, list_filter(string_split_regex(answer, '[\s,.;:!?、。，！？·\-–—/\\()\[\]{}\"「」『』【】《》〈〉]+'), lambda x: length(x) >= 4) l FROM w WHERE len(e) = 0)),
+r AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY length(t) DESC, p) n FROM (SELECT item_id, t, min(p) p FROM a GROUP BY 1, 2)),
+terms AS (SELECT item_id, t, 'entity' tier FROM (SELECT item_id, unnest(e) t FROM w) UNION ALL SELECT item_id, t, 'overlap' FROM r WHERE n <= 12)
+SELECT c.item_id, c.rank - 1 pos, coalesce(any_value(tier), 'none') tier, CAST(coalesce(sum((length(context) - length(replace(lower(context), lower(t), ''))) // length(t)), 0) AS BIGINT) matches FROM (SELECT item_id, context, row_number() OVER (PARTITION BY item_id ORDER BY rank) rank FROM ctx) c LEFT JOIN terms t ON t.item_id = c.item_id GROUP BY c.item_id, c.rank""")
+def b15(spark, sf):
+    i = I.full_items(spark, sf)
+    entities = F.when(F.col("item_id") % 2 == 0, F.regexp_extract_all("question", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
+    return M.highlight_matches(i.withColumn("entities", entities)).withColumn("pos", F.col("pos").cast("long"))

@@ -45,9 +45,10 @@ def j4(spark, sf):
     return rounded(S.robust_stats(long(spark, sf)), "mean", "std")
 
 
-@query("j5_nan_tolerance", f"{M} SELECT item_id, round(coalesce(value, avg(value) OVER (PARTITION BY run_id, metric), 0), 9) AS value FROM f")
+@query("j5_nan_tolerance", f"{M} SELECT item_id, seq, round(coalesce(value, avg(value) OVER (PARTITION BY item_id), 0), 9) AS value FROM (SELECT item_id // 4 item_id, item_id seq, value FROM f)")
 def j5(spark, sf):
-    return rounded(S.nan_tolerance(long(spark, sf), "mean"), "value").select("item_id", "value")
+    records = long(spark, sf).select(F.lit("all").alias("run_id"), F.floor(F.col("item_id") / 4).alias("item_id"), F.col("item_id").alias("seq"), "metric", "value")
+    return rounded(S.nan_tolerance(records, "mean"), "value").select("item_id", "seq", "value")
 
 
 @query("j6_latency_stats", "SELECT event_type metric, round(avg(value), 9) avg, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.9) p90, quantile_disc(value, 0.99) p99 FROM events GROUP BY 1")
@@ -120,9 +121,13 @@ def j18(spark, sf):
     return rounded(S.pivot_scores(long(spark, sf).withColumn("item", F.col("item_id") % 500), ["click", "view"]), "click", "view")
 
 
-@query("j19_normalize_items", f"WITH {LONG} SELECT id::VARCHAR id, 'Faithfulness' metric, a AS value FROM wide UNION ALL SELECT id::VARCHAR, 'b', b FROM wide WHERE b BETWEEN 0 AND 1 UNION ALL SELECT id::VARCHAR, 'c', c FROM wide WHERE c BETWEEN 0 AND 1")
+@query("j19_normalize_items", f"""
+WITH {LONG}, i AS (SELECT CASE WHEN id % 3 <> 0 THEN id::VARCHAR ELSE event_type END id, CASE WHEN id % 2 = 0 THEN user_id ELSE b * 100 END::DOUBLE latency_ms, a, b, c FROM wide)
+SELECT id, latency_ms, 'Faithfulness' metric, a AS value FROM i UNION ALL SELECT id, latency_ms, 'b', b FROM i WHERE b BETWEEN 0 AND 1 UNION ALL SELECT id, latency_ms, 'c', c FROM i WHERE c BETWEEN 0 AND 1 UNION ALL SELECT id, latency_ms, 'nested', (a + b) / 2 FROM i WHERE (a + b) / 2 BETWEEN 0 AND 1""")
 def j19(spark, sf):
-    return S.normalize_items(wide(spark, sf).select("id", F.col("a").alias("faithfulness_score"), "b", "c"))
+    w, i = wide(spark, sf), F.col("id")
+    nested = F.create_map(F.lit("b"), F.lit(0.5), F.lit("nested"), (F.col("a") + F.col("b")) / 2)
+    return S.normalize_items(w.select(F.when(i % 3 != 0, i).alias("index"), F.col("event_type").alias("sample_id"), F.col("a").alias("faithfulness"), "b", "c", F.when(i % 2 == 0, F.col("user_id")).alias("latency_ms"), (F.col("b") * 100).alias("latency"), nested.alias("scores")))
 
 
 @query("j20_metric_coverage", f"WITH {LONG}, s AS (SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE a END a, b FROM wide ORDER BY id LIMIT 1000) SELECT 'a' metric, count(a) / count(*) coverage FROM s UNION ALL SELECT 'b', count(b) / count(*) FROM s")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.trends import drift_metrics, drift_status
 from ..streaming import events as E
 from .io_queries import _folder
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
+from .trends_queries import runs
+
+DRIFT_STATUS_SQL = ORACLE_SQL["l3_drift_status"]
 
 NAMES = ("document.ingested", "document.processed", "testset.created", "run.completed", "report.completed")
 NAME_SQL = "CASE event_id % 5 WHEN 0 THEN 'document.ingested' WHEN 1 THEN 'document.processed' WHEN 2 THEN 'testset.created' WHEN 3 THEN 'run.completed' ELSE 'report.completed' END"
@@ -23,12 +27,12 @@ def stream(spark, sf):
     return spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
-@query("s1_valid_envelopes", f"SELECT {NAME_SQL} AS event, count(*) n FROM events WHERE event_id % 10 <> 3 GROUP BY 1")
+@query("s1_valid_envelopes", f"SELECT {NAME_SQL} AS event, event_id seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 10 NOT IN (3, 7)")
 def s1(spark, sf):
     e = named(table(spark, sf, "events"))
     seq = F.when(F.col("event_id") % 10 == 3, -1).otherwise(F.col("event_id"))
-    raw = e.select(F.to_json(F.struct("event", seq.alias("seq"), F.col("ts").alias("timestamp"))).alias("value"))
-    return E.valid_envelopes(raw).groupBy("event").agg(F.count("*").alias("n"))
+    raw = e.select(F.when(F.col("event_id") % 10 == 7, "no envelope").otherwise(F.to_json(F.struct("event", seq.alias("seq"), F.col("ts").alias("timestamp")))).alias("value"))
+    return E.valid_envelopes(raw).select("event", "seq", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("s2_topic_filter", f"SELECT event_id FROM events WHERE {NAME_SQL} LIKE 'document.%' OR {NAME_SQL} LIKE 'run.%'")
@@ -36,15 +40,21 @@ def s2(spark, sf):
     return E.topic_filter(named(table(spark, sf, "events")), ["document", "run"]).select("event_id")
 
 
-@query("s3_sequence_gaps", "WITH k AS (SELECT user_id source, (event_id // 50) seq FROM events), r AS (SELECT source, min(seq) a, max(seq) b FROM k GROUP BY 1), s AS (SELECT source, unnest(range(a, b + 1)) seq FROM r) SELECT source, seq missing FROM s WHERE (source, seq) NOT IN (SELECT (source, seq) FROM k)")
+GAPS_SQL = "WITH k AS (SELECT user_id source, (event_id // 50) seq FROM events), r AS (SELECT source, min(seq) a, max(seq) b FROM k GROUP BY 1), s AS (SELECT source, unnest(range(a, b + 1)) seq FROM r) SELECT source, seq missing FROM s WHERE (source, seq) NOT IN (SELECT (source, seq) FROM k)"
+
+
+@query("s3_sequence_gaps", GAPS_SQL)
 def s3(spark, sf):
     return E.sequence_gaps(table(spark, sf, "events").select(F.col("user_id").alias("source"), F.floor(F.col("event_id") / 50).alias("seq")))
 
 
-@query("s3_stream_sequence_gaps")
+@query("s3_stream_sequence_gaps", GAPS_SQL)
 def s3s(spark, sf):
+    """What the stream told: the numbers of its gaps that were not filled later."""
     e = stream(spark, sf).select(F.col("user_id").alias("source"), F.floor(F.col("event_id") / 50).alias("seq"), F.col("ts").cast("timestamp").alias("timestamp"))
-    return E.run_to_end(spark, E.stream_sequence_gaps(e), _folder(spark, sf, "gaps"), _folder(spark, sf, "state"))
+    told = E.run_to_end(spark, E.stream_sequence_gaps(e), _folder(spark, sf, "gaps"), _folder(spark, sf, "state"))
+    numbers = told.select("source", "kind", F.explode(F.sequence("first", "last")).alias("missing"))
+    return numbers.where("kind = 'gap'").select("source", "missing").exceptAll(numbers.where("kind = 'filled'").select("source", "missing"))
 
 
 @query("s4_stale_sources", """
@@ -71,19 +81,18 @@ def s6(spark, sf):
 @query("s7_stream_dedup", "SELECT count(DISTINCT event_id // 2) n FROM events")
 def s7(spark, sf):
     e = stream(spark, sf).select(F.floor(F.col("event_id") / 2).alias("checksum"), F.col("ts").cast("timestamp").alias("timestamp"))
-    out = E.run_to_end(spark, E.stream_dedup(e, late="400 days"), _folder(spark, sf, "dedup"), _folder(spark, sf, "state"))
+    out = E.run_to_end(spark, E.stream_dedup(e, late="1 hour"), _folder(spark, sf, "dedup"), _folder(spark, sf, "state"))
     return out.agg(F.count("*").alias("n"))
 
 
-@query("s8_stream_drift")
+@query("s8_stream_drift", DRIFT_STATUS_SQL)
 def s8(spark, sf):
-    from .trends_queries import runs
-
     src, seen = _folder(spark, sf, "runs"), []
     runs(spark, sf).write.parquet(src)
     r = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     E.stream_drift(r, _folder(spark, sf, "history"), _folder(spark, sf, "state"), seen.append).awaitTermination()
-    return seen[-1]
+    none = runs(spark, sf).where("false")  # the status where no batch came
+    return seen[-1] if seen else drift_status(drift_metrics(none), none)
 
 
 @query("s9_stage_funnel", f"""

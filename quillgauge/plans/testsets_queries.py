@@ -25,9 +25,12 @@ def n2(spark, sf):
     return N.focus(c, "source")
 
 
-@query("n3_assign_scenarios")
+SCENARIO_TABLE = N.scenario_table([("own-audit", "audit")], 7)
+
+
+@query("n3_assign_scenarios", f"SELECT draft_id, ([{', '.join(repr(a) for a, _ in SCENARIO_TABLE)}])[CAST((row_number() OVER (ORDER BY draft_id) - 1) % {len(SCENARIO_TABLE)} AS INTEGER) + 1] scenario_id FROM (SELECT doc_id::VARCHAR draft_id FROM documents)")
 def n3(spark, sf):
-    return N.assign_scenarios(_chunks(spark, sf).select(F.col("id").cast("string").alias("draft_id"))).select("draft_id", "scenario_id")
+    return N.assign_scenarios(_chunks(spark, sf).select(F.col("id").cast("string").alias("draft_id")), SCENARIO_TABLE).select("draft_id", "scenario_id")
 
 
 @query("n4_inject_persona", "SELECT conv_id, turn, left(text || chr(10) || '(asked by: auditor)', 256) question FROM conversations WHERE role = 'user'")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EVAL_KEYS = ("items", "results", "evaluations", "records", "rows", "data")
-KPI_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("metrics", T.MapType(T.StringType(), T.StructType([T.StructField("average", T.DoubleType())])))])
+KPI_SCHEMA = "run_id string, metrics map<string, struct<average: double>>"
 
 
 def read_csv_docs(spark: SparkSession, paths: list[str], required: list[str], sep: str = ",", quote: str = '"', encoding: str = "UTF-8") -> DataFrame:
@@ -56,27 +56,36 @@ def rows_to_documents(df: DataFrame) -> Column:
 
 
 def read_eval_items(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
-    """Items of files that are an array, or hold one below a usual key."""
-    text = spark.read.text(path, wholetext=True)
-    arrays = [F.from_json(F.get_json_object("value", f"$.{k}"), T.ArrayType(item)) for k in EVAL_KEYS]
-    whole = F.when(F.ltrim("value").startswith("["), F.from_json("value", T.ArrayType(item)))
-    return text.select(F.explode(F.coalesce(whole, *arrays)).alias("i")).select("i.*")
-
-
-def load_run_kpis(spark: SparkSession, root: str) -> DataFrame:
-    """path, run_id (else the folder's name), metrics of every kpis.json below a root; bad files are left out."""
-    df = spark.read.schema(KPI_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "kpis.json").json(root)
+    """Items of JSON files that are an array, or hold one below a usual key (one level deeper too), or else their first array."""
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    entries = lambda c: F.from_json(c, "map<string,string>")
+    is_array = lambda c: F.when(F.ltrim(c).startswith("["), c)
+    top = text.select(F.col("value"), F.when(F.ltrim("value").startswith("{"), entries(F.col("value"))).alias("top"))
+    deeper = [F.when(F.ltrim(F.col("top")[k]).startswith("{"), entries(F.col("top")[k])).alias(f"in_{k}") for k in EVAL_KEYS]
+    top = top.select("value", "top", *deeper)
+    found = [c for k in EVAL_KEYS for c in (is_array(F.col("top")[k]), *[is_array(F.col(f"in_{k}")[kk]) for kk in EVAL_KEYS])]
+    first = F.get(F.filter(F.map_values("top"), lambda v: F.ltrim(v).startswith("[")), F.lit(0))
+    array = F.coalesce(is_array(F.col("value")), *found, first)
+    return top.select(F.explode(F.from_json(array, T.ArrayType(item))).alias("i")).where("i is not null").select("i.*")
+
+
+def load_run_kpis(spark: SparkSession, root: str, name: str = "kpis.json") -> DataFrame:
+    """path, run_id (else the folder's name), metrics of every file of that name below a root; bad files are left out."""
+    df = spark.read.schema(KPI_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
     path = F.col("_metadata.file_path")
     return df.select(path.alias("path"), F.coalesce("run_id", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("run_id"), F.transform_values("metrics", lambda _, v: v.average).alias("metrics"))
 
 
-def load_run_telemetry(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """Telemetry rows with the latest metadata file of their run's folder."""
-    read = lambda glob: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("folder")
-    t = read("telemetry*.json").schema(schema).option("multiLine", True).json(root).select(folder, "*")
-    m = read("metadata*.json").text(root, wholetext=True).select(folder, F.col("_metadata.file_path").alias("p"), "value").groupBy("folder").agg(F.max_by("value", "p").alias("metadata"))
-    return t.join(m, "folder", "left")
+def load_run_telemetry(spark: SparkSession, root: str, schema: str, telemetry: str = "*/telemetry/pipeline_run_*.json", metadata: str = "*/metadata/evaluation_metadata_*.json") -> DataFrame:
+    """run_path, run_id (else the run folder's name), the telemetry's other fields, and the latest metadata file of the run as text."""
+    path = F.col("_metadata.file_path")
+    run = F.regexp_extract(path, r"^(.*)/[^/]+/[^/]+$", 1).alias("run_path")
+    folders = lambda pattern: f"{root}/{pattern.rpartition('/')[0]}"
+    t = spark.read.option("pathGlobFilter", telemetry.rpartition("/")[2]).schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(folders(telemetry)).select(run, "*")
+    m = spark.read.option("pathGlobFilter", metadata.rpartition("/")[2]).text(folders(metadata), wholetext=True).select(run, path.alias("p"), "value").groupBy("run_path").agg(F.max_by("value", "p").alias("evaluation_metadata"))
+    name = F.regexp_extract("run_path", r"([^/]+)$", 1)
+    out = t.join(m, "run_path", "left")
+    return out.withColumn("run_id", F.coalesce("run_id", name)) if "run_id" in out.columns else out.withColumn("run_id", name)
 
 
 def write_chunks(chunks: DataFrame, path: str, fmt: str = "json") -> None:
@@ -99,19 +108,29 @@ def item_manifest(items: DataFrame, success: str) -> DataFrame:
     return items.agg(F.count("*").alias("items"), F.count_if(success).alias("successes"), F.count_if(~F.col(success)).alias("failures"), F.sum(F.octet_length(row)).alias("bytes"), F.sum(part).cast("string").alias("checksum"))
 
 
-def write_kpis(kpis: DataFrame, path: str) -> None:
-    """{run_id, metrics} as JSON, one row a run; Spark's commit makes it whole or absent."""
+def write_kpis(kpis: DataFrame, counts: DataFrame, path: str, by: str | None = None) -> None:
+    """{run_id, counts, metrics} as JSON, one row a run; Spark's commit makes it whole or absent.
+
+    kpis: run_id, metric and the distribution; counts: run_id and any numbers;
+    with ``by``, a column of counts, each run goes to a folder of its own.
+    """
     m = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.struct("count", "min", "max", "average", "p50", "p95")))))
-    kpis.groupBy("run_id").agg(m.alias("metrics")).write.mode("overwrite").json(path)
+    c = counts.select("run_id", F.struct(*[x for x in counts.columns if x not in ("run_id", by)]).alias("counts"), *([by] if by else []))
+    out = c.join(kpis.groupBy("run_id").agg(m.alias("metrics")), "run_id", "left").write.mode("overwrite")
+    (out.partitionBy(by) if by else out).json(path)
 
 
-def artifact_manifest(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
-    """name, exists, size, sha256 of files expected in a folder."""
+def match_artifacts(have: DataFrame, spark: SparkSession, expected: list[str]) -> DataFrame:
+    """name, exists, size, sha256 of each expected name."""
     want = spark.range(1).select(F.explode(F.array(*map(F.lit, expected))).alias("name"))
-    have = read_objects(spark, folder).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
     return want.join(have, "name", "left").select("name", F.col("size").isNotNull().alias("exists"), "size", "sha256")
 
 
+def artifact_manifest(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
+    """name, exists, size, sha256 of files expected in a folder; the missing ones are those that do not exist."""
+    return match_artifacts(read_objects(spark, folder).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)), spark, expected)
+
+
 def write_kg(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/relationships")
@@ -121,11 +140,22 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=False)
 
 
+#: An item of a list literal: quoted either way with backslash escapes, or bare.
+LIST_ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^\s,\[\]'"]+"""
+
+
+def list_literal(text: Column) -> Column:
+    """The items of a list written as text, as Python or JSON writes it; empty where it is none."""
+    items = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LIST_ITEM), F.lit(0))
+    inner = lambda x: F.when(x.rlike("^['\"]"), F.regexp_replace(F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("\\n"), F.lit("\n")), r"\\(.)", "$1")).otherwise(x)
+    return F.when(F.trim(text).rlike(r"(?s)^\[.*\]$"), F.transform(items, inner)).otherwise(F.array().cast("array<string>"))
+
+
 def restore_types(df: DataFrame, lists: list[str], lines: list[str], numbers: list[str], dates: list[str]) -> DataFrame:
     """Columns of a table read from text: list literals and newline-joined texts to arrays, numbers, timestamps."""
     out = df
     for c in lists:
-        out = out.withColumn(c, F.coalesce(F.from_json(F.translate(c, "'", '"'), "array<string>"), F.array().cast("array<string>")))
+        out = out.withColumn(c, list_literal(F.col(c)))
     for c in lines:
         out = out.withColumn(c, F.filter(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), lambda x: F.trim(x) != ""))
     for c in numbers:
