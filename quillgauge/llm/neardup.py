@@ -18,8 +18,12 @@ so that no link between components can be missed.
 
 Edge cases: a null or empty text has no shingles and is linked with nothing;
 texts of fewer words than a shingle has are one shingle, the whole sequence; a
-row without an id is linked with nothing and kept; rows that share an id give
-a row each; an empty table gives an empty result; other columns are ignored.
+very long text is hashed whole, with all its shingles; a row without an id is
+linked with nothing and kept; rows that share an id give a row each and count
+as one document where both are compared; of equal texts the smallest id stands
+for all; an empty table gives an empty result; other columns, whatever their
+names, are ignored.  The many copies of one text, or the members of one large
+component, are never gathered: their class's row is brought to them.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import settle
+from ..operators.graph import component_roots
+from .shared import discard, hot_join, settle
 
 #: Default width of a shingle in words, and least similarity in per cent.
 WIDTH, PERCENT = 5, 80
@@ -104,11 +109,26 @@ def describe(text: Column, width: int) -> Column:
 
 
 def trees_for(recall: float, percent: int = PERCENT, branches: int = BRANCHES, depth: int = LAST_DEPTH) -> int:
-    """Trees after which a pair of just this similarity has met with the probability ``recall``."""
-    lost = 0.0
-    for _ in range(depth):
-        lost = (1 - percent / 100 * (1 - lost)) ** branches
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+    """Trees after which a pair of just this similarity has met with the probability ``recall``.
+
+    All trees draw from the same signature, so they are independent only given
+    the share of its positions at which the pair agrees: the loss is averaged
+    over that share.
+    """
+
+    def lost(share: float) -> float:
+        out = 0.0
+        for _ in range(depth):
+            out = (1 - share * (1 - out)) ** branches
+        return out
+
+    p, agree = percent / 100, np.arange(POSITIONS + 1)
+    weight = np.array([math.comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k) for k in agree])
+    each = np.array([lost(k / POSITIONS) for k in agree])
+    trees = 1
+    while (weight * each**trees).sum() > 1 - recall:
+        trees += 1
+    return trees
 
 
 def children(key: Column, sig: Column) -> list[Column]:
@@ -151,6 +171,24 @@ class Forest:
         return True
 
 
+class Parts:
+    """Components with the label of every member at hand; a join relabels the smaller one."""
+
+    def __init__(self, n: int):
+        self.label, self.members, self.largest = np.arange(n), {i: [i] for i in range(n)}, 0
+
+    def join(self, i: int, j: int) -> None:
+        i, j = int(self.label[i]), int(self.label[j])
+        if i != j:
+            if len(self.members[i]) < len(self.members[j]):
+                i, j = j, i
+            moved = self.members.pop(j)
+            self.label[moved] = i
+            self.members[i] += moved
+            if len(self.members[i]) > len(self.members.get(self.largest, ())):
+                self.largest = i
+
+
 def by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys (the first column); a run is never parted."""
     held: list[pa.RecordBatch] = []
@@ -217,7 +255,9 @@ def candidate_pairs(reps: DataFrame, percent: int, recall: float, node_limit: in
         whole = nodes.join(large.where("alike").select("key", "least"), "key").where(F.col("rep") != F.col("least"))
         found.append(settle(whole.select(F.col("least").alias("x"), F.col("rep").alias("y")).distinct(), "pairs"))
         deeper = nodes.drop("above").join(large.where("not alike").select("key", F.col("n").alias("above")), "key")
-        nodes = settle(deeper.select(F.explode(F.array(*children(F.col("key"), sig))).alias("key"), "rep", "sig", "s0", "s1", "above"), "nodes")
+        below = settle(deeper.select(F.explode(F.array(*children(F.col("key"), sig))).alias("key"), "rep", "sig", "s0", "s1", "above"), "nodes")
+        discard(nodes, large)
+        nodes = below
         depth += 1
         if nodes.isEmpty():
             break
@@ -227,28 +267,6 @@ def candidate_pairs(reps: DataFrame, percent: int, recall: float, node_limit: in
     return settle(out.distinct(), "candidates")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, root (the smallest id of its component) for all ends of the edges.
-
-    Alternates large-star and small-star steps (Kiveris et al. 2014), each edge
-    set written to the shared folder, until the edges form stars.
-    """
-    edges = settle(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
-    mark = None
-    while True:
-        both = edges.union(edges.select("y", "x"))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("m").alias("x"), "y").where("x <> y")
-        below = large.groupBy("y").agg(F.min("x").alias("m"))
-        small = large.join(below, "y").select(F.col("m").alias("x"), F.explode(F.array("x", "y")).alias("y")).where("x <> y").distinct()
-        edges = settle(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("y").alias("id"), F.col("x").alias("root")).union(edges.select("x", "x").distinct())
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether the exact similarity of two sorted sets reaches the threshold."""
     la, lb = len(a), len(b)
@@ -283,28 +301,25 @@ class Index:
         return np.flatnonzero((shared > 0) & (100 * shared >= percent * (self.sizes + self.sizes[q] - shared))).tolist()
 
 
-def confirm(sets: list[np.ndarray], percent: int) -> Forest:
+def confirm(sets: list[np.ndarray], percent: int) -> Parts:
     """Components of the exact links between the sets.
 
     One set after the other, the most central first, is compared with all,
     until all sets outside the largest component have been.
     """
-    m, forest = len(sets), Forest(len(sets))
+    m, parts = len(sets), Parts(len(sets))
     if m == 2:
         if linked(*sets, percent):
-            forest.join(0, 1)
-        return forest
+            parts.join(0, 1)
+        return parts
     index = Index(sets)
-    score, waiting = index.central(), np.ones(m, bool)
-    while waiting.any():
+    score = index.central()
+    while (waiting := (score >= 0) & (parts.label != parts.largest)).any():
         q = int(np.argmax(np.where(waiting, score, -1.0)))
         for j in index.links(q, percent):
-            forest.join(q, j)
+            parts.join(q, j)
         score[q] = -1.0  # asked
-        root = np.array([forest.find(i) for i in range(m)])
-        kinds, counts = np.unique(root, return_counts=True)
-        waiting = (score >= 0) & (root != kinds[counts.argmax()])
-    return forest
+    return parts
 
 
 def confirm_groups(width: int, percent: int):
@@ -316,14 +331,12 @@ def confirm_groups(width: int, percent: int):
             edge = [0, *(np.flatnonzero(np.diff(comp)) + 1).tolist(), len(comp)]
             out = []
             for a, b in zip(edge, edge[1:], strict=False):
-                forest = confirm([shingle_set(x, width) for x in t.column(2).slice(a, b - a).to_pylist()], percent)
+                parts = confirm([shingle_set(x, width) for x in t.column(2).slice(a, b - a).to_pylist()], percent)
                 first: dict[int, int] = {}
                 for i, r in enumerate(reps[a:b]):
-                    forest.join(first.setdefault(r, i), i)
-                best: dict[int, int] = {}
-                for i, r in enumerate(reps[a:b]):
-                    best[k] = min(best.get(k := forest.find(i), r), r)
-                out += [(r, best[forest.find(i)]) for i, r in enumerate(reps[a:b])]
+                    parts.join(first.setdefault(r, i), i)
+                best = {k: min(reps[a + i] for i in members) for k, members in parts.members.items()}
+                out += [(r, best[k]) for r, k in zip(reps[a:b], parts.label.tolist(), strict=True)]
             ids, roots = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["id", "root"])
 
@@ -355,9 +368,9 @@ def centrality(members: DataFrame) -> DataFrame:
     rows = members.select("comp", "rep", "size", "sig").distinct()
     each = rows.select("comp", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(POSITIONS)), lambda i: F.substring("sig", i, 1))).alias("p", "b"))
     modes = each.groupBy("comp", "p", "b").count().groupBy("comp", "p").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    usual = modes.groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "b"))), lambda x: x.b).alias("usual"))
+    usual = rows.groupBy("comp").agg(F.count("*").alias("n")).join(modes.groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "b"))), lambda x: x.b).alias("usual")), "comp")
     hits = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda i: F.substring("sig", i + 1, F.lit(1)) == F.get("usual", i))
-    return rows.join(usual, "comp").select("comp", "rep", "size", F.size(hits).alias("score"))
+    return hot_join(rows, usual, "comp", rows.count()).select("comp", "rep", "size", F.size(hits).alias("score"))
 
 
 def confirm_large(members: DataFrame, width: int, percent: int, block_docs: int = BLOCK_DOCS, leaders: int = LEADERS) -> DataFrame:
@@ -369,7 +382,7 @@ def confirm_large(members: DataFrame, width: int, percent: int, block_docs: int
         if links is None:
             waiting, most = ids, leaders // 32
         else:
-            roots = components(links)
+            roots = component_roots(links)
             labelled = settle(ids.join(roots, ids.rep == roots.id, "left").select("comp", "rep", "size", "score", F.coalesce("root", "rep").alias("root")), "labelled")
             sizes = labelled.groupBy("comp", "root").count().groupBy("comp").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
             waiting, most = labelled.join(sizes, ["comp", "root"], "left_anti").join(asked, "rep", "left_anti"), leaders
@@ -394,24 +407,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = settle(texts.select("doc_id", describe(F.col("text"), width).alias("d")).select("doc_id", "d.*"), "sets")
     some = sets.where("n_shingles > 0 and doc_id is not null")
-    reps = some.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "s0", "s1")])
+    reps = some.groupBy("h0", "h1").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "s0", "s1")])
     reps = settle(reps, "classes")
     pairs = candidate_pairs(reps, percent, recall, node_limit)
     if pairs.isEmpty():
         roots = pairs.select(F.col("x").alias("id"), F.col("y").alias("root"))
     else:
-        comps = settle(components(pairs).select(F.col("id").alias("rep"), F.col("root").alias("comp")), "components")
+        comps = settle(component_roots(pairs).select(F.col("id").alias("rep"), F.col("root").alias("comp")), "components")
         sized = comps.join(reps.select("rep", "n_shingles"), "rep").groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
-        sized = settle(sized.select("comp", "n", "all", ((F.col("n") > group_docs) | (F.col("all") > GROUP_SHINGLES)).alias("big")), "sizes")
-        members = comps.join(sized, "comp").join(texts, F.col("rep") == F.col("doc_id")).select("comp", "rep", "text", "n", "all", "big")
+        sized = settle(sized.select("comp", "n", F.col("n").alias("docs"), "all", ((F.col("n") > group_docs) | (F.col("all") > GROUP_SHINGLES)).alias("big")), "sizes")
+        members = hot_join(comps, sized, "comp", comps.count()).join(texts, F.col("rep") == F.col("doc_id")).select("comp", "rep", "text", F.col("docs").alias("n"), "all", "big")
         fits = members.where(~F.col("big")).select("comp", "rep", "text").repartition("comp").sortWithinPartitions("comp", "rep")
         roots = settle(fits.mapInArrow(confirm_groups(width, percent), "id long, root long").distinct(), "roots")
         if not sized.where("big").isEmpty():
             large = members.where("big").join(reps.select("rep", "sig", F.col("n_shingles").alias("size")), "rep").select("comp", "rep", "text", "sig", "size", "n", "all")
             roots = roots.union(confirm_large(large, width, percent))
     moved = roots.where("id <> root")
-    named = reps.select("h0", "h1", "rep").join(moved, F.col("rep") == F.col("id"), "left").select("h0", "h1", F.coalesce("root", "rep").alias("component"))
-    left = sets.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("h0")).alias("a"), F.col("h1").alias("b"))
-    out = left.join(named, (F.col("a") == F.col("h0")) & (F.col("b") == F.col("h1")), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = reps.join(moved, F.col("rep") == F.col("id"), "left").select(F.struct("h0", "h1").alias("h"), "n", F.coalesce("root", "rep").alias("component"))
+    key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.struct("h0", "h1")).alias("h")
+    left = sets.select("doc_id", "n_shingles", key)
+    linked_ = hot_join(left.where("h is not null"), named, "h", sets.count())
+    out = linked_.drop("h").unionByName(left.where("h is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
