@@ -1,19 +1,21 @@
 """WARC archives compressed with a Zstandard dictionary.
 
-A dictionary is trained on a bounded sample of the records' payloads, embedded
-in a skippable frame at the head of each archive, and every record is a frame
-of its own.  Records whose payload was archived before are revisits that carry
+A dictionary is trained on a bounded sample of response records as they are
+archived, embedded in a skippable frame at the head of each archive, and every
+record is a frame of its own.  Records whose payload was archived before are revisits that carry
 no payload and refer to the response with the smallest page id.
 
-Archives are written by the tasks, first under a name of the task attempt and
-then renamed, so a task that runs again replaces what it wrote; a manifest
-written by Spark lists those that count.
+Archives are written by the tasks under names of their attempts; a manifest
+that Spark commits lists those of the attempts that count, so a task that runs
+twice or again leaves files that nobody reads but neither loses nor doubles a
+record.
 
 Edge cases: a null html is an empty payload; a null url leaves the target out;
 control characters in a url are percent-encoded; rows that repeat a page id
 are records of their own, all responses if the id is the smallest; a row
-without a page id is never what others refer to; an empty table gives no
-archives and no rows; other columns are ignored.
+without a page id is never what others refer to; a very long payload is one
+record, held in memory by its task; an empty table gives no archives and no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path
+from ..functions.session import HOT_SHARE
+from .shared import fresh_path, settle
 
 #: Payloads of fewer bytes are always archived whole.
 REVISIT_BYTES = 100
-#: Different payloads of the training sample (the first by their digests), bytes of each that are used, size of the dictionary.
+#: Records of different payloads in the training sample (the first by their digests), bytes of each that are used, size of the dictionary.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 16_384, 65_536
 #: Windows, spread evenly from head to end, that a longer payload is read in.
 WINDOWS = 4
@@ -52,24 +55,37 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.octet_length("payload") >= least_bytes)
-    firsts = large.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "least")
-    joined = rows.join(firsts, F.col("digest") == F.col("d"), "left")
+    narrow = rows.select("page_id", "digest", F.octet_length("payload").alias("size"))
+    firsts = narrow.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    firsts = settle(firsts, "firsts")
+    # the copies of a page that many rows have stay where they lie; all others meet by their digest
+    limit = max(100, rows.count() * HOT_SHARE)
+    hot = F.broadcast(firsts.where(F.col("n") > limit).select("digest", F.col("least").alias("hot_least")))  # 1 / HOT_SHARE rows at most
+    marked = rows.join(hot, "digest", "left")
+    cold = firsts.where(F.col("n") <= limit).select("digest", "least")
+    joined = marked.where("hot_least is null").drop("hot_least").join(cold, "digest", "left").unionByName(marked.where("hot_least is not null").withColumnRenamed("hot_least", "least"))
     revisit = F.col("least").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("least")))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("least")).alias("first"))
 
 
 def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from at most ``records`` different payloads, whole or in windows of SAMPLE_BYTES in all; empty where there is too little to learn from."""
-    rows = pages.where((F.length("html") > 0) & F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    """A dictionary from the response records of at most ``records`` different payloads; empty where there is too little to learn from.
+
+    A record is taken whole, or, where its payload is longer than SAMPLE_BYTES,
+    with its headers and windows of the payload of that many bytes in all.
+    """
+    rows = pages.where((F.length("html") > 0) & F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     digest = F.sha2("html", 256)
     # ids first: each partition offers the driver its first by digest, which must not be whole payloads
     ids = [r.page_id for r in rows.groupBy(digest.alias("digest")).agg(F.min("page_id").alias("page_id")).orderBy("digest").limit(records).collect()]
     n, width = F.length("html"), SAMPLE_BYTES // WINDOWS
     at = [F.floor((n - width) * k / (WINDOWS - 1)).cast("int") + 1 for k in range(WINDOWS)]
     parts = F.when(n <= SAMPLE_BYTES, F.array("html")).otherwise(F.array(*[F.substring(F.col("html"), x, F.lit(width)) for x in at]))
-    chosen = rows.where(F.col("page_id").isin(ids)).select(digest.alias("digest"), parts.alias("parts")).dropDuplicates(["digest"]).orderBy("digest").limit(records)
-    sample = [x.encode()[:SAMPLE_BYTES] for r in chosen.collect() for x in r.parts] if ids else []
+    chosen = rows.where(F.col("page_id").isin(ids)).select(digest.alias("digest"), "page_id", "url", parts.alias("parts")).dropDuplicates(["digest"]).orderBy("digest").limit(records)
+    sample = []
+    for r in chosen.collect() if ids else []:
+        first, *others = (x.encode()[:SAMPLE_BYTES] for x in r.parts)
+        sample += [record(r.page_id, r.url, first, r.digest, None), *others]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 8), sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -129,8 +145,8 @@ def write_archives(records: DataFrame, dictionary: bytes, folder: str, archive_b
         def close() -> pa.RecordBatch:
             nonlocal out, at, count, number
             out.close()
-            path = f"{base}/part-{task.partitionId():05d}-{number:05d}.warc.zst"
-            system.move(temp, path)
+            path = f"{base}/part-{task.partitionId():05d}-{number:05d}-attempt-{task.taskAttemptId()}.warc.zst"
+            system.move(temp, path)  # nobody else has this name
             row = pa.RecordBatch.from_pydict({"path": [path], "records": [count], "bytes": [at]})
             out, at, count, number = None, 0, 0, number + 1
             return row
