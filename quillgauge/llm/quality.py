@@ -7,9 +7,14 @@ leading bits of a value, so the relative error is at most 1/16 and adding up
 counts merges sketches.  Fences derived from the quartiles replace fixed
 cutoffs; the documents are then joined with the fences of their group.
 
-Edge cases: a null text has no words and fails the base rules; null language
-or source is a group of its own; repeated ids give repeated rows; an empty
-table gives an empty result; other columns of the input are ignored.
+The slacks of the fences are what a few words, lines or symbols more make in a
+text of ordinary length, so that a group whose quartiles agree (all 0, as a
+rule, for repeated lines) keeps its ordinary documents.
+
+Edge cases: a null text has no words and fails the base rules; a very long
+text is counted whole; a document on a fence is kept; null language or source
+is a group of its own; repeated ids and rows give a row each; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ class Fence:
 
 FENCES = (Fence("word_len", 1500, low=True), Fence("symbols", 150), Fence("dup_lines", 60), Fence("repeats", 150))
 REACH = 4
-MIN_DOCS = 50
+#: Documents that the sketches of all groups together count for in each group.
+POOL_WEIGHT = 50
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 
@@ -122,19 +128,19 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return s.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), at(25).alias("q25"), at(75).alias("q75"))
 
 
-def fence_table(stats: DataFrame, fences=FENCES, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
+def fence_table(stats: DataFrame, fences=FENCES, reach: int = REACH, weight: int = POOL_WEIGHT) -> DataFrame:
     """lang, source and for each metric its low and high bound.
 
-    Groups of fewer than ``min_docs`` documents take the bounds of all groups'
-    sketches merged.
+    A group's quartiles are drawn to those of all groups' sketches merged, as
+    if these were ``weight`` documents more: the more a group has, the less.
     """
     metrics = [f.metric for f in fences]
     fine = sketches(stats, ["lang", "source"], metrics)
     own = quartiles(fine, ["lang", "source"])
     pooled = quartiles(merge(fine, []), []).select(F.col("metric").alias("m"), F.col("q25").alias("p25"), F.col("q75").alias("p75"))
     both = own.join(pooled, F.col("metric") == F.col("m"))
-    small = F.col("docs") < min_docs
-    both = both.select("lang", "source", "metric", F.when(small, F.col("p25")).otherwise(F.col("q25")).alias("a"), F.when(small, F.col("p75")).otherwise(F.col("q75")).alias("b"))
+    drawn = lambda own, pool: F.expr(f"(docs * {own} + {weight} * {pool}) div (docs + {weight})")
+    both = both.select("lang", "source", "metric", drawn("q25", "p25").alias("a"), drawn("q75", "p75").alias("b"))
     bounds = []
     for f in fences:
         mine = F.col("metric") == f.metric
