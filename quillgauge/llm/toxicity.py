@@ -1,47 +1,61 @@
 """Toxicity by a chain of linear classifiers.
 
-The categories are predicted one after the other.  Each category has its own
-logistic regression over the presence of every word of MIN_DOCS documents or
-more; a word's input is the smaller the less its chi-square is above what the
-best of so many unrelated words would reach, so that weak words stay in use
-without drowning the strong ones.  The probabilities of earlier categories are
-further inputs of the later ones.  In training these inputs
-are out-of-fold predictions, so that a later model sees them as noisy as they
-will be in use.
-
-Training fits on a bounded sample of labelled documents (``max_rows``, taken
-by hash), represented by their distinct words; the models are small and are
-applied to every whole text.
+The categories are predicted one after the other, each by a logistic regression
+whose inputs are a document's words, the stems of its words (their first
+letters, which inflected languages share) and the probabilities of the earlier
+categories.  In training these probabilities are out-of-fold predictions, so
+that a later model sees them as noisy as they will be in use.  Which words and
+stems count is decided by chi-square on the rows a model is fitted to, for each
+fold anew; every one that is significant is used, weaker ones with smaller
+inputs, so that they do not drown the strong ones.
+
+Labels tell only whether a document is toxic.  The earlier categories are weak
+labels found in the labelled rows: the indicative word or stem that most toxic
+documents of no category yet have, with those that mostly occur beside it, makes
+a category, and a toxic document that has one of these belongs to it.  Such
+clusters follow the languages and manners of abuse; they have no names.
+
+Training fits on a bounded sample of labelled documents (``max_rows``, taken by
+a hash of the id).  What reaches the driver is the counts of words and stems of
+``MIN_DOCS`` documents or more, and for each document the numbers of the
+significant ones.  The models are small and are applied to every whole text.
 
 Edge cases: a null or empty text has no words and gets the base rates; with no
 labelled rows, or labels of one kind only, a category's probability is that
-constant share (0 if there are no rows); equal texts get equal results; other
-columns are ignored.
+constant share (0 if there are no rows), null labels are no labels, and of a
+document labelled twice the toxic label counts; of documents that share an id
+the first text in order is the labelled one; a very long text counts as the set
+of all its words; a probability of exactly the threshold is toxic; repeated rows
+and equal texts get equal results; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 WORDS = re.compile(r"\w+")
-#: Seed words of the two weakly labelled categories; a toxic document that has one of them belongs to the category.
-#: Where no labelled toxic document has one, the words most typical of toxic documents are dealt to the category instead.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "clown", "loser", "stupid"),
-    "degradation": ("trash", "scum", "worthless", "pathetic", "disgusting"),
-}
+#: Lengths of stems; a stem is written with a star behind it.
+STEMS = (4, 5, 6, 7)
+CATEGORIES = ("category_1", "category_2", "category_3", "category_4")
 FINAL = "toxic"
 MAX_ROWS = 6000
 FOLDS = 5
 RIDGE = 0.05
 MIN_DOCS = 5
+#: Chi-square from which a word counts (one in twenty unrelated ones reaches it).
+LEAST_CHI2 = 3.84
+#: Share of a word's toxic documents that must have a category's first word for it to join.
+BESIDE = 0.3
 THRESHOLD = 0.5
 
 
@@ -49,12 +63,10 @@ def words_of(text: str | None) -> set[str]:
     return set(WORDS.findall(text.lower())) if text else set()
 
 
-def distinct_words(text: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def distinct(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(words_of(t)) for t in texts], dtype=object)
-
-    return distinct(text)
+def features_of(text: str | None) -> set[str]:
+    """The words of a text and their stems."""
+    words = words_of(text)
+    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS))
 
 
 def sigmoid(m: np.ndarray) -> np.ndarray:
@@ -106,102 +118,191 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, dense: n
 
 
 @dataclass(frozen=True)
-class Link:
-    """One model of the chain: words' weights, weights of the earlier categories, intercept."""
+class Chain:
+    """Models of the categories in order: a weight of each feature, weights of the earlier categories, intercepts."""
 
-    category: str
-    words: dict[str, float]
-    earlier: tuple[float, ...]
-    intercept: float
+    categories: tuple[str, ...]
+    features: tuple[str, ...]
+    weights: np.ndarray
+    earlier: tuple[tuple[float, ...], ...]
+    intercepts: tuple[float, ...]
 
+    def indexed(self) -> Indexed:
+        return Indexed(self)
 
-@dataclass(frozen=True)
-class Chain:
-    links: tuple[Link, ...]
 
-    def predict(self, words: set[str]) -> list[float]:
+class Indexed:
+    """The chain with its features at hand by kind."""
+
+    def __init__(self, chain: Chain):
+        self.chain, self.words, self.stems = chain, {}, {k: {} for k in STEMS}
+        for i, f in enumerate(chain.features):
+            if f.endswith("*"):
+                self.stems[len(f) - 1][f[:-1]] = i
+            else:
+                self.words[f] = i
+
+    def predict(self, text: str | None) -> list[float]:
+        words = words_of(text)
+        found = [self.words[w] for w in words & self.words.keys()]
+        for k, stems in self.stems.items():
+            found += [stems[s] for s in {w[:k] for w in words if len(w) > k} & stems.keys()]
+        margins = self.chain.weights[sorted(found)].sum(axis=0)
         out: list[float] = []
-        for link in self.links:
-            m = link.intercept + sum(link.words[w] for w in link.words.keys() & words) + sum(a * p for a, p in zip(link.earlier, out, strict=True))
-            out.append(float(sigmoid(np.float64(m))))
+        for m, earlier, intercept in zip(margins, self.chain.earlier, self.chain.intercepts, strict=True):
+            out.append(float(sigmoid(np.float64(m + intercept + sum(a * p for a, p in zip(earlier, out, strict=True))))))
         return out
 
 
-def word_scores(bags: list[list[str]], y: np.ndarray, min_docs: int = MIN_DOCS) -> tuple[dict[str, float], float, set[str]]:
-    """Chi-square against y of every word of min_docs documents, what the best of so many unrelated words would reach, and the words more frequent where y is 1."""
-    df, pos = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        df.update(bag)
-        if label:
-            pos.update(bag)
-    n, p = len(bags), float(y.sum())
-    score, more = {}, set()
-    for w in sorted(df):
-        if (c := df[w]) >= min_docs:
-            e = c * p / n
-            score[w] = (pos[w] - e) ** 2 / max(e * (1 - c / n) * (1 - p / n), 1e-9)
-            if pos[w] > e:
-                more.add(w)
-    return score, 2 * float(np.log(max(len(score), 2))), more
-
-
-def fit_chain(bags: list[list[str]], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
+def chi_square(df: np.ndarray, pos: np.ndarray, n: float, p: float) -> np.ndarray:
+    """Of features in df of n rows, pos of them among the p rows of the class."""
+    e = df * p / max(n, 1)
+    return (pos - e) ** 2 / np.maximum(e * (1 - df / max(n, 1)) * (1 - p / max(n, 1)), 1e-9) * (p > 0) * (p < n)
+
+
+class Bags:
+    """Documents as the numbers of their features."""
+
+    def __init__(self, found: list[np.ndarray], size: int):
+        self.n, self.size = len(found), size
+        self.row = np.repeat(np.arange(self.n), [len(x) for x in found])
+        self.col = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """For each feature how many of the rows (a mask) have it."""
+        return np.bincount(self.col[rows[self.row]], minlength=self.size).astype(float)
+
+    def having(self, features: np.ndarray) -> np.ndarray:
+        """Documents with any of the features (a mask)."""
+        out = np.zeros(self.n, bool)
+        out[self.row[features[self.col]]] = True
+        return out
+
+    def scale(self, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Input of each feature for a model fitted to the rows used: 0 unless significant there, 1 if beyond what chance gives."""
+        chi = chi_square(self.counts(used), self.counts(used & (y > 0)), used.sum(), y[used].sum())
+        level = 2 * float(np.log(max(self.size, 2)))
+        return np.where(chi >= LEAST_CHI2, np.minimum(1, chi / level), 0.0)
+
+
+def weak_categories(bags: Bags, toxic: np.ndarray, how_many: int) -> list[np.ndarray]:
+    """Weak labels of the categories that the toxic documents fall into, the largest first; all 0 where there are no more."""
+    every, hit = np.ones(bags.n, bool), toxic > 0
+    df, pos = bags.counts(every), bags.counts(hit)
+    chi = chi_square(df, pos, bags.n, hit.sum())
+    indicative = (chi > 2 * np.log(max(bags.size, 2))) & (pos * max(bags.n, 1) > df * hit.sum())
+    out, open_ = [], hit.copy()
+    for _ in range(how_many):
+        covers = np.where(indicative, bags.counts(open_), 0)
+        if not covers.size or covers.max() < MIN_DOCS:
+            out.append(np.zeros(bags.n))
+            continue
+        first = np.arange(bags.size) == np.lexsort((np.arange(bags.size), -chi, -covers))[0]
+        beside = bags.counts(hit & bags.having(first))
+        label = hit & bags.having(indicative & (beside >= BESIDE * np.maximum(pos, 1)))
+        out.append(label.astype(float))
+        open_ &= ~label
+    return out
+
+
+def fit_chain(features: list[str], bags: Bags, labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
     """Fit the models in the order of ``labels``; ``folds`` numbers each row's fold."""
-    links, earlier = [], np.zeros((len(bags), 0))
-    for category, y in labels.items():
-        if not len(bags) or y.all() or not y.any():
-            base = float(np.clip(y.mean() if len(bags) else 0.0, 1e-9, 1 - 1e-9))
-            links.append(Link(category, {}, (0.0,) * earlier.shape[1], float(np.log(base / (1 - base)))))
-            earlier = np.hstack([earlier, np.full((len(bags), 1), base)])
+    weights, before, intercepts, earlier = [], [], [], np.zeros((bags.n, 0))
+    for y in labels.values():
+        if not bags.n or y.all() or not y.any():
+            base = float(np.clip(y.mean() if bags.n else 0.0, 1e-9, 1 - 1e-9))
+            weights.append(np.zeros(bags.size))
+            before.append((0.0,) * earlier.shape[1])
+            intercepts.append(float(np.log(base / (1 - base))))
+            earlier = np.hstack([earlier, np.full((bags.n, 1), base)])
             continue
-        score, level, _ = word_scores(bags, y)
-        at = {w: i for i, w in enumerate(score)}
-        scale = np.minimum(1, np.array([*score.values()], float) / level)
-        found = [[at[w] for w in bag if w in at] for bag in bags]
-        row, col = np.repeat(np.arange(len(bags)), [len(x) for x in found]), np.array([k for x in found for k in x], np.int64)
-        oof = np.zeros(len(bags))
+        fit = lambda used, y=y: fit_logistic(bags.row, bags.col, bags.scale(y, used), earlier, y, used)
+        oof = np.zeros(bags.n)
         for f in np.unique(folds):
             out, rest = folds == f, folds != f
-            if rest.sum() and 0 < y[rest].sum() < rest.sum():
-                w, v = fit_logistic(row, col, scale, earlier, y, rest)
-                oof[out] = sigmoid(np.bincount(row, w[col], len(y)) + earlier @ v[:-1] + v[-1])[out]
+            if rest.any() and 0 < y[rest].sum() < rest.sum():
+                w, v = fit(rest)
+                oof[out] = sigmoid(np.bincount(bags.row, w[bags.col], bags.n) + earlier @ v[:-1] + v[-1])[out]
             else:
-                oof[out] = y.mean()
-        w, v = fit_logistic(row, col, scale, earlier, y, np.ones(len(y), bool))
-        links.append(Link(category, dict(zip(score, map(float, w), strict=True)), tuple(map(float, v[:-1])), float(v[-1])))
+                oof[out] = y[rest].mean() if rest.any() else y.mean()
+        w, v = fit(np.ones(bags.n, bool))
+        weights.append(w)
+        before.append(tuple(map(float, v[:-1])))
+        intercepts.append(float(v[-1]))
         earlier = np.hstack([earlier, oof[:, None]])
-    return Chain(tuple(links))
-
-
-def weak_labels(bags: list[list[str]], toxic: np.ndarray, seeds: set[str]) -> np.ndarray:
-    return np.array([t > 0 and not seeds.isdisjoint(b) for t, b in zip(toxic, bags, strict=True)], float)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> Chain:
+    used = np.flatnonzero(np.any(weights, axis=0)) if bags.size else np.zeros(0, np.int64)
+    matrix = np.array(weights).T[used] if bags.size else np.zeros((0, len(labels)))
+    return Chain(tuple(labels), tuple(features[i] for i in used), matrix, tuple(before), tuple(intercepts))
+
+
+def feature_counts(rows: DataFrame, folds: int) -> pd.DataFrame:
+    """feature, and for each fold and label how many documents have it; features of MIN_DOCS documents or more."""
+    cells = 2 * folds
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
+        for f in frames:
+            for text, cell in zip(f["text"], f["cell"], strict=True):
+                for x in features_of(text):
+                    if (c := held.get(x)) is None:
+                        c = held[x] = [0] * cells
+                    c[cell] += 1
+        keys = list(held)
+        for i in range(0, len(keys), 50_000):
+            part = keys[i : i + 50_000]
+            table = np.array([held[k] for k in part], np.int32)
+            yield pd.DataFrame({"feature": part} | {f"c{j}": table[:, j] for j in range(cells)})
+
+    names = [f"c{j}" for j in range(cells)]
+    each = rows.select("text", (F.col("fold") * 2 + F.col("toxic")).cast("int").alias("cell")).mapInPandas(count, "feature string, " + ", ".join(f"{n} int" for n in names))
+    total = each.groupBy("feature").agg(*[F.sum(n).cast("int").alias(n) for n in names])
+    return total.where(sum((F.col(n) for n in names), F.lit(0)) >= MIN_DOCS).toPandas()
+
+
+def significant(counts: pd.DataFrame, sizes: np.ndarray, folds: int) -> list[str]:
+    """Features whose chi-square counts on all rows, or on those outside of some fold; in order."""
+    c = counts.drop(columns="feature").to_numpy(dtype=float).reshape(len(counts), folds, 2)
+    best = chi_square(c.sum((1, 2)), c[:, :, 1].sum(1), sizes.sum(), sizes[:, 1].sum())
+    for f in range(folds):
+        rest = np.arange(folds) != f
+        best = np.maximum(best, chi_square(c[:, rest].sum((1, 2)), c[:, rest, 1].sum(1), sizes[rest].sum(), sizes[rest, 1].sum()))
+    return sorted(counts["feature"][best >= LEAST_CHI2])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS, categories: tuple[str, ...] = CATEGORIES) -> Chain:
     """Fit the chain on at most ``max_rows`` labelled documents, the first by a hash of the id."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows narrow rows
-    rows = chosen.select("doc_id", "toxic", distinct_words(F.coalesce("text", F.lit(""))).alias("bag")).toPandas()
-    rows = rows.sort_values(["doc_id"], kind="stable")
-    bags = [list(b) for b in rows["bag"]]
-    toxic = rows["toxic"].to_numpy(dtype=float) if len(rows) else np.zeros(0)
-    y = {c: weak_labels(bags, toxic, set(seeds)) for c, seeds in CATEGORIES.items()}
-    if missing := [c for c in y if (toxic > 0).any() and not y[c].any()]:
-        score, level, more = word_scores(bags, (toxic > 0).astype(float))
-        typical = sorted((w for w in more if score[w] > level), key=lambda w: (-score[w], w))
-        y |= {c: weak_labels(bags, toxic, set(typical[k :: len(missing)])) for k, c in enumerate(missing)}
-    y[FINAL] = (toxic > 0).astype(float)
-    return fit_chain(bags, y, (rows["doc_id"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64)) % folds)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows narrow rows
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = settle(rows.withColumn("fold", F.pmod(F.col("doc_id"), F.lit(folds)).cast("int")), "labelled")
+    sizes = np.zeros((folds, 2))
+    for r in rows.groupBy("fold", "toxic").count().collect():  # a row a fold and label
+        sizes[r.fold, r.toxic] = r["count"]
+    features = significant(feature_counts(rows, folds), sizes, folds)
+    number = {f: i for i, f in enumerate(features)}
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [np.sort(np.fromiter((number[x] for x in features_of(t) & number.keys()), np.int32)).tobytes() for t in f["text"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "fold": f["fold"], "found": found})
+
+    got = rows.mapInPandas(find, "doc_id long, toxic int, fold int, found binary").toPandas().sort_values("doc_id", kind="stable")
+    bags = Bags([np.frombuffer(x, np.int32) for x in got["found"]], len(features))
+    toxic = got["toxic"].to_numpy(dtype=float)
+    y = dict(zip(categories, weak_categories(bags, toxic, len(categories)), strict=True)) | {FINAL: toxic}
+    return fit_chain(features, bags, y, got["fold"].to_numpy(dtype=np.int64))
 
 
 def predictor(chain: Chain):
-    """A column function: text -> struct(insult, degradation, toxic) of probabilities."""
-    names = [link.category for link in chain.links]
+    """A column function: text -> struct of a probability for each category."""
+    names = list(chain.categories)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([chain.predict(words_of(t)) for t in texts], columns=names, dtype=float)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = chain.indexed()
+        for texts in batches:
+            yield pd.DataFrame([model.predict(t) for t in texts], columns=names, dtype=float)
 
     return predict
 
@@ -209,4 +310,4 @@ def predictor(chain: Chain):
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, a probability for each category, and is_toxic for the last one."""
     got = docs.select("doc_id", predictor(chain)(F.col("text")).alias("p")).select("doc_id", "p.*")
-    return got.withColumn("is_toxic", F.col(chain.links[-1].category) >= threshold)
+    return got.withColumn("is_toxic", F.col(chain.categories[-1]) >= threshold)
