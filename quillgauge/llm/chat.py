@@ -9,15 +9,21 @@ text) with op one of
 * ``regenerate``  the turn's message and all later turns are discarded; deltas
                   that follow build the message anew.
 
-Events are folded in the order of ``seq``: what counts is, for each turn, the
-last event that set its text and the deltas after that.  The messages are
+A conversation's events are sorted by ``seq`` and folded from the last to the
+first: an event counts unless a later regeneration reaches its turn, and text
+counts unless a later edit of its turn does; both are running aggregates over
+the sorted log, which is shuffled once, by conversation.  The messages are
 rendered in a template that marks turns, with control strings inside texts
 escaped reversibly, and ``read_back`` parses the rendered string again.
 
 Edge cases: null roles and texts are empty; events of equal ``seq`` are taken
-in the order of turn, op, role and text, a start before deltas; repeated rows
-count as often as they occur; a turn of deltas alone has an empty role; an
-empty table gives no rows; other columns are ignored.
+in the order of turn, op, role and text, a start before deltas; events of other
+ops are ignored; repeated rows count as often as they occur, so a delta logged
+twice says its text twice; the role is that of the turn's last start, and a turn
+of deltas alone has an empty role; a null conversation is one like others; a
+null turn comes first and no regeneration reaches it; a very long text or a
+conversation of very many events becomes one string; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -53,24 +59,19 @@ def rank_of(op: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text of every message that the log ends with."""
     e = events.select("conv_id", "seq", "turn", "op", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    e = e.withColumn("at", F.struct("seq", F.col("turn").alias("t"), rank_of(F.col("op")).alias("o"), F.col("role").alias("r"), F.col("text").alias("x")))
-    # regenerations reach all later turns: the last one of each conversation and turn, spread over the turns from there on
-    again = e.where("op = 'regenerate'").groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.struct("seq", "turn").alias("at"))).alias("resets"))
-    by_turn = e.groupBy("conv_id", "turn").agg(
-        F.max(F.when(F.col("op") == "edit", F.col("at"))).alias("edited"),
-        F.max_by(F.when(F.col("op") == "start", F.col("role")), F.when(F.col("op") == "start", F.col("at"))).alias("role"),
-        F.max(F.when(F.col("op") == "start", F.col("at"))).alias("started"),
-        F.array_sort(F.collect_list(F.when(F.col("op") == "delta", F.col("at")))).alias("deltas"),
-        F.max(F.col("seq")).alias("last"),
-    )
-    m = by_turn.join(again, "conv_id", "left")
-    reset = F.array_max(F.transform(F.filter(F.coalesce("resets", F.array()), lambda r: r.turn <= F.col("turn")), lambda r: r.at.seq))
-    m = m.withColumn("reset", F.coalesce(reset, F.lit(-(1 << 62)))).where(F.col("last") >= F.col("reset"))
-    m = m.withColumn("edit", F.when(F.col("edited.seq") >= F.col("reset"), F.col("edited")))
-    after = F.filter("deltas", lambda d: (d.seq >= F.col("reset")) & (F.col("edit").isNull() | (d > F.col("edit"))))
-    text = F.concat(F.coalesce("edit.x", F.lit("")), F.array_join(F.transform(after, lambda d: d.x), ""))
-    gone = (F.col("started").isNull() | (F.col("started.seq") < F.col("reset"))) & F.col("edit").isNull() & (F.size(after) == 0)
-    return m.where(~gone).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    e = e.where(F.col("op").isin(*ORDER)).withColumn("at", F.struct("seq", F.col("turn").alias("t"), rank_of(F.col("op")).alias("o"), F.col("role").alias("r"), F.col("text").alias("x")))
+    later = Window.partitionBy("conv_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.min(F.when(F.col("op") == "regenerate", F.col("turn"))).over(later)
+    e = e.withColumn("alive", ~F.coalesce(F.col("turn") >= reached, F.lit(False)))
+    later_in_turn = Window.partitionBy("conv_id", "turn").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("edited", F.coalesce(F.bool_or(F.col("alive") & (F.col("op") == "edit")).over(later_in_turn), F.lit(False)))
+    said = F.when(F.col("alive") & ~F.col("edited") & F.col("op").isin("edit", "delta"), F.col("at"))
+    started = F.when(F.col("op") == "start", F.col("at"))
+    m = e.groupBy("conv_id", "turn").agg(
+        F.coalesce(F.max_by("role", started), F.lit("")).alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda a: a.x), "").alias("text"),
+        F.bool_or(F.col("alive") & (F.col("op") != "regenerate")).alias("there"),
+    )
+    return m.where("there").drop("there")
 
 
 def render(messages: DataFrame, order: str = "turn") -> DataFrame:
@@ -94,15 +95,23 @@ def loss_text(turns: Column) -> Column:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """The log of a table of whole turns: each is started and streamed as two deltas.
+    """The log of a table of whole turns, as a client may have streamed them.
 
-    Rows that share a turn are told apart by counting them.
+    A turn is started and streamed as two deltas.  Before that, assistant turns
+    stream a draft that is regenerated; every second other turn streams one that
+    an edit to the first half replaces.  Rows that share a turn are told apart
+    by counting them.
     """
-    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     rows = rows.withColumn("turn", nth.cast("long")).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
-    event = lambda n, op, text: F.struct((F.col("turn") * 4 + n).alias("seq"), F.lit(op).alias("op"), text.alias("text"))
-    steps = F.array(event(0, "start", F.lit(None).cast("string")), event(1, "delta", F.expr("substring(text, 1, half)")), event(2, "delta", F.expr("substring(text, half + 1)")))
+    event = lambda n, op, text: F.struct((F.col("turn") * 8 + n).alias("seq"), F.lit(op).alias("op"), text.alias("text"))
+    first, second, draft = F.expr("substring(text, 1, half)"), F.expr("substring(text, half + 1)"), F.lit("draft <|im_end|> ")
+    none = F.lit(None).cast("string")
+    plain = F.array(event(4, "start", none), event(5, "delta", first), event(6, "delta", second))
+    again = F.concat(F.array(event(0, "start", none), event(1, "delta", draft), event(2, "regenerate", none)), plain)
+    edited = F.array(event(0, "start", none), event(1, "delta", draft), event(2, "edit", first), event(6, "delta", second))
+    steps = F.when(F.col("role") == "assistant", again).when(F.col("turn") % 2 == 0, edited).otherwise(plain)
     return rows.select("conv_id", "turn", "role", F.explode(steps).alias("e")).select("conv_id", "e.seq", "turn", "e.op", "role", "e.text")
 
 
