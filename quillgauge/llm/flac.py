@@ -1,16 +1,23 @@
 """Media columns: FLAC streams of one 8-bit channel.
 
-The encoder writes frames of a fixed number of samples, each with the best of
-the fixed linear predictors and a Rice parameter of its own, and a seek table
-that lists every frame.  The decoder verifies the checksums of headers and
-frames and the digest of all samples, decodes constant, verbatim, fixed and
-linear-predictor subframes with partitioned Rice residuals, and gives blocks of
-PCM with their sample offsets.  All frames of a batch advance together, one
-sample at a time, as rows of a matrix.
-
-Edge cases: an empty payload gives a stream of no frames; null media decode to
-no blocks; a stream that fails a check raises ValueError in ``decode`` and
-gives rows with an error in ``pcm_blocks``; equal payloads give equal streams.
+The encoder writes frames of a fixed number of samples: constant, verbatim, or
+the shortest of the fixed predictors and a linear predictor of the frame's own,
+with Rice parameters for the whole frame or for each quarter of it, and a seek
+table that lists every frame.  The decoder verifies the checksums of headers
+and frames and the digest of all samples, decodes constant, verbatim, fixed and
+linear-predictor subframes with partitioned Rice residuals and escaped
+partitions, and gives blocks of PCM with their sample offsets, which are written
+as a table.  All frames of a batch advance together, one sample at a time, as
+rows of a matrix.
+
+Edge cases: a null or empty text is a payload of blanks; an empty payload gives
+a stream of no frames; null media decode to no blocks and no error; a stream
+that fails a check raises ValueError in ``decode_batch``, and in ``pcm_table``
+gives a row with the error and no blocks, while its neighbours decode; a very
+long text is one stream, coded frame by frame with its neighbours; repeated rows
+and equal payloads give equal streams; ties between ways to code a frame go to
+the first in order; an empty table gives no rows; other columns of documents,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +37,9 @@ from pyspark.sql import functions as F
 BLOCK = 192
 RATE = 8000
 PAD = 192
+#: Order and bits of a weight of the encoder's linear predictor, and its largest Rice parameter.
+LPC_ORDER, PRECISION, MOST_RICE = 4, 7, 8
 FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
-RICE_ESCAPE = 15
 #: Frames that are coded together.
 TOGETHER = 4096
 
@@ -77,56 +85,143 @@ def coded_number(n: int) -> bytes:
     return bytes([(0xFF00 >> size & 0xFF) | n, *reversed(tail)])
 
 
-def fixed_residuals(x: np.ndarray, order: int) -> np.ndarray:
-    return np.diff(x, n=order, axis=1)
-
-
 def zigzag(r: np.ndarray) -> np.ndarray:
     return np.where(r < 0, -2 * r - 1, 2 * r)
 
 
+def linear_predictor(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the weights of the ``order`` samples before, as integers, and by how many bits they are scaled up.
+
+    Weights solve the normal equations of the row's autocorrelation (Levinson
+    and Durbin's recursion, all rows at once).
+    """
+    f = x.astype(np.float64)
+    r = [np.einsum("ij,ij->i", f[:, : f.shape[1] - k], f[:, k:]) for k in range(order + 1)]
+    a, error = np.zeros((len(x), order)), r[0] * (1 + 1e-9) + 1e-9
+    for i in range(order):
+        k = (r[i + 1] - sum((a[:, j] * r[i - j] for j in range(i)), np.zeros(len(x)))) / error
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        error = error * np.maximum(1 - k * k, 1e-9)
+    top = (1 << (PRECISION - 1)) - 1
+    shift = np.clip(np.floor(np.log2(top / np.maximum(np.abs(a).max(axis=1, initial=1e-3), 1e-3))), 0, 15).astype(np.int64)
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -top - 1, top).astype(np.int64), shift
+
+
+def lpc_residuals(x: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    order = weights.shape[1]
+    p = sum(weights[:, j : j + 1] * x[:, order - 1 - j : x.shape[1] - 1 - j] for j in range(order))
+    return x[:, order:] - (p >> shift[:, None])
+
+
+@dataclass
+class Subframes:
+    """One way to code the rows of a matrix: what their residuals are, and the Rice parameters that suit these best."""
+
+    kind: int  # six bits of the subframe header
+    order: int
+    codes: np.ndarray  # residuals as unsigned numbers, 0 for warm-up samples
+    parts: int = 1
+    params: np.ndarray | None = None
+    bits: np.ndarray | None = None
+
+    def choose(self, extra: int) -> Subframes:
+        """Rice parameters and size in bits; in four partitions where all rows together are shorter that way, row by row decided by the caller."""
+        n, block = self.codes.shape
+        count = np.full(self.parts, block // self.parts)
+        count[0] -= self.order
+        sums = np.array([(self.codes >> k).reshape(n, self.parts, -1).sum(axis=2, dtype=np.int64) + count * (k + 1) for k in range(MOST_RICE + 1)])
+        self.params = sums.argmin(axis=0)
+        self.bits = sums.min(axis=0).sum(axis=1) + 4 * self.parts + extra
+        return self
+
+
+def candidates(x: np.ndarray) -> tuple[list[Subframes], np.ndarray, np.ndarray]:
+    """The ways to code frames of these rows, and the weights and scales of the linear predictor."""
+    n, block = x.shape
+    small = x.astype(np.int32)
+    out, weights, shift = [], np.zeros((n, LPC_ORDER), np.int64), np.zeros(n, np.int64)
+    for order in range(3):
+        if block > order:
+            codes = np.zeros((n, block), np.int32)
+            codes[:, order:] = zigzag(np.diff(small, n=order, axis=1))
+            out.append(Subframes(8 + order, order, codes).choose(8 * order + 6))
+    if block >= 4 * LPC_ORDER:
+        weights, shift = linear_predictor(x, LPC_ORDER)
+        codes = np.zeros((n, block), np.int32)
+        codes[:, LPC_ORDER:] = zigzag(lpc_residuals(x, weights, shift))
+        out.append(Subframes(31 + LPC_ORDER, LPC_ORDER, codes).choose((8 + PRECISION) * LPC_ORDER + 9 + 6))
+    for c in list(out):
+        if block % 4 == 0 and block // 4 > c.order:
+            more = (8 + PRECISION) * c.order + 9 if c.kind >= 32 else 8 * c.order
+            out.append(Subframes(c.kind, c.order, c.codes, 4).choose(more + 6))
+    return out, weights, shift
+
+
+def put(bits: np.ndarray, at: int, values: np.ndarray, width: int) -> int:
+    """Write a value of ``width`` bits into each row; where the next bit goes."""
+    for j in range(width):
+        bits[:, at + j] = values >> (width - 1 - j) & 1
+    return at + width
+
+
+def subframe_bits(c: Subframes, rows: np.ndarray, at: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of the subframes of some rows (samples ``rows``, numbers ``at``), and where each ends."""
+    raw, n, block = rows.astype(np.int8).view(np.uint8), len(rows), rows.shape[1]
+    u, k = c.codes[at], np.repeat(c.params[at], block // c.parts, axis=1)
+    sizes = (u >> k) + 1 + k
+    sizes[:, : c.order] = 0
+    first = 8 + 8 * c.order + ((9 + PRECISION * c.order) if c.kind >= 32 else 0) + 6
+    lead = np.zeros(block, np.int64)
+    lead[:: block // c.parts] = 4  # the parameter before each partition
+    ends = first + np.cumsum(sizes + lead, axis=1)
+    bits = np.zeros((n, int(ends[:, -1].max()) + 1 + MOST_RICE), np.uint8)
+    put(bits, 0, np.full(n, c.kind << 1), 8)
+    bits[:, 8 : 8 + 8 * c.order] = np.unpackbits(raw[:, : c.order], axis=1)
+    here = 8 + 8 * c.order
+    if c.kind >= 32:
+        here = put(bits, here, np.full(n, PRECISION - 1), 4)
+        here = put(bits, here, shift[at], 5)
+        for j in range(c.order):
+            here = put(bits, here, weights[at, j] & ((1 << PRECISION) - 1), PRECISION)
+    put(bits, here, np.full(n, c.parts.bit_length() - 1), 6)
+    r = np.arange(n)
+    for p in range(c.parts):
+        begin = ends[:, p * (block // c.parts)] - sizes[:, p * (block // c.parts)] - 4
+        for j in range(4):
+            bits[r, begin + j] = c.params[at, p] >> (3 - j) & 1
+    u, k, stop = u[:, c.order :], k[:, c.order :], ends[:, c.order :] - 1 - k[:, c.order :]
+    r = r[:, None]
+    bits[r, stop] = 1
+    waste = bits.shape[1] - 1
+    for j in range(int(k.max(initial=0))):
+        bits[r, np.where(j < k, stop + 1 + j, waste)] = u >> np.maximum(k - 1 - j, 0) & 1
+    bits[:, waste] = 0
+    return bits, ends[:, -1]
+
+
 def encode_frames(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """Frames of equally many samples (rows of signed 8-bit values) with the given frame numbers."""
     n, block = x.shape
-    best = np.full(n, 8 * block + 1, np.int64)  # verbatim, one bit more so that a tie goes to prediction
-    choice = np.full((n, 2), -1, np.int64)
-    for order in range(3):
-        if block <= order:
-            break
-        u = zigzag(fixed_residuals(x, order))
-        for k in range(8):
-            bits = (u >> k).sum(axis=1) + u.shape[1] * (k + 1) + 8 * order + 6 + 4
-            better = bits < best
-            best[better], choice[better] = bits[better], (order, k)
+    ways, weights, shift = candidates(x)
+    cost = np.array([np.where((x == x[:, :1]).all(axis=1), 8, 8 * block + 1), np.full(n, 8 * block), *(w.bits for w in ways)])  # constant, verbatim, predicted
+    choice = cost.argmin(axis=0)
     head = [struct.pack(">HBB", 0xFFF8, (1 if block == BLOCK else 7) << 4, 0x02) + coded_number(int(i)) + (b"" if block == BLOCK else struct.pack(">H", block - 1)) for i in numbers]
     sizes = np.array([len(h) for h in head])
     heads = np.zeros((n, sizes.max() + 1), np.uint8)
     heads[:, : sizes.max()] = np.frombuffer(b"".join(h.ljust(sizes.max(), b"\0") for h in head), np.uint8).reshape(n, -1)
     heads[np.arange(n), sizes] = crc_rows(heads, sizes, 8)
     out: list[bytes] = [b""] * n
-    for order, k in sorted({tuple(c) for c in choice.tolist()}):
-        at = np.flatnonzero((choice == (order, k)).all(axis=1))
+    for way in np.unique(choice).tolist():
+        at = np.flatnonzero(choice == way)
         rows = x[at]
         raw = rows.astype(np.int8).view(np.uint8)
-        if order < 0:
-            bits = np.concatenate([np.unpackbits(np.full((len(at), 1), 0x02, np.uint8), axis=1), np.unpackbits(raw, axis=1)], axis=1)
-            ends = np.full(len(at), bits.shape[1])
+        if way < 2:
+            kept = raw[:, :1] if way == 0 else raw
+            body = np.concatenate([np.full((len(at), 1), way << 1, np.uint8), kept], axis=1)
+            ends = np.full(len(at), 8 * body.shape[1])
         else:
-            u = zigzag(fixed_residuals(rows, order))
-            quotient = u >> k
-            first = 8 + 8 * order + 10  # subframe header, warm-up samples, coding method, partition order, parameter
-            sizes_ = quotient + 1 + k
-            ends = first + sizes_.sum(axis=1)
-            bits = np.zeros((len(at), int(ends.max())), np.uint8)
-            bits[:, :8] = np.unpackbits(np.array([(8 + order) << 1], np.uint8))
-            bits[:, 8 : 8 + 8 * order] = np.unpackbits(raw[:, :order], axis=1)
-            bits[:, first - 4 : first] = [k >> 3 & 1, k >> 2 & 1, k >> 1 & 1, k & 1]
-            stop = first + np.cumsum(sizes_, axis=1) - 1 - k
-            r = np.arange(len(at))[:, None]
-            bits[r, stop] = 1
-            for j in range(k):
-                bits[r, stop + 1 + j] = u >> (k - 1 - j) & 1
-        body = np.packbits(bits, axis=1)
+            bits, ends = subframe_bits(ways[way - 2], rows, at, weights, shift)
+            body = np.packbits(bits, axis=1)
         own = sizes[at] + 1
         lengths = own + (ends + 7) // 8
         whole = np.zeros((len(at), int(lengths.max()) + 2), np.uint8)
@@ -255,35 +350,62 @@ def frame_header(data: bytes, at: int) -> tuple[int, int, int]:
     return block, number, end + 1 - at
 
 
+#: Zeros before the first one of 16 bits.
+ZEROS = np.full(1 << 16, 16, np.uint8)
+for _b in range(16):
+    ZEROS[1 << (15 - _b) : 1 << (16 - _b)] = _b
+
+
 class Bits:
-    """Rows of bits with a reading position for each row."""
+    """Rows of bits with a reading position for each row; 57 bits or more from any position are at hand in one word."""
 
     def __init__(self, rows: np.ndarray):
-        self.bits = np.concatenate([np.unpackbits(rows, axis=1), np.ones((len(rows), 64), np.uint8)], axis=1)
-        n = self.bits.shape[1]
-        ones = np.where(self.bits == 1, np.arange(n, dtype=np.int32), np.int32(n))
-        self.next_one = np.minimum.accumulate(ones[:, ::-1], axis=1)[:, ::-1]
+        width = rows.shape[1]
+        wide = np.concatenate([rows, np.full((len(rows), 16), 0xFF, np.uint8)], axis=1).astype(np.uint64)
+        self.words = np.zeros((len(rows), width + 8), np.uint64)
+        for j in range(8):
+            self.words |= wide[:, j : j + width + 8] << np.uint64(56 - 8 * j)
+        self.flat, self.stride = self.words.ravel(), width + 8
         self.at = np.zeros(len(rows), np.int64)
         self.row = np.arange(len(rows))
-        self.last = n - 1
+        self.last = 8 * (width + 7)
+
+    def peek(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The bits of some rows from these positions on, in the upper part of 64."""
+        at = np.minimum(at, self.last)
+        return self.flat[rows * self.stride + (at >> 3)] << (at & 7).astype(np.uint64)
 
     def take(self, n: int, rows: np.ndarray | None = None) -> np.ndarray:
         rows = self.row if rows is None else rows
-        out = np.zeros(len(rows), np.int64)
-        for _ in range(n):
-            out = out << 1 | self.bits[rows, np.minimum(self.at[rows], self.last)]
-            self.at[rows] += 1
+        if not n:
+            return np.zeros(len(rows), np.int64)
+        out = (self.peek(rows, self.at[rows]) >> np.uint64(64 - n)).astype(np.int64)
+        self.at[rows] += n
         return out
 
-    def signed(self, n: int) -> np.ndarray:
-        v = self.take(n)
+    def signed(self, n: int, rows: np.ndarray | None = None) -> np.ndarray:
+        v = self.take(n, rows)
         return np.where(v >> (n - 1) & 1, v - (1 << n), v) if n else v
 
-    def unary(self) -> np.ndarray:
-        at = np.minimum(self.at, self.last)
-        stop = self.next_one[self.row, at]
-        self.at = stop.astype(np.int64) + 1
-        return stop - at
+    def rice(self, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """A signed number in Rice code from each of some rows, with the parameter of each."""
+        at = self.at[rows]
+        x = self.peek(rows, at)
+        q = ZEROS[x >> np.uint64(48)].astype(np.int64)
+        long = np.flatnonzero(q == 16)
+        far = long
+        while len(far):
+            more = ZEROS[self.peek(rows[far], at[far] + q[far]) >> np.uint64(48)]
+            q[far] += more
+            far = far[(more == 16) & (at[far] + q[far] < self.last)]
+        if len(long):
+            x[long] = self.peek(rows[long], at[long] + q[long])
+        used = q + 1
+        used[long] = 1
+        low = np.where(k > 0, (x << used.astype(np.uint64)) >> (64 - np.maximum(k, 1)).astype(np.uint64), 0).astype(np.int64)
+        self.at[rows] = at + q + 1 + k
+        u = (q << k) | low
+        return np.where(u & 1, -(u >> 1) - 1, u >> 1)
 
 
 def decode_subframes(b: Bits, kinds: int, block: int, depth: int) -> np.ndarray:
@@ -320,22 +442,19 @@ def decode_subframes(b: Bits, kinds: int, block: int, depth: int) -> np.ndarray:
         if k is None or i % cut == 0:
             k = b.take(wide)
             raw = k == (1 << wide) - 1
+            plain, escaped = np.flatnonzero(~raw), np.flatnonzero(raw)
             width = np.zeros(n, np.int64)
-            if raw.any():
-                width[raw] = b.take(5, np.flatnonzero(raw))
-            most = int(np.where(raw, 0, k).max(initial=0))
-        if raw.any():
+            if len(escaped):
+                width[escaped] = b.take(5, escaped)
+        if len(escaped):
             r = np.zeros(n, np.int64)
-            for row in np.flatnonzero(raw):
-                w = int(width[row])
-                v = int(b.take(w, np.array([row]))[0])
-                r[row] = v - (1 << w) if w and v >> (w - 1) & 1 else v
-            rice = np.flatnonzero(~raw)
-            if len(rice):
-                sub = _rice(b, rice, k, most)
-                r[rice] = sub
+            for w in np.unique(width[escaped]).tolist():
+                some = escaped[width[escaped] == w]
+                r[some] = b.signed(w, some)
+            if len(plain):
+                r[plain] = b.rice(plain, k[plain])
         else:
-            r = _rice(b, b.row, k, most)
+            r = b.rice(b.row, k)
         if order:
             p = sum(weights[j] * out[:, i - 1 - j] for j in range(order))
             r = r + (p >> shift)
@@ -343,19 +462,6 @@ def decode_subframes(b: Bits, kinds: int, block: int, depth: int) -> np.ndarray:
     return out
 
 
-def _rice(b: Bits, rows: np.ndarray, k: np.ndarray, most: int) -> np.ndarray:
-    at = np.minimum(b.at[rows], b.last)
-    stop = b.next_one[rows, at].astype(np.int64)
-    u = stop - at
-    kk = k[rows]
-    same = bool((kk == most).all())
-    for j in range(most):
-        bit = b.bits[rows, np.minimum(stop + 1 + j, b.last)]
-        u = (u << 1 | bit) if same else np.where(j < kk, u << 1 | bit, u)
-    b.at[rows] = stop + 1 + kk
-    return np.where(u & 1, -(u >> 1) - 1, u >> 1)
-
-
 def decode_rows(rows: np.ndarray, heads: np.ndarray, ends: np.ndarray | None, block: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Samples of frames (rows of bytes that begin at the frame) of one block size, and their lengths in bytes."""
     n = len(rows)
@@ -394,6 +500,18 @@ def decode_rows(rows: np.ndarray, heads: np.ndarray, ends: np.ndarray | None, bl
     return out, sizes
 
 
+def decode_unlisted(data: bytes, at: int, head: int, block: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """A frame whose end is not known: read in what most frames fit in, else in ever more of the stream."""
+    width, rest = 64 + 8 * block, len(data) - at
+    while True:
+        try:
+            return decode_rows(np.frombuffer(data, np.uint8, min(width, rest), at)[None, :], np.array([head]), None, block, depth)
+        except (ValueError, IndexError):
+            if width >= rest:
+                raise
+            width *= 8
+
+
 def decode_batch(media: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
     """For each stream its samples and (first sample, number of samples) of every block."""
     streams = [Stream.parse(m) for m in media]
@@ -410,8 +528,7 @@ def decode_batch(media: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, i
             at, sample = st.start, 0
             while sample < st.total:
                 block, _, head = frame_header(st.data, at)
-                row = np.frombuffer(st.data, np.uint8, min(len(st.data) - at, 64 + block * 8), at)[None, :]
-                x, size = decode_rows(row, np.array([head]), None, block, st.bits)
+                x, size = decode_unlisted(st.data, at, head, block, st.bits)
                 got[s][sample] = x[0]
                 at, sample = at + int(size[0]), sample + block
     for (block, bits), frames in jobs.items():
@@ -460,64 +577,120 @@ def payload(text: str | None) -> bytes:
     return raw.ljust(max(PAD, -(-len(raw) // PAD) * PAD), b" ")
 
 
-def encode_texts(text: Column) -> Column:
-    """struct(media, n_bytes): each text's payload as a FLAC stream."""
-
-    @F.pandas_udf("media binary, n_bytes long")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for i in range(0, len(texts), 512):
-            part = [t or "" for t in texts[i : i + 512]]
-            rows += zip(encode_batch([payload(t) for t in part]), [len(t.encode("utf-8", "replace")) for t in part], strict=True)
-        return pd.DataFrame(rows, columns=["media", "n_bytes"])
-
-    return run(text)
-
+#: Documents that are coded together.
+DOCS = 256
 
-def pcm_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, first_sample, n_samples, pcm (signed bytes) for every block, or one row with an error."""
-    schema = f"{key} {dict(media.dtypes)[key]}, first_sample long, n_samples long, pcm binary, error string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, m in zip(f[key], f["media"], strict=True):
-                if m is None:
-                    continue
-                try:
-                    ((x, blocks),) = decode_batch([bytes(m)])
-                    raw = x.astype(np.int8).tobytes()
-                    rows += [(k, a, n, raw[a : a + n], None) for a, n in blocks]
-                except (ValueError, IndexError) as e:
-                    rows.append((k, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return media.select(key, "media").mapInPandas(run, schema)
-
-
-def read_media(media: Column) -> Column:
-    """struct of what decoding gives: size and digests of payload and stream, and features of the sound."""
-
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, feature string")
-    def run(col: pd.Series) -> pd.DataFrame:
-        rows = []
-        for i in range(0, len(col), 512):
-            part = [bytes(m) for m in col[i : i + 512]]
-            for m, (x, blocks) in zip(part, decode_batch(part), strict=True):
-                raw = (x + 128).astype(np.uint8).tobytes()
-                energy, crossings = int((x * x).sum()), int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-                feature = f"energy={energy // max(len(x), 1)};crossings={crossings};low={x.min(initial=0)};high={x.max(initial=0)};frames={len(blocks)}"
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), len(blocks), feature))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "feature"])
-
-    return run(media)
+def in_parts(frames: Iterator[pa.RecordBatch], docs: int = DOCS) -> Iterator[pa.RecordBatch]:
+    for batch in frames:
+        for i in range(0, batch.num_rows, docs):
+            yield batch.slice(i, docs)
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: the stored form of every text."""
-    return docs.select("doc_id", encode_texts(F.coalesce("text", F.lit(""))).alias("m")).select("doc_id", "m.n_bytes", "m.media")
-
-
-def media_features(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what is read back from the stored bytes."""
-    return media.select("doc_id", "n_bytes", read_media(F.col("media")).alias("f")).select("doc_id", "n_bytes", "f.*")
+    """doc_id, n_bytes, media: each text's payload as a FLAC stream; a null text counts as empty."""
+    key = docs.select("doc_id")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(frames):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            sizes = [len(t.encode("utf-8", "replace")) for t in texts]
+            media = encode_batch([payload(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {key.dtypes[0][1]}, n_bytes long, media binary")
+
+
+def decode_each(media: list[bytes | None]) -> list[tuple[np.ndarray, list[tuple[int, int]], str | None]]:
+    """Samples, blocks and error of each stream: all together, or one by one where one of them is damaged."""
+    there = [m for m in media if m is not None]
+    try:
+        got = iter([(x, blocks, None) for x, blocks in decode_batch(there)])
+    except (ValueError, IndexError, struct.error):
+        each = []
+        for m in there:
+            try:
+                each.append((*decode_batch([m])[0], None))
+            except (ValueError, IndexError, struct.error) as e:
+                each.append((np.zeros(0, np.int64), [], str(e) or type(e).__name__))
+        got = iter(each)
+    return [(np.zeros(0, np.int64), [], None) if m is None else next(got) for m in media]
+
+
+BLOCKS = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
+
+
+def pcm_table(media: DataFrame) -> DataFrame:
+    """The rows of media with media_bytes, media_sha256, blocks and error in place of the stream.
+
+    A block holds its first sample's offset, the number of its samples and
+    these as signed bytes, so that any sample is found by its offset alone.
+    Null media have null sizes and no blocks; of a stream that fails a check
+    the error says which, and it has no blocks.
+    """
+    others = [c for c in media.columns if c != "media"]
+    kinds = dict(media.dtypes)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(frames):
+            streams = part.column(len(others)).to_pylist()
+            got = decode_each(streams)
+            spans = [(a, n) for _, blocks, _ in got for a, n in blocks]
+            first, count = (np.array(c, np.int64) for c in (zip(*spans, strict=True) if spans else ([], [])))
+            samples = np.concatenate([x for x, _, _ in got]).astype(np.int8)
+            pcm = pa.Array.from_buffers(pa.binary(), len(spans), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.py_buffer(samples)])
+            rows = pa.StructArray.from_arrays([pa.array(first), pa.array(count.astype(np.int32)), pcm], fields=list(BLOCKS.value_type))
+            ends = np.cumsum([0, *[len(blocks) for _, blocks, _ in got]]).astype(np.int32)
+            sizes = [None if m is None else len(m) for m in streams]
+            digests = [None if m is None else hashlib.sha256(m).hexdigest() for m in streams]
+            columns = [*(part.column(i) for i in range(len(others))), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends), rows), pa.array([e for _, _, e in got], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "media_bytes", "media_sha256", "blocks", "error"])
+
+    schema = [f"`{c}` {kinds[c]}" for c in others] + ["media_bytes long", "media_sha256 string", "blocks array<struct<first_sample: long, n_samples: int, pcm: binary>>", "error string"]
+    return media.select(*others, F.col("media").cast("binary")).mapInArrow(run, ", ".join(schema))
+
+
+def write_pcm(media: DataFrame, path: str) -> DataFrame:
+    """Write the blocks of all media as Parquet and read them back."""
+    table = pcm_table(media)
+    table.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def samples_at(pcm: DataFrame, start: Column, length: Column) -> Column:
+    """The samples from ``start`` on, as signed bytes, out of the blocks that hold them."""
+    end = start + length
+    some = F.filter("blocks", lambda b: (b.first_sample < end) & (b.first_sample + b.n_samples > start))
+    cut = F.transform(some, lambda b: F.substring(b.pcm, (F.greatest(start - b.first_sample, F.lit(0)) + 1).cast("int"), (F.least(end - b.first_sample, b.n_samples.cast("long")) - F.greatest(start - b.first_sample, F.lit(0))).cast("int")))
+    return F.aggregate(cut, F.lit(b""), lambda a, x: F.concat(a, x))
+
+
+def pcm_features(pcm: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, sizes and digests of payload and stream, frames and features of the sound, read from the blocks."""
+    kind = dict(pcm.dtypes)["doc_id"]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(frames, 1024):
+            told = []
+            blocks = part.column(2)
+            ends = blocks.offsets.to_numpy()
+            pcm_bytes = blocks.values.field("pcm")
+            for i in range(part.num_rows):
+                run_ = pcm_bytes.slice(ends[i], ends[i + 1] - ends[i])
+                raw = b"".join(run_.to_pylist())
+                x = np.frombuffer(raw, np.int8)
+                text, wide = (x.view(np.uint8) ^ 0x80).tobytes(), x.astype(np.int32)
+                energy, crossings = int((wide * wide).sum(dtype=np.int64)), int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+                feature = f"energy={energy // max(len(x), 1)};crossings={crossings};low={x.min(initial=0)};high={x.max(initial=0)};frames={len(run_)}"
+                told.append((len(text), hashlib.sha256(text).hexdigest(), zlib.crc32(text[-16:]), len(run_), feature))
+            size, digest, tail, count, feature = zip(*told, strict=True)
+            columns = [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(digest), pa.array(tail, pa.int64()), part.column(3), part.column(4), pa.array(count, pa.int64()), pa.array(feature), part.column(5)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "feature", "error"])
+
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, feature string, error string"
+    return pcm.select("doc_id", "n_bytes", "blocks", "media_bytes", "media_sha256", "error").mapInArrow(run, schema)
+
+
+def media_features(media: DataFrame, path: str) -> DataFrame:
+    """Decode the media, write their PCM blocks below ``path`` and describe what is read back."""
+    return pcm_features(write_pcm(media, path))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, flac, langid, neardup, packing, quality, toxicity, url_filter, warc
-from .shared import table
+from .shared import fresh_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,7 +30,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_features(flac.media_table(table(spark, sf_dir, "documents")))
+    return flac.media_features(flac.media_table(table(spark, sf_dir, "documents")), fresh_path(spark, "pcm")).drop("error")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _quality_sql() -> str:
     lo = {m: f"b.{m}25 - {quality.REACH} * (b.{m}75 - b.{m}25) - {fence[m].slack}" for m in metrics if fence[m].low}
     broken = " OR ".join([f"r.{m} > {hi[m]}" for m in metrics] + [f"r.{m} < {lo[m]}" for m in lo])
     at = lambda p: f"min(bucket) FILTER (WHERE rn * 100 >= n * {p})"
-    pick = ", ".join(f"max(CASE WHEN metric = '{m}' THEN CASE WHEN o.n < {quality.MIN_DOCS} THEN p.a{q} ELSE o.a{q} END END) {m}{q}" for m in metrics for q in (25, 75))
+    pick = ", ".join(f"max(CASE WHEN metric = '{m}' THEN (o.n * o.a{q} + {quality.POOL_WEIGHT} * p.a{q}) // (o.n + {quality.POOL_WEIGHT}) END) {m}{q}" for m in metrics for q in (25, 75))
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w FROM d),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) i FROM w)), rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) c FROM win) WHERE c > 1),
