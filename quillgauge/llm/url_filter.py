@@ -3,12 +3,16 @@
 The regression sees the presence of hashed character n-grams of host and path.
 It is trained on a small labelled table of urls by gradient descent, each step
 one aggregate over the table; all of it is DataFrame expressions.  Sums are
-taken over scaled integers, so the model does not depend on their order.
+taken over scaled integers, so the model does not depend on their order.  The
+table is built by rule from words of unwanted and of ordinary sites; nothing in
+it is taken from the pages that are judged.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path; a
-url too short for an n-gram is judged by the intercept; with no labelled rows
+url too short for an n-gram is judged by the intercept; a very long url is
+judged whole; of rules that fit the longest wins, of equally long ones the first
+in code-point order; a score of exactly one half allows; with no labelled rows
 all weights are zero and the verdict is allow; repeated rows are judged alike;
-other columns are ignored.
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,23 +27,18 @@ from .shared import settle
 ALLOW, BLOCK = "allow", "block"
 #: Rules in the form host/path; each fits its host and all subdomains if the path starts with the rule's.
 RULES = {"org/": ALLOW, "example.org/es/": BLOCK, "example.org/en/1": BLOCK, "com/fr/": ALLOW, "com/de/": BLOCK}
-#: The labelled table: urls of unwanted and of ordinary sites (fixed values).
-UNWANTED = """casino-royal.example.com/play online-casino.example.net/slots/1 bestcasino.example.org/en/2 win-casino.example.com/bonus casinowin.example.net/de/44
-jackpot-win.example.org/ big-win.example.com/prize winbig.example.net/es/3 sport-bets.example.com/odds bets365.example.net/live free-bets-now.example.org/fr/9
-bet-free.example.com/ free-money.example.net/now free-prize.example.com/win free-download.example.org/crack cheap-meds.example.com/buy cheap-viagra.example.net/en/8
-cheapest-pills.example.org/order pills-online.example.com/ diet-pills.example.net/de/7 buy-pills.example.com/cart cheap-loans.example.org/apply payday-loans.example.com/
-adult-video.example.com/watch adult-chat.example.net/ adultdate.example.org/fr/12 xxx-adult.example.com/en/5 adult-xx.example.net/ sex-x.example.org/cam porn-x.example.com/
-spam-mail.example.com/ spamfarm.example.net/en/77 link-farm.example.org/links seo-farm.example.com/backlinks farm-links.example.net/ spam-links.example.com/es/6
-ads-server.example.com/click ads-click.example.net/ track-ads.example.org/pixel click-track.example.com/r adstracker.example.net/de/2 tracking-ads.example.com/en/1
-tracker-pixel.example.net/t poker-win.example.com/ poker-free.example.org/table hot-singles.example.com/meet replica-watches.example.net/shop"""
-ORDINARY = """therapy.example.com/en/10 thenorth.example.net/es/4 theatre.example.org/fr/20 thread.example.com/de/9 weather.example.net/en/31 northern.example.org/
-authors.example.com/books library.example.net/en/55 museum.example.org/de/70 school.example.com/ university.example.net/en/12 news.example.org/fr/8 blog.thinking.example.com/en/900.html
-m.reader.example.net/es/71 www.history.example.org/de/33 recipes.example.com/soup garden.example.net/fr/2/ travel.example.org/en/61 music.example.com/ science.example.net/de/801
-health.example.org/en/7 sports.example.com/football forum.example.net/t/5 docs.example.org/guide wiki.example.com/en/Main mountain.example.net/es/13 theory.example.org/en/202
-nation.example.com/de/150 station.example.net/fr/404 ration.example.org/es/19 thing.example.com/en/3 other.example.net/en/77 there.example.org/de/18 thorn.example.com/fr/6
-through.example.net/en/41.html whether.example.org/es/5 another.example.com/de/23 person.example.net/en/15 reading.example.org/ ending.example.com/fr/51 store.example.net/en/9
-street.example.org/en/17 eastern.example.com/es/29 heater.example.net/de/1 anthem.example.org/fr/14 m.blog.example.com/en/2 www.shop.example.net/en/84 blog.other.example.org/es/62
-sher.example.com/en/5 thesis.example.net/en/66?page=2 rather.example.org/fr/38#top www.theme.example.com/de/47/ tones.example.net/es/58"""
+#: Words of unwanted and of ordinary sites, and endings of paths, that the labelled table is built from (fixed values).
+UNWANTED = """casino poker jackpot roulette slots betting wager lottery bingo blackjack porn xxx escort webcam nude hookup milf fetish viagra cialis
+pills steroids pharmacy weightloss payday loans forex crypto giveaway prize crack keygen torrent warez serial phishing verify-account login-update
+free-download clickbait adserver tracker popunder backlinks linkfarm replica counterfeit followers spam""".split()
+ORDINARY = """library museum university school hospital council parliament observatory orchestra theatre gallery archive newspaper weather travel railway airport
+garden bakery recipes kitchen furniture books music cinema football cycling climbing sailing forest mountain river chemistry physics biology
+mathematics linguistics history geography philosophy software database compiler network documents support forum community blog notes letters
+painting pottery carpentry architecture engineering insurance bank market grocery clothing shoes toys parenting health dentist clinic charity
+volunteers church election court tax water energy recycling transport bridge harbour farm dairy vineyard coffee restaurant hotel camping""".split()
+UNWANTED_PATHS = ("/", "/play-now", "/bonus?code=1", "/win/free", "/click.php", "/buy-cheap", "/join", "/hot/live", "/offer/best-price", "/cam")
+ORDINARY_PATHS = ("/", "/about", "/articles/2021/spring", "/index.html", "/contact", "/catalogue/item-204", "/docs/getting-started", "/people/staff", "/events?month=5", "/archive/page/12/")
+ENDINGS = (".com", ".net", ".org", ".info", ".co.uk", ".eu", ".io")
 BUCKETS = 2048
 WIDTHS = (3, 4)
 #: Labelled urls that training uses at most: the first by a hash of the url.
@@ -116,11 +115,21 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, steps: int = STEPS, max_r
     return Model(tuple(weights))
 
 
+def table_of(words: list[str], paths: tuple[str, ...]) -> list[str]:
+    """Urls of hosts named after one word or two, below the usual subdomains."""
+    out = []
+    for i, word in enumerate(words):
+        other = words[(i * 7 + 3) % len(words)]
+        names = (word, f"{word}-{other}", f"{word}{other}", f"my{word}", f"{word}{i + 11}")
+        for j, name in enumerate(names):
+            out.append(f"http{'s' * (j % 2)}://{('', 'www.', 'm.', 'blog.')[(i + j) % 4]}{name}{ENDINGS[(i + 2 * j) % len(ENDINGS)]}{paths[(i + 3 * j) % len(paths)]}")
+    return out
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled table as rows (host, path, verdict), each host also below the usual subdomains."""
-    pairs = [(sub + u, v) for v, urls in ((BLOCK, UNWANTED), (ALLOW, ORDINARY)) for u in urls.split() for sub in ("", "www.", "m.", "blog.")]
-    rows = [F.struct(F.lit(f"http://{u}").alias("url"), F.lit(v).alias("verdict")) for u, v in pairs]
-    one = spark.range(1).select(F.explode(F.array(*rows)).alias("r"))
+    """The labelled table as rows (host, path, verdict)."""
+    pairs = [(u, BLOCK) for u in table_of(UNWANTED, UNWANTED_PATHS)] + [(u, ALLOW) for u in table_of(ORDINARY, ORDINARY_PATHS)]
+    one = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(v).alias("verdict")) for u, v in pairs])).alias("r"))
     return one.select(host_of(F.col("r.url")).alias("host"), path_of(F.col("r.url")).alias("path"), "r.verdict")
 
 
