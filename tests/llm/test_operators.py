@@ -181,14 +181,131 @@ def test_flac_round_trip_and_damage():
             flac.decode_batch([bytes(bad)])
 
 
-def test_flac_tables(spark, docs, none):
+def test_flac_tables(spark, docs, none, tmp_path):
     media = flac.media_table(docs)
-    got = flac.media_features(media).collect()
-    want = {(r.doc_id, hashlib.sha256(flac.payload(r.text)).hexdigest()) for r in docs.collect()}
-    assert {(r.doc_id, r.payload_sha256) for r in got} == want
-    broken = media.limit(2).unionByName(media.limit(1).select(F.lit(-5).cast("long").alias("doc_id"), "n_bytes", F.lit(b"junk").alias("media")))
-    assert flac.pcm_blocks(broken).where("doc_id = -5").first().error
-    assert flac.media_features(flac.media_table(none)).collect() == []
+    got = flac.media_features(media, f"file://{tmp_path}/pcm").collect()
+    want = {(r.doc_id, len((r.text or "").encode()), hashlib.sha256(flac.payload(r.text)).hexdigest(), zlib.crc32(flac.payload(r.text)[-16:])) for r in docs.collect()}
+    assert {(r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in got} == want and not any(r.error for r in got)
+    assert flac.media_features(flac.media_table(none), f"file://{tmp_path}/none").collect() == []
+    odd = [F.lit(b"junk"), F.lit(None).cast("binary"), F.lit(b"fLaC"), F.expr("substring(media, 1, 300)")]
+    broken = media.where("doc_id = 303")
+    for k, m in enumerate(odd):
+        broken = broken.unionByName(media.where("doc_id = 309").withColumn("media", m).withColumn("doc_id", F.lit(-k).cast("long")))
+    rows = {r.doc_id: r for r in flac.pcm_table(broken.coalesce(1)).collect()}
+    assert rows[0].error and rows[-2].error and rows[-3].error and not any(rows[-k].blocks for k in range(4))
+    assert rows[-1].error is None and rows[-1].media_sha256 is None and rows[303].blocks
+    pcm = spark.read.parquet(f"file://{tmp_path}/pcm").where("doc_id = 309")
+    blocks = pcm.first().blocks
+    assert [b.first_sample for b in blocks] == list(range(0, 2112, flac.BLOCK))
+    (cut,) = pcm.select(flac.samples_at(pcm, F.lit(150).cast("long"), F.lit(400).cast("long")).alias("x")).first()
+    assert bytes(b ^ 0x80 for b in cut) == flac.payload("word " * 400)[150:550]
+
+
+class Writer:
+    """Bits of a stream put together one value at a time."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, width):
+        self.bits += [value >> (width - 1 - i) & 1 for i in range(width)]
+
+    def rice(self, value, k):
+        u = -2 * value - 1 if value < 0 else 2 * value
+        self.bits += [0] * (u >> k) + [1]
+        self.put(u & ((1 << k) - 1), k)
+
+    def frame(self, number, block):
+        head = bytes([0xFF, 0xF8, 0x70, 0x02, number]) + (block - 1).to_bytes(2, "big")
+        body = head + bytes([self.crc(head, 8, 0x07)]) + np.packbits(self.bits).tobytes()
+        return body + self.crc(body, 16, 0x8005).to_bytes(2, "big")
+
+    @staticmethod
+    def crc(data, width, poly):
+        c = 0
+        for b in data:
+            c ^= b << (width - 8)
+            for _ in range(8):
+                c = (c << 1 ^ (poly if c >> (width - 1) & 1 else 0)) & ((1 << width) - 1)
+        return c
+
+
+def written_frame(rng, number, block, x, order, weights, shift, precision, method, parts, escaped):
+    w = Writer()
+    w.put(31 + order if weights else 8 + order, 7)
+    w.put(0, 1)
+    for v in x[:order]:
+        w.put(int(v) & 0xFF, 8)
+    use = weights or flac.FIXED[order]
+    if weights:
+        w.put(precision - 1, 4)
+        w.put(shift, 5)
+        for a in weights:
+            w.put(a & ((1 << precision) - 1), precision)
+    w.put(method, 2)
+    w.put(parts.bit_length() - 1, 4)
+    for p in range(parts):
+        wide, lo, hi = 4 + method, max(order, p * block // parts), (p + 1) * block // parts
+        rest = [int(x[i]) - (sum(a * int(x[i - 1 - j]) for j, a in enumerate(use)) >> (shift if weights else 0)) for i in range(lo, hi)]
+        if p in escaped:
+            bits = max((max(v, -v - 1).bit_length() + 1 for v in rest), default=0) if any(rest) else 0
+            w.put((1 << wide) - 1, wide)
+            w.put(bits, 5)
+            for v in rest:
+                w.put(v & ((1 << bits) - 1), bits)
+        else:
+            k = int(rng.integers(0, 7 if method == 0 else 20))
+            w.put(k, wide)
+            for v in rest:
+                w.rice(v, k)
+    return w.frame(number, block)
+
+
+@pytest.mark.parametrize("seek", [True, False])
+def test_flac_decodes_what_another_encoder_may_write(seek):
+    """Linear predictors of several orders, scales and precisions, both codings of parameters, partitions, escapes, long runs of zeros."""
+    rng, block = np.random.default_rng(9), 64
+    ways = [(1, None, 0, 0, 0, 1, ()), (3, None, 0, 0, 1, 4, (1,)), (4, None, 0, 0, 0, 2, (0, 1)), (0, None, 0, 0, 0, 8, (7,))]
+    ways += [(2, [7, -3], 2, 5, 0, 1, ()), (5, [20, -9, 3, 1, -2], 4, 7, 1, 8, (0, 3)), (1, [1], 0, 2, 0, 4, (2,)), (8, [60, -30, 9, 0, 1, -4, 2, -1], 6, 12, 0, 1, ())]
+    frames, samples = [], []
+    for number, (order, weights, shift, precision, method, parts, escaped) in enumerate(ways):
+        x = np.clip(np.cumsum(rng.integers(-9, 10, block)), -128, 127)
+        if number % 3 == 0:
+            x[40:] = rng.integers(-128, 128, 24)
+        frames.append(written_frame(rng, number, block, x, order, weights, shift, precision, method, parts, escaped))
+        samples.append(x)
+    constant, verbatim = Writer(), Writer()
+    constant.put(0, 8)
+    constant.put(-5 & 0xFF, 8)
+    verbatim.put(2, 8)
+    samples += [np.full(block, -5), rng.integers(-128, 128, block)]
+    for v in samples[-1]:
+        verbatim.put(int(v) & 0xFF, 8)
+    frames += [constant.frame(8, block), verbatim.frame(9, block)]
+    x = np.concatenate(samples).astype(np.int8)
+    info = block.to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | len(x)).to_bytes(8, "big") + hashlib.md5(x.tobytes()).digest()
+    table = b"".join((i * block).to_bytes(8, "big") + sum(map(len, frames[:i])).to_bytes(8, "big") + block.to_bytes(2, "big") for i in range(len(frames)))
+    stream = b"fLaC" + flac.metadata(0, info, not seek) + (flac.metadata(3, table, True) if seek else b"") + b"".join(frames)
+    ((got, blocks),) = flac.decode_batch([stream])
+    assert got.astype(np.int8).tobytes() == x.tobytes() and [a for a, _ in blocks] == list(range(0, len(x), block))
+
+
+def test_flac_encoder_uses_every_kind_of_subframe():
+    rng, t = np.random.default_rng(1), np.arange(flac.BLOCK)
+    waves = [100 * np.sin(t / 3 + p) * np.exp(-t / 400) for p in range(9)]
+    rows = [np.zeros(flac.BLOCK), rng.integers(-128, 128, flac.BLOCK), *waves, np.where(t < 48, rng.integers(-90, 90, flac.BLOCK), rng.integers(-1, 2, flac.BLOCK)), t // 2 - 40, rng.integers(-3, 4, flac.BLOCK), np.cumsum(rng.integers(-2, 3, flac.BLOCK))]
+    x = np.array(rows).astype(np.int64)
+    kinds, parts = set(), set()
+    for frame in flac.encode_frames(x, np.arange(len(x))):
+        kind = frame[6] >> 1
+        kinds.add(kind)
+        if kind >= 8:
+            order = kind - 31 if kind >= 32 else kind - 8
+            at = 7 * 8 + 8 * order + (9 + flac.PRECISION * order if kind >= 32 else 0)
+            parts.add(int("".join(f"{b:08b}" for b in frame)[at + 2 : at + 6], 2))
+    assert {0, 1, 31 + flac.LPC_ORDER} <= kinds and len(kinds) >= 5 and parts == {0, 2}
+    ((got, _),) = flac.decode_batch(flac.encode_batch([(x.ravel() + 128).astype(np.uint8).tobytes()]))
+    assert (got == x.ravel()).all()
 
 
 def test_warc_round_trip(spark, tmp_path):
