@@ -30,6 +30,7 @@ CONTENT_TYPES = [
     ("requirement", ("要求", "requirement", "規範", "specification", "標準", "standard", "必須", "must", "需要", "need", "應該", "should", "規定", "regulation")),
     ("explanatory", ("為什麼", "why", "原因", "reason", "因為", "because", "目的", "purpose", "解釋", "explain", "說明", "description")),
 ]
+#: Personas by words of the question, in the order they are tried (fixed values).
 PERSONAS = [
     ("technical_user", ("technical", "code", "error", "debug", "configure")), ("procedural_user", ("how to", "steps", "guide", "tutorial")),
     ("information_seeker", ("what is", "define", "explain", "meaning")),

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
+#: What counts as an entity (fixed value).
 ENTITY = "[一-鿿]{2,}|[A-Za-z]{3,}"
 #: Stop words that keyword lists leave out (fixed values).
 STOP = ("the", "and", "for", "that", "with", "this", "are", "was", "is", "in", "on", "of", "to", "a", "an", "it", "be", "as", "at", "by", "or", "from")

@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.session import settle
+from .stats import quantiles, with_quantiles
 
 
 def uncertainty_bounds(scores: DataFrame, by: str) -> DataFrame:
     """by, lo, hi: max(0.3, Q1 - 0.1), min(0.9, Q3 + 0.1); the widest bounds below five scores in [0, 1]."""
     ok = scores.where(F.col("score").between(0, 1))
-    s = ok.groupBy(by).agg(F.count("*").alias("n"), F.percentile("score", 0.25).alias("q1"), F.percentile("score", 0.75).alias("q3"))
+    s = with_quantiles(ok.groupBy(by).agg(F.count("*").alias("n")), quantiles(ok, by, F.col("score"), {"q1": 0.25, "q3": 0.75}), by)
     few = F.col("n") < 5
     return s.select(by, F.when(few, 0.3).otherwise(F.greatest(F.lit(0.3), F.col("q1") - 0.1)).alias("lo"), F.when(few, 0.9).otherwise(F.least(F.lit(0.9), F.col("q3") + 0.1)).alias("hi"))
 

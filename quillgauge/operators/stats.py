@@ -20,17 +20,50 @@ def sanitize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: finite(F.col(c)) for c in cols})
 
 
-def kpi_distribution(long: DataFrame) -> DataFrame:
-    """metric, count, min, max, average, p50, p95 (linear); metrics without a value are left out."""
-    v = finite(F.col("value"))
-    out = long.groupBy("metric").agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("average"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.95).alias("p95"))
-    return out.where("`count` > 0")
+#: Slots of equal width that a group's values are counted in.
+SLOTS = 4096
 
 
-def kpi_sketch(long: DataFrame) -> DataFrame:
-    """As kpi_distribution with approximate quantiles, for groups too large to sort."""
+def quantiles(rows: DataFrame, by: str, value: Column, wanted: dict[str, float], nearest: bool = False) -> DataFrame:
+    """by, and an exact quantile of each group's values under each wanted name; linear unless ``nearest`` rank is asked for.
+
+    No task holds a group's values: a first pass counts them in slots between
+    the group's extremes, which tells in what slots the wanted ranks lie, and a
+    second counts the different values of these slots alone.  NaN and null
+    values are left out; groups without values have no row.
+    """
+    v = rows.select(F.col(by).alias("g"), finite(value.cast("double")).alias("v")).where("v is not null")
+    ends = v.groupBy(F.col("g").alias("of")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    place = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * SLOTS), F.lit(SLOTS - 1))).otherwise(F.lit(0)).cast("int")
+    slotted = v.join(ends, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "n", place.alias("slot"))
+    per = slotted.groupBy("g", "n", "slot").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = [F.greatest(F.ceil(F.col("n") * F.lit(q)), F.lit(1)) - 1 if nearest else (F.col("n") - 1) * F.lit(q) for q in wanted.values()]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in at])))
+    held = per.withColumn("before", before).select("g", "slot", "before", F.explode(ranks).alias("rank"), "c").where("rank >= before and rank < before + c")
+    needed = held.groupBy("g", "slot", "before").agg(F.collect_list("rank").alias("ranks"))  # at most two rows for each group and quantile
+    needed = needed.withColumnsRenamed({"g": "g2", "slot": "slot2"})
+    values = slotted.join(needed, F.col("g").eqNullSafe(F.col("g2")) & (F.col("slot") == F.col("slot2"))).groupBy("g", "n", "slot", "before", "ranks", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g", "slot").orderBy("v")) + F.col("before")
+    found = values.withColumn("upto", upto).select("g", "n", "v", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))).alias("rank"))
+    known = found.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))
+    out = []
+    for name, p in zip(wanted, at, strict=True):
+        lo, hi = F.col("m")[F.floor(p)], F.col("m")[F.ceil(p)]
+        out.append(F.when(F.floor(p) == F.ceil(p), lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi).alias(name))
+    return known.select(F.col("g").alias(by), *out)
+
+
+def with_quantiles(stats: DataFrame, q: DataFrame, by: str) -> DataFrame:
+    """stats with the quantiles of its groups, null where a group has none."""
+    return stats.join(q.withColumnRenamed(by, "__g"), F.col(by).eqNullSafe(F.col("__g")), "left").drop("__g")
+
+
+def kpi_distribution(long: DataFrame) -> DataFrame:
+    """metric, count, min, max, average, p50, p95 (linear); metrics without a value are left out."""
     v = finite(F.col("value"))
-    return long.groupBy("metric").agg(F.count(v).alias("count"), F.percentile_approx(v, 0.5, 10_000).alias("p50"), F.percentile_approx(v, 0.95, 10_000).alias("p95"))
+    out = long.groupBy("metric").agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("average"))
+    return with_quantiles(out.where("`count` > 0"), quantiles(long, "metric", v, {"p50": 0.5, "p95": 0.95}), "metric")
 
 
 def kpi_counts(long: DataFrame) -> DataFrame:
@@ -61,13 +94,10 @@ def nan_tolerance(long: DataFrame, mode: str) -> DataFrame:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def nearest_rank(c: str, q: float) -> Column:
-    return F.expr(f"percentile_disc({q}) within group (order by {c})")
-
-
-def latency_stats(items: DataFrame, by: list[str], col: str = "latency") -> DataFrame:
+def latency_stats(items: DataFrame, by: str, col: str = "latency") -> DataFrame:
     """avg, p50, p90, p99 (nearest rank) of a latency column."""
-    return items.where(F.col(col).isNotNull()).groupBy(*by).agg(F.avg(col).alias("avg"), *[nearest_rank(col, q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)])
+    s = items.where(F.col(col).isNotNull()).groupBy(by).agg(F.avg(col).alias("avg"))
+    return with_quantiles(s, quantiles(items, by, F.col(col), {"p50": 0.5, "p90": 0.9, "p99": 0.99}, nearest=True), by)
 
 
 def filtered_kpis(long: DataFrame, latency: tuple[float, float], ranges: dict[str, tuple[float, float]]) -> DataFrame:
@@ -81,7 +111,8 @@ def filtered_kpis(long: DataFrame, latency: tuple[float, float], ranges: dict[st
 
 def timing_stats(df: DataFrame, by: str, col: str) -> DataFrame:
     """sum, min, max, mean, median, p95, p99 (linear)."""
-    return df.groupBy(by).agg(F.sum(col).alias("sum"), F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"), *[F.percentile(col, q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    s = df.groupBy(by).agg(F.sum(col).alias("sum"), F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"))
+    return with_quantiles(s, quantiles(df, by, F.col(col), {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by)
 
 
 def evaluation_summary(long: DataFrame, t: float = 0.7) -> DataFrame:
@@ -92,7 +123,8 @@ def evaluation_summary(long: DataFrame, t: float = 0.7) -> DataFrame:
 
 def describe_scores(long: DataFrame) -> DataFrame:
     v = finite(F.col("value"))
-    return long.groupBy("metric").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[F.percentile(v, q).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max(v).alias("max"))
+    s = long.groupBy("metric").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return with_quantiles(s, quantiles(long, "metric", v, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "metric")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -107,7 +139,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def suggest_thresholds(long: DataFrame, q: float = 0.7) -> DataFrame:
     """metric, threshold (linear quantile), pass_rate of it."""
     v = finite(F.col("value"))
-    t = long.groupBy("metric").agg(F.percentile(v, q).alias("threshold"))
+    t = quantiles(long, "metric", v, {"threshold": q})
     return long.join(t, "metric").groupBy("metric", "threshold").agg(F.avg((v >= F.col("threshold")).cast("int")).alias("pass_rate"))
 
 
@@ -259,7 +291,7 @@ def rank_by_gap(kpis: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def sla_check(df: DataFrame, by: str, col: str, budgets: DataFrame) -> DataFrame:
     """by, p95 (linear), budget, ok."""
-    p = df.groupBy(by).agg(F.percentile(col, 0.95).alias("p95"))
+    p = quantiles(df, by, F.col(col), {"p95": 0.95})
     return p.join(budgets, by).withColumn("ok", F.col("p95") <= F.col("budget"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stats import quantiles, with_quantiles
+
 #: Metrics that drift is tested on, with their better direction (fixed values).
 DIRECTIONS = {"entity_overlap": "higher", "structural_connectivity": "higher", "hub_noise_penalty": "lower"}
 
@@ -59,7 +61,8 @@ def recent_means(runs: DataFrame, cols: list[str], ns=(3, 5, 10), keep: int = 50
 def run_trends(events: DataFrame, by: Column) -> DataFrame:
     """run_id, p50, p95 (linear), mean latency, share of fallbacks, errors."""
     e = events.withColumn("run_id", by)
-    return e.groupBy("run_id").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.avg("value").alias("mean"), F.avg((~F.col("event_type").isin("view", "click")).cast("int")).alias("fallback"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    s = e.groupBy("run_id").agg(F.avg("value").alias("mean"), F.avg((~F.col("event_type").isin("view", "click")).cast("int")).alias("fallback"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return with_quantiles(s, quantiles(e, "run_id", F.col("value"), {"p50": 0.5, "p95": 0.95}), "run_id")
 
 
 def run_anomalies(trends: DataFrame, cols: list[str]) -> DataFrame:

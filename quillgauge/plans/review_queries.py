@@ -31,17 +31,17 @@ def m1(spark, sf):
     return rounded(R.uncertainty_bounds(fb(spark, sf), "key"), "lo", "hi")
 
 
-CAND_SQL = f"{RESP_SQL}, cand AS (SELECT *, CASE WHEN confidence < 0.5 THEN 'low_confidence' WHEN length(trim(answer)) < 40 THEN 'short_answer' WHEN score < 0.4 THEN 'low_score' WHEN abs(score - other_score) > 0.3 THEN 'conflict' WHEN score BETWEEN 0.45 AND 0.7 THEN 'uncertain' END reason FROM resp)"
+CAND_SQL = f"{RESP_SQL}, cand AS (SELECT *, CASE WHEN confidence < 0.5 THEN 'low_confidence' WHEN length(trim(answer)) < 40 THEN 'short_answer' WHEN score < 0.4 THEN 'low_score' WHEN abs(score - other_score) > 0.3 THEN 'conflict' WHEN score BETWEEN 0.45 AND 0.7 THEN 'uncertain' WHEN ('0x' || left(md5(id::VARCHAR), 6))::BIGINT / 16777215 < 0.05 THEN 'audit' END reason FROM resp)"
 
 
 @query("m2_review_candidates", f"WITH {CAND_SQL} SELECT id, reason FROM cand WHERE reason IS NOT NULL")
 def m2(spark, sf):
-    return R.review_candidates(resp(spark, sf), 0.45, 0.7, audit=0.0).select("id", "reason")
+    return R.review_candidates(resp(spark, sf), 0.45, 0.7).select("id", "reason")
 
 
-@query("m3_review_recommendations", f"WITH {CAND_SQL} SELECT reason, CASE WHEN reason IN ('low_confidence', 'low_score', 'conflict') THEN 'high' ELSE 'medium' END priority, count(*) n, quantile_cont(score, 0.5) median_score FROM cand WHERE reason IS NOT NULL GROUP BY 1")
+@query("m3_review_recommendations", f"WITH {CAND_SQL} SELECT reason, CASE WHEN reason IN ('low_confidence', 'low_score', 'conflict') THEN 'high' WHEN reason = 'audit' THEN 'low' ELSE 'medium' END priority, count(*) n, quantile_cont(score, 0.5) median_score FROM cand WHERE reason IS NOT NULL GROUP BY 1")
 def m3(spark, sf):
-    return R.review_recommendations(R.review_candidates(resp(spark, sf), 0.45, 0.7, audit=0.0))
+    return R.review_recommendations(R.review_candidates(resp(spark, sf), 0.45, 0.7))
 
 
 def _queue(spark, sf):

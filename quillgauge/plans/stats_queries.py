@@ -53,7 +53,7 @@ def j5(spark, sf):
 
 @query("j6_latency_stats", "SELECT event_type metric, round(avg(value), 9) avg, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.9) p90, quantile_disc(value, 0.99) p99 FROM events GROUP BY 1")
 def j6(spark, sf):
-    return rounded(S.latency_stats(long(spark, sf), ["metric"]), "avg")
+    return rounded(S.latency_stats(long(spark, sf), "metric"), "avg")
 
 
 @query("j7_filtered_kpis", f"{M} SELECT metric, count(value) n, round(avg(value), 9) mean FROM f WHERE latency BETWEEN 5 AND 40 AND (metric <> 'click' OR coalesce(value BETWEEN 0.2 AND 0.9, false)) GROUP BY metric")

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgauge.functions.session import number_rows
 from quillgauge.operators import chunks, gcr, graph, quality, simjoin, stats
+from quillgauge.sources import files
 
 
 def test_set_joins(spark):
@@ -61,7 +63,7 @@ def test_quantile_rules(spark):
     r = stats.kpi_distribution(d).first()
     assert (r["count"], r.average, r.p50, round(r.p95, 9)) == (4, 2.5, 2.5, 3.85)
     lat = spark.createDataFrame([(float(v), "a") for v in (10, 20, 30, 40, 50)], "latency double, k string")
-    r = stats.latency_stats(lat, ["k"]).first()
+    r = stats.latency_stats(lat, "k").first()
     assert (r.avg, r.p50, r.p90, r.p99) == (30, 30, 50, 50)
 
 
@@ -123,3 +125,66 @@ def test_fuzzy_dedup_is_the_sequential_pass(spark, t):
             kept.append(i)
     got = quality.fuzzy_dedup(spark.createDataFrame(list(enumerate(rows)), "id long, question string"), t)
     assert sorted(r.id for r in got.collect()) == kept
+
+
+def test_hot_tokens_meet_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "SLICE", 7)
+    rng = random.Random(3)
+    sets = [(i, ["hot", *(f"t{rng.randint(0, 40)}" for _ in range(rng.randint(0, 5))), None]) for i in range(90)]
+    n = spark.createDataFrame(sets, "id long, e array<string>")
+    for t in (0.1, 0.5):
+        want = set()
+        for i, a in sets:
+            for j, b in sets:
+                x, y = set(a) - {None}, set(b) - {None}
+                c = len(x & y)
+                if i < j and c and c / (len(x) + len(y) - c) >= t:
+                    want.add((i, j, c))
+        assert {(r.i, r.j, r.common) for r in simjoin.set_join(n, "e", t).collect()} == want
+    shared = simjoin.set_join(n, "e", 0.5, shared=True).collect()
+    assert shared and all("hot" in r.shared and len(r.shared) == r.common for r in shared)
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_cosines_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(simjoin, "BLOCK", block)
+    rng = random.Random(1)
+    vecs = [(i, [rng.gauss(0, 1) for _ in range(4)] if i % 9 else None) for i in range(40)] + [(40, [0.0] * 4)]
+    v = spark.createDataFrame(vecs, "id long, v array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    some = [(i, a) for i, a in vecs if a and any(a)]
+    want = {(i, j) for i, a in some for j, b in some if i < j and cos(a, b) >= 0.6}
+    assert {(r.i, r.j) for r in simjoin.cosine_join(v, "v", 0.6).collect()} == want
+    top = {}
+    for r in simjoin.cosine_topk(v.where("id % 5 = 1").withColumnRenamed("id", "qid"), v, 3).orderBy("qid", "rank").collect():
+        top.setdefault(r.qid, []).append(r.id)
+    assert top == {i: [j for _, j in sorted((-cos(a, b), j) for j, b in some)][:3] for i, a in some if i % 5 == 1}
+
+
+@pytest.mark.parametrize("nearest", [False, True])
+def test_quantiles_are_exact_in_slots(spark, monkeypatch, nearest):
+    monkeypatch.setattr(stats, "SLOTS", 5)
+    rng = random.Random(2)
+    groups = {"a": [rng.random() for _ in range(101)], "b": [1.5] * 4, None: [rng.choice([1.0, 2.0, 900.0]) for _ in range(30)], "c": [7.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("empty", None)]
+    wanted = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.g: r for r in stats.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", F.col("v"), wanted, nearest).collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        s = sorted(vs)
+        for name, q in wanted.items():
+            at = max(-(-len(s) * q // 1), 1) - 1 if nearest else (len(s) - 1) * q
+            lo, hi = s[int(at)], s[min(int(at) + 1, len(s) - 1)]
+            assert got[g][name] == pytest.approx(lo + (hi - lo) * (at - int(at)))
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    d = spark.range(5000).repartition(6).select((F.col("id") * 7919 % 5003).alias("k"))
+    got = [(r.k, r.number) for r in number_rows(d, "k").collect()]
+    assert sorted(got) == [(k, i) for i, k in enumerate(sorted(r.k for r in d.collect()))]
+
+
+def test_list_literals(spark):
+    texts = ["['a', 'b']", '["it\'s", "x, y"]', r"['it\'s', 'a\\b']", "[1, 2.5, None]", "[]", "no list", None, "['two\nlines']"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select(files.list_literal(F.col("t")).alias("l"))
+    assert [r.l for r in d.collect()] == [["a", "b"], ["it's", "x, y"], ["it's", "a\\b"], ["1", "2.5", "None"], [], [], [], ["two\nlines"]]
