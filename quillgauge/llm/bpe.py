@@ -7,9 +7,14 @@ path to the root, until no pair can be merged.  The trees of many pieces of
 like length are held as one matrix and advance together.
 
 A text is cut at its special tokens and then into pieces by the vocabulary's
-pattern; pieces met before are looked up.  Edge cases: null and empty texts
-have no tokens; ids outside the vocabulary decode to nothing; other columns
-are ignored.
+pattern; pieces met before are looked up.
+
+Edge cases: null and empty texts have no tokens; very long texts are encoded
+whole, and an unbroken word of very many letters takes as many steps as it has
+merges, each logarithmic; of pairs of equal rank the leftmost merges first; ids
+outside the vocabulary decode to nothing; repeated rows and equal texts get
+equal results; an empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ language.
 
 Edge cases: texts that are null or have no letter give ``und`` with score 0;
 with no training rows every text gives ``und``; ties go to the first language
-in code-point order; equal texts give equal results; other columns are ignored.
+in code-point order, and n-grams as frequent are ranked by their letters; very
+long texts are counted whole; repeated rows and equal texts give equal results;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
