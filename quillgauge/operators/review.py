@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,14 +91,29 @@ def recommend_threshold(scores: DataFrame, w: int) -> DataFrame:
 
 
 def dynamic_gate(scores: DataFrame, every: int = 10) -> DataFrame:
-    """key, seq, lo, hi, in_range: quartiles of all scores so far, renewed every tenth step."""
-    w = Window.partitionBy("key").orderBy("seq")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    s = scores.withColumn("i", F.row_number().over(w)).withColumns({"q1": F.percentile("score", 0.25).over(run), "q3": F.percentile("score", 0.75).over(run)})
-    step = F.col("i") % every == 0
-    s = s.withColumns({"lo": F.last(F.when(step, F.col("q1")), ignorenulls=True).over(run), "hi": F.last(F.when(step, F.col("q3")), ignorenulls=True).over(run)})
-    s = s.withColumns({"lo": F.round("lo", 9), "hi": F.round("hi", 9)})
-    return s.select("key", "seq", "lo", "hi", F.coalesce(F.col("score").between(F.col("lo"), F.col("hi")), F.lit(False)).alias("in_range"))
+    """key, seq, lo, hi, in_range: quartiles of all scores so far, renewed every tenth step.
+
+    A key's scores are merged into a sorted list step by step; null scores are
+    steps without a value.
+    """
+
+    def gate(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("seq", kind="stable")
+        v = f["score"].to_numpy(dtype=float)
+        lo, hi, held = np.full(len(v), np.nan), np.full(len(v), np.nan), np.zeros(0)
+        for end in range(every, len(v) + 1, every):
+            new = np.sort(v[end - every : end])
+            new = new[~np.isnan(new)]
+            held = np.insert(held, np.searchsorted(held, new), new)
+            if len(held):
+                at = (len(held) - 1) * np.array([0.25, 0.75])
+                low, part = held[np.floor(at).astype(int)], at - np.floor(at)
+                q1, q3 = low + (held[np.ceil(at).astype(int)] - low) * part
+                lo[end - 1 : end - 1 + every], hi[end - 1 : end - 1 + every] = round(q1, 9), round(q3, 9)
+        return pd.DataFrame({"key": f["key"], "seq": f["seq"], "lo": lo, "hi": hi, "in_range": (v >= lo) & (v <= hi)})
+
+    kinds = dict(scores.dtypes)
+    return scores.select("key", "seq", F.col("score").cast("double").alias("score")).groupBy("key").applyInPandas(gate, f"key {kinds['key']}, seq {kinds['seq']}, lo double, hi double, in_range boolean")
 
 
 def threshold_path(scores: DataFrame) -> DataFrame:
