@@ -52,8 +52,8 @@ MAX_ROWS = 6000
 FOLDS = 5
 RIDGE = 0.05
 MIN_DOCS = 5
-#: Chi-square from which a word counts (one in twenty unrelated ones reaches it).
-LEAST_CHI2 = 3.84
+#: Chi-square from which a word counts (one in a hundred unrelated ones reaches it).
+LEAST_CHI2 = 6.63
 #: Share of a word's toxic documents that must have a category's first word for it to join.
 BESIDE = 0.3
 THRESHOLD = 0.5
@@ -182,7 +182,7 @@ class Bags:
         """Input of each feature for a model fitted to the rows used: 0 unless significant there, 1 if beyond what chance gives."""
         chi = chi_square(self.counts(used), self.counts(used & (y > 0)), used.sum(), y[used].sum())
         level = 2 * float(np.log(max(self.size, 2)))
-        return np.where(chi >= LEAST_CHI2, np.minimum(1, chi / level), 0.0)
+        return np.where(chi >= LEAST_CHI2, np.minimum(1, chi / level) ** 2, 0.0)
 
 
 def weak_categories(bags: Bags, toxic: np.ndarray, how_many: int) -> list[np.ndarray]:
