@@ -38,9 +38,9 @@ POOL_TOKENS = 1 << 20
 #: Weights of the linear and the quadratic part of a piece's cost.
 LINEAR, QUADRATIC = 1.0, 1 / 1024
 #: Pieces of text whose ids a Python worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 #: Bytes of text that are tokenised together (more where a single text is longer).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
 
