@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, flac, langid, neardup, packing, quality, toxicity, url_filter, warc
+from . import bpe, chat, flac, langid, neardup, packing, quality, token_files, toxicity, url_filter, warc
 from .shared import fresh_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,10 +61,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "ids")
+    return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), BYTE_BPE, folder, end_id=2), folder)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_toxicity, op3_chat, op4_flac, op5_packing, op6_language_id, op7_warc, op8_bpe, op9_quality, op10_near_duplicates)
-}
+    for f in (
+        op1_url_filter, op2_toxicity, op3_chat, op4_flac, op5_packing, op6_language_id, op7_warc, op8_bpe, op9_quality, op10_near_duplicates,
+        op11_token_files,
+    )
+}
+
 
 def _quality_sql() -> str:
     """The counts, the sketches and the fences of op9 in SQL."""
