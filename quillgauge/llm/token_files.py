@@ -47,9 +47,13 @@ CHECKSUMS = 0x80
 FRAME_IDS, FILE_BYTES = 1 << 16, 256 << 20
 LEVEL = 3
 #: Words whose ids a Python worker remembers, and characters of text that are encoded together.
-REMEMBER, CHUNK_CHARS = 400_000, 4 << 20
+REMEMBER, CHUNK_CHARS = 800_000, 4 << 20
 MANIFEST = "part int, number int, path string, first_id long, last_id long, documents long, ids long, bytes long"
 
+#: Marks that are cut off the ends of words.
+MARKS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+ONE_WORD = re.compile(r" ?\S+")
+DOUBLE_BLANKS = ("  ", "\n\n", " \n", "\n ")
 SINGLE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 RARE_BLANK = re.compile("[\0\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -58,10 +62,11 @@ class ByteTokens:
     """Ids of texts as the tokenizer gives them, by words that it never joins.
 
     No piece of a byte-level vocabulary crosses a single blank between two
-    characters that are no white space, nor a single line feed there; so texts
-    are cut before such blanks and around such line feeds, and the library sees
-    each different word once.  Texts that hold one of its special tokens go to
-    the library whole.
+    characters that are no white space, nor a single line feed there, and none
+    goes on from a letter to a mark; so texts are cut before such blanks and
+    around such line feeds, marks are cut off the ends of words, and the library
+    sees each different word once, many of them as the lines of one text.
+    Texts that hold one of its special tokens go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -71,29 +76,98 @@ class ByteTokens:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, bytes] = {}
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        encode = self.tok.encode_batch_fast
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for i in range(0, len(texts), 20_000) for e in encode(texts[i : i + 20_000], add_special_tokens=False)]
+        [self.line_feed] = self.whole("\n").tolist()
+        self.known: dict[bytes, int] = {}
+        self.flat = np.zeros(0, f"<u{self.width}")
+        self.begin, self.size, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def forget(self, keep: int) -> None:
+        """Keep the words used most, ``keep`` of them at most and none that was used once."""
+        least = max(2, int(np.partition(self.uses, -keep)[-keep]) + 1)
+        old = np.flatnonzero(self.uses >= least)
+        words = list(self.known)
+        self.known = dict(zip(map(words.__getitem__, old.tolist()), range(len(old)), strict=True))
+        self.flat, self.size = self.ids_of(old), self.size[old]
+        self.begin, self.uses = np.cumsum(self.size) - self.size, self.uses[old] // 2
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+
+    def put(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Note the ids of words, given one after the other."""
+        self.begin[numbers] = len(self.flat) + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+
+    def number(self, word: bytes, new: list[bytes]) -> int:
+        if word not in self.known:
+            self.known[word] = len(self.known)
+            new.append(word)
+        return self.known[word]
+
+    def learn(self, new: list[bytes]) -> None:
+        lines, joined, others = [], [], []
+        for w in new:  # grows by the parts of words
+            body = w.rstrip(MARKS)
+            if body != w and body and body[-1:].isalpha():
+                joined.append((self.known[w], self.number(body, new), self.number(w[len(body) :], new)))
+            else:
+                text = w.decode()
+                (lines if ONE_WORD.fullmatch(text) else others).append((w, text))
+        more = np.zeros(len(self.known) - len(self.begin), np.int64)
+        self.begin, self.size, self.uses = (np.concatenate([x, more]) for x in (self.begin, self.size, self.uses))
+        for i in range(0, len(lines), 50_000):
+            part = lines[i : i + 50_000]
+            ids = self.whole("\n".join([t for _, t in part]))
+            ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids))
+            self.put([self.known[w] for w, _ in part], ids[ids != self.line_feed], np.diff(ends, prepend=-1) - 1)
+        for w, text in others:
+            ids = self.whole(text)
+            self.put([self.known[w]], ids, np.array([len(ids)]))
+        if joined:
+            numbers, body, marks = np.array(joined).T
+            self.put(numbers, self.ids_of(np.stack([body, marks], 1).ravel()), self.size[body] + self.size[marks])
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of known words, one after the other."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.begin[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words, all of which are known afterwards."""
+        coded, new = words.dictionary_encode(), []
+        met = np.array([self.number(w, new) for w in coded.dictionary.to_pylist()], np.int64)
+        self.learn(new)
+        out = met[coded.indices.to_numpy(zero_copy_only=False)] if len(met) else met
+        np.add.at(self.uses, out, 1)
+        return out
 
-    def cut(self, text: str) -> list[str]:
-        blanks = text.count(" ") + text.count("\n")
-        if len(text.split()) == blanks + 1 and not RARE_BLANK.search(text):
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return SINGLE_BLANK.split(text)
+    def even(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of texts in which each blank and line feed stands alone."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        feed = raw == 10
+        border = (raw == 32) | feed
+        border[1:] |= feed[:-1]
+        begins = np.cumsum([0, *map(len, texts)])
+        border[begins[:-1][begins[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(border)
+        numbers = self.numbers(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int32)), pa.py_buffer(raw)]))
+        at = np.concatenate([[0], np.cumsum(self.size[numbers])])[np.searchsorted(starts, begins)] * self.width
+        flat = self.ids_of(numbers).tobytes()
+        return (flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+    def uneven(self, text: str) -> bytes:
+        return self.ids_of(self.numbers(pa.array([w.encode() for w in SINGLE_BLANK.split(text)], pa.binary()))).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``width`` bytes."""
-        whole = [self.special is not None and self.special.search(t) is not None for t in texts]
-        words = [[] if w or not t else self.cut(t) for t, w in zip(texts, whole, strict=True)]
-        met = set().union(*words)
         if len(self.known) > REMEMBER:
-            self.known = {w: v for w in met if (v := self.known.get(w)) is not None}
-        new = [w for w in met if w not in self.known]
-        self.known.update(zip(new, self.packed(new), strict=True))
-        get = self.known.__getitem__
-        return [self.packed([t])[0] if w else b"".join(map(get, ws)) for t, w, ws in zip(texts, whole, words, strict=True)]
+            self.forget(REMEMBER // 2)
+        whole = [self.special is not None and self.special.search(t) is not None for t in texts]
+        odd = [w or any(map(t.__contains__, DOUBLE_BLANKS)) or RARE_BLANK.search(t) is not None for t, w in zip(texts, whole, strict=True)]
+        even = self.even([b"" if o else t.encode("utf-8", "replace") for t, o in zip(texts, odd, strict=True)])
+        return [self.whole(t).tobytes() if w else self.uneven(t) if o else e for t, w, o, e in zip(texts, whole, odd, even, strict=True)]
 
     def ids_in_chunks(self, texts: Iterable[str]) -> Iterator[bytes]:
         held, size = [], 0
@@ -290,4 +364,4 @@ def read_token_files(manifest: DataFrame, folder: str, wanted: list[int] | None
                         yield give(rows)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return files.select("path", "before").repartition("path").mapInArrow(run, schema)
+    return files.select("path", "before").repartition(max(1, manifest.count()), "path").mapInArrow(run, schema)  # rows are few bytes, files are not
