@@ -79,12 +79,12 @@ def mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def places(seed: int, words: list[np.ndarray]) -> np.ndarray:
-    """Place in the bit table of each phrase, from the hashes of its first, second, ... words."""
+def places(seed: int, words: list[np.ndarray], bits: int) -> np.ndarray:
+    """Place in a table of two to so many bits of each phrase, from the hashes of its first, second, ... words."""
     h = np.full(len(words[0]), seed, np.uint64)
     for w in words:
         h = mix(h, w)
-    return h >> np.uint64(64 - TABLE_BITS)
+    return h >> np.uint64(64 - bits)
 
 
 def word_hash(word: bytes) -> int:
@@ -186,7 +186,7 @@ class Counter:
             new = list(self.numbers)[len(self.hashes) :]
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(word_hash, new), np.uint64, len(new))])
         n = self.depth - 1
-        at = places(word_hash(lang.encode()), [self.hashes[ids[k : len(ids) - n + 1 + k]] for k in range(n)])
+        at = places(word_hash(lang.encode()), [self.hashes[ids[k : len(ids) - n + 1 + k]] for k in range(n)], len(self.table).bit_length() + 5)
         return (self.table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
     def count(self, lang: str, texts: list[str]) -> None:
@@ -299,8 +299,8 @@ def count_level(docs: DataFrame, depth: int, table=None, entries: int = ENTRIES)
     return merged.select("lang", (F.col("prefix") if depth == 1 else F.concat_ws(" ", "prefix", "word")).alias("phrase"), "f")
 
 
-def bit_table(phrases: DataFrame) -> np.ndarray:
-    """Bits of the phrases (lang, phrase) by their places: 2 ** TABLE_BITS, gathered as at most that many / 64 numbers."""
+def bit_table(phrases: DataFrame, size: int = TABLE_BITS) -> np.ndarray:
+    """Bits of the phrases (lang, phrase) by their places: 2 ** size, gathered as at most that many / 64 numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,13 +311,13 @@ def bit_table(phrases: DataFrame) -> np.ndarray:
                 rows.setdefault((lang, len(words)), []).append(words)
             for (lang, n), found in rows.items():
                 hashes = [np.fromiter((word_hash(w[k]) for w in found), np.uint64, len(found)) for k in range(n)]
-                out.append(places(word_hash(lang.encode()), hashes).astype(np.int64))
+                out.append(places(word_hash(lang.encode()), hashes, size).astype(np.int64))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["place"])
 
     bits = phrases.select("lang", "phrase").mapInArrow(run, "place long")
     slots = bits.groupBy((F.shiftright("place", 6)).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    table = np.zeros(1 << (size - 6), np.uint64)
     table[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().astype(np.uint64)
     return table
 
@@ -330,7 +330,7 @@ class Frequent:
     totals: DataFrame
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, entries: int = ENTRIES) -> Frequent:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, entries: int = ENTRIES, bits: int = TABLE_BITS) -> Frequent:
     """Phrases of 1 to ``longest`` words, a table a length, each counted over the whole corpus."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     spark = docs.sparkSession
@@ -338,7 +338,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     levels = [words.where(F.col("f") >= least)]
     for depth in range(2, longest + 1):
-        table = spark.sparkContext.broadcast(bit_table(levels[-1]))
+        table = spark.sparkContext.broadcast(bit_table(levels[-1], bits))
         levels.append(settle(count_level(rows, depth, table, entries).where(F.col("f") >= least), f"phrases-{depth}"))
         table.destroy()
     return Frequent(levels, totals)
@@ -348,9 +348,9 @@ def joined(words, first, size):
     return F.array_join(F.slice(words, first, size), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, entries: int = ENTRIES) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, entries: int = ENTRIES, bits: int = TABLE_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the first ``top`` phrases of each language; docs: lang, text."""
-    found = frequent_phrases(docs, least, longest, entries)
+    found = frequent_phrases(docs, least, longest, entries, bits)
     key = F.concat_ws("\n", "lang", "phrase").alias("key")  # no phrase has a line feed
     counts, candidates = None, None
     for k, level in enumerate(found.phrases):
