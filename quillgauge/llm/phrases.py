@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,32 +47,28 @@ SCALE = 2_000_000
 #: Entries of a container before it bursts, of all tries of a task before the largest are spilled, and words numbered at a time.
 BURST, ENTRIES, WORDS = 4096, 1_000_000, 600_000
 #: Characters of text that are counted together, and rows of a batch that is handed on.
-CHUNK_CHARS, BATCH = 4 << 20, 100_000
+CHUNK_CHARS, BATCH = 8 << 20, 100_000
 #: The bit table has two to this many bits, whatever the size of the corpus.
 TABLE_BITS = 27
 #: Bits of a word's number in a packed key.
 WIDTH = 21
 MASK = (1 << WIDTH) - 1
 
-# Marks end a piece and stand as one word of their own; letters A-Z become small, a tab is a blank.
+# Marks end a piece; letters A-Z become small, a tab is a blank.
 MARKS = bytes([*b".,;:!?", *range(0x0A, 0x0E)])
 FOLD = bytes.maketrans(bytes(range(65, 91)) + MARKS + b"\t", bytes(range(97, 123)) + b"." * len(MARKS) + b" ")
 
 
-def words_of(texts: list[str]) -> list[bytes]:
-    """Words of the texts in order, with ``.`` where a piece ends."""
-    return "\n".join(texts).encode("utf-8", "replace").translate(FOLD).replace(b".", b" . ").split()
-
-
-class Numbers(dict):
-    """Numbers of words in the order they are met; 0 is the end of a piece."""
-
-    def __init__(self):
-        super().__init__({b".": 0})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Words of the texts in order, and a number for each that differs where their pieces do."""
+    raw = np.frombuffer("\n".join(texts).encode("utf-8", "replace").translate(FOLD), np.uint8)
+    mark = raw == ord(".")
+    held = ~mark & (raw != ord(" "))
+    starts = np.flatnonzero(held & ~np.concatenate([[False], held[:-1]]))
+    letters = np.cumsum(held)
+    offsets = np.append(letters[starts] - 1, letters[-1] if len(letters) else 0).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[held])])
+    return words, np.cumsum(mark)[starts]
 
 
 def mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -122,10 +119,32 @@ class Trie:
     def entries(self) -> int:
         return sum(self.size.values())
 
-    def pop(self, w: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Take a subtree out: (prefix, packed rest, counts) of its containers."""
-        del self.size[w]
-        yield from walk([w], self.root.pop(w))
+    def pop(self, chosen: list[int], most: int = BATCH) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """Take subtrees out: a column for each word of their phrases, and the counts; about ``most`` entries at a time."""
+        flat, size = [], 0
+        for w in chosen:
+            size += self.size.pop(w)
+            flat += walk([w], self.root.pop(w))
+            if size >= most:
+                yield unpacked(flat, self.depth)
+                flat, size = [], 0
+        if flat:
+            yield unpacked(flat, self.depth)
+
+
+def unpacked(containers: list[tuple[list[int], dict]], depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns and counts of containers with the words that lead to them."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(depth)]
+    counts = []
+    for known in {len(prefix) for prefix, _ in containers}:
+        same = [(prefix, c) for prefix, c in containers if len(prefix) == known]
+        sizes = [len(c) for _, c in same]
+        rest = np.fromiter(chain.from_iterable(c for _, c in same), np.int64, sum(sizes))
+        counts.append(np.fromiter(chain.from_iterable(c.values() for _, c in same), np.int64, sum(sizes)))
+        lead = np.repeat(np.array([prefix for prefix, _ in same], np.int64), sizes, axis=0)
+        for k in range(depth):
+            columns[k].append(lead[:, k] if k < known else rest >> (WIDTH * (depth - 1 - k)) & MASK)
+    return [np.concatenate(c) for c in columns], np.concatenate(counts)
 
 
 class Node:
@@ -162,9 +181,10 @@ def insert(into: dict | Node, rest: list[int], counts: list[int]) -> int:
     return new
 
 
-def walk(prefix: list[int], node: dict | Node) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def walk(prefix: list[int], node: dict | Node) -> Iterator[tuple[list[int], dict]]:
+    """The containers below a node, each with the words that lead to it."""
     if type(node) is dict:
-        yield prefix, np.fromiter(node.keys(), np.int64, len(node)), np.fromiter(node.values(), np.int64, len(node))
+        yield prefix, node
     else:
         for w, child in node.children.items():
             yield from walk([*prefix, w], child)
@@ -178,7 +198,17 @@ class Counter:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.tries, self.hashes = Numbers(), {}, np.zeros(1, np.uint64)
+        self.numbers: dict[bytes, int] = {}
+        self.tries: dict[str, Trie] = {}
+        self.hashes = np.zeros(0, np.uint64)
+
+    def number(self, words: pa.Array) -> np.ndarray:
+        """Numbers of the words, in the order in which different ones are met."""
+        coded, numbers = words.dictionary_encode(), self.numbers
+        met = coded.dictionary.to_pylist()
+        new = [w for w in met if w not in numbers]
+        numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
+        return np.array(list(map(numbers.__getitem__, met)), np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def known(self, lang: str, ids: np.ndarray) -> np.ndarray:
         """Whether the phrase of ``depth - 1`` words at each place is in the table."""
@@ -190,14 +220,12 @@ class Counter:
         return (self.table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
     def count(self, lang: str, texts: list[str]) -> None:
-        words = words_of(texts)
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        words, piece = words_of(texts)
         n = self.depth
-        if len(ids) < n:
+        if len(words) < n:
             return
-        inside = np.ones(len(ids) - n + 1, bool)
-        for k in range(n):
-            inside &= ids[k : len(ids) - n + 1 + k] > 0
+        ids = self.number(words)
+        inside = piece[: len(ids) - n + 1] == piece[n - 1 :]
         if self.table is not None:
             known = self.known(lang, ids)
             inside &= known[:-1] & known[1:]
@@ -224,7 +252,7 @@ class Counter:
     def spill(self, everything: bool) -> Iterator[pa.RecordBatch]:
         """Runs of the largest subtrees, until half of the room is free, or of all."""
         everything = everything or len(self.numbers) > WORDS
-        vocabulary = pa.array(list(self.numbers), pa.binary())
+        vocabulary = pa.array(list(self.numbers), pa.binary()).cast(pa.string())
         order = np.empty(len(vocabulary), np.int64)
         order[pc.sort_indices(vocabulary).to_numpy()] = np.arange(len(vocabulary))
         trees = sorted(((size, lang, w) for lang, t in self.tries.items() for w, size in t.size.items()), reverse=True)
@@ -237,31 +265,21 @@ class Counter:
             left -= size
             by_lang.setdefault(lang, []).append(w)
         for lang, chosen in by_lang.items():
-            trie, parts, held = self.tries[lang], [], 0
-            for w in sorted(chosen, key=order.__getitem__):
-                for prefix, rest, counts in trie.pop(w):
-                    columns = [np.full(len(rest), p) for p in prefix]
-                    left_words = self.depth - len(prefix)
-                    columns += [rest >> (WIDTH * k) & MASK for k in range(left_words - 1, -1, -1)]
-                    parts.append((columns, counts))
-                    held += len(rest)
-                if held >= BATCH:
-                    yield self.run(lang, parts, vocabulary, order)
-                    parts, held = [], 0
-            if parts:
-                yield self.run(lang, parts, vocabulary, order)
+            for columns, counts in self.tries[lang].pop(sorted(chosen, key=order.__getitem__)):
+                yield self.run(lang, columns, counts, vocabulary, order)
         for lang, trie in self.tries.items():
             met = np.flatnonzero(trie.single)
             for i in range(0, len(met), BATCH):
-                yield self.run(lang, [([met[i : i + BATCH]], trie.single[met[i : i + BATCH]])], vocabulary, order)
+                part = met[i : i + BATCH]
+                yield self.run(lang, [part], trie.single[part], vocabulary, order)
+            trie.single = np.zeros(0, np.int64)
         if everything:
             self.forget()
 
-    def run(self, lang: str, parts: list, vocabulary: pa.Array, order: np.ndarray) -> pa.RecordBatch:
-        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(self.depth)]
-        counts = np.concatenate([c for _, c in parts])
+    def run(self, lang: str, columns: list[np.ndarray], counts: np.ndarray, vocabulary: pa.Array, order: np.ndarray) -> pa.RecordBatch:
+        """Entries as a run in word order."""
         sort = np.lexsort([order[c] for c in reversed(columns)])
-        words = [vocabulary.take(pa.array(c[sort])).cast(pa.string()) for c in columns]
+        words = [vocabulary.take(pa.array(c[sort])) for c in columns]
         if len(words) == 1:
             prefix, last = words[0], pa.array([""] * len(counts))
         else:

@@ -47,7 +47,7 @@ CHECKSUMS = 0x80
 FRAME_IDS, FILE_BYTES = 1 << 16, 256 << 20
 LEVEL = 3
 #: Words whose ids a Python worker remembers, and characters of text that are encoded together.
-REMEMBER, CHUNK_CHARS = 800_000, 4 << 20
+REMEMBER, CHUNK_CHARS = 800_000, 8 << 20
 MANIFEST = "part int, number int, path string, first_id long, last_id long, documents long, ids long, bytes long"
 
 #: Marks that are cut off the ends of words.
@@ -99,34 +99,36 @@ class ByteTokens:
         self.size[numbers] = sizes
         self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
 
-    def number(self, word: bytes, new: list[bytes]) -> int:
-        if word not in self.known:
-            self.known[word] = len(self.known)
-            new.append(word)
-        return self.known[word]
+    def look_up(self, words: list[bytes]) -> tuple[list[int], list[bytes]]:
+        """Numbers of words, and those of them that are new."""
+        new = list(dict.fromkeys([w for w in words if w not in self.known]))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return list(map(self.known.__getitem__, words)), new
 
     def learn(self, new: list[bytes]) -> None:
-        lines, joined, others = [], [], []
-        for w in new:  # grows by the parts of words
-            body = w.rstrip(MARKS)
-            if body != w and body and body[-1:].isalpha():
-                joined.append((self.known[w], self.number(body, new), self.number(w[len(body) :], new)))
-            else:
-                text = w.decode()
-                (lines if ONE_WORD.fullmatch(text) else others).append((w, text))
+        bodies = [w.rstrip(MARKS) for w in new]
+        marked = [(w, b) for w, b in zip(new, bodies, strict=True) if b and len(b) < len(w) and b[-1:].isalpha()]
+        apart = {w for w, _ in marked}
+        body, new_bodies = self.look_up([b for _, b in marked])
+        tail, new_tails = self.look_up([w[len(b) :] for w, b in marked])
+        plain = [w for w in new if w not in apart] + new_bodies + new_tails
+        texts = [w.decode() for w in plain]
         more = np.zeros(len(self.known) - len(self.begin), np.int64)
         self.begin, self.size, self.uses = (np.concatenate([x, more]) for x in (self.begin, self.size, self.uses))
+        one_word = [ONE_WORD.fullmatch(t) is not None for t in texts]
+        lines = [x for x, one in zip(zip(plain, texts, strict=True), one_word, strict=True) if one]
         for i in range(0, len(lines), 50_000):
             part = lines[i : i + 50_000]
             ids = self.whole("\n".join([t for _, t in part]))
             ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids))
             self.put([self.known[w] for w, _ in part], ids[ids != self.line_feed], np.diff(ends, prepend=-1) - 1)
-        for w, text in others:
-            ids = self.whole(text)
-            self.put([self.known[w]], ids, np.array([len(ids)]))
-        if joined:
-            numbers, body, marks = np.array(joined).T
-            self.put(numbers, self.ids_of(np.stack([body, marks], 1).ravel()), self.size[body] + self.size[marks])
+        for w, text, one in zip(plain, texts, one_word, strict=True):
+            if not one:
+                ids = self.whole(text)
+                self.put([self.known[w]], ids, np.array([len(ids)]))
+        if marked:
+            both = np.stack([body, tail], 1)
+            self.put([self.known[w] for w, _ in marked], self.ids_of(both.ravel()), self.size[both].sum(axis=1))
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of known words, one after the other."""
@@ -136,9 +138,10 @@ class ByteTokens:
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Numbers of words, all of which are known afterwards."""
-        coded, new = words.dictionary_encode(), []
-        met = np.array([self.number(w, new) for w in coded.dictionary.to_pylist()], np.int64)
+        coded = words.dictionary_encode()
+        found, new = self.look_up(coded.dictionary.to_pylist())
         self.learn(new)
+        met = np.array(found, np.int64)
         out = met[coded.indices.to_numpy(zero_copy_only=False)] if len(met) else met
         np.add.at(self.uses, out, 1)
         return out

@@ -69,11 +69,8 @@ def test_trie_bursts_and_counts():
         trie.add(np.array([k[0] for k in keys]), np.array(packed), np.array([rows[k] for k in keys]))
     assert any(isinstance(n, P.Node) for n in trie.root.values()) and trie.entries() == len(want)
     got = Counter()
-    for w in list(trie.root):
-        for prefix, rest, counts in trie.pop(w):
-            for r, c in zip(rest.tolist(), counts.tolist(), strict=True):
-                tail = [r >> P.WIDTH * k & P.MASK for k in range(3 - len(prefix), -1, -1)]
-                got[tuple([*prefix, *tail])] += c
+    for columns, counts in trie.pop(list(trie.root), 100):
+        got.update(dict(zip(zip(*(c.tolist() for c in columns), strict=True), counts.tolist(), strict=True)))
     assert got == want
 
 
