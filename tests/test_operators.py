@@ -3,11 +3,12 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillgauge.functions.session import number_rows
-from quillgauge.operators import chunks, gcr, graph, quality, simjoin, stats
+from quillgauge.operators import chunks, gcr, graph, quality, simjoin, stats, vectors
 from quillgauge.sources import files
 
 
@@ -147,7 +148,7 @@ def test_hot_tokens_meet_in_slices(spark, monkeypatch):
 
 @pytest.mark.parametrize("block", [5, 1000])
 def test_cosines_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(simjoin, "BLOCK", block)
+    monkeypatch.setattr(vectors, "BLOCK", block)
     rng = random.Random(1)
     vecs = [(i, [rng.gauss(0, 1) for _ in range(4)] if i % 9 else None) for i in range(40)] + [(40, [0.0] * 4)]
     v = spark.createDataFrame(vecs, "id long, v array<double>")
@@ -161,6 +162,25 @@ def test_cosines_in_blocks(spark, monkeypatch, block):
     assert top == {i: [j for _, j in sorted((-cos(a, b), j) for j, b in some)][:3] for i, a in some if i % 5 == 1}
 
 
+def test_cells_out_of_reach_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    data = np.repeat(centres, 60, axis=0) + rng.normal(size=(720, 16)) * 0.05
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "id long, v array<double>")
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    want = {(i, j) for i, j in zip(*np.nonzero(cos >= 0.9), strict=True) if i < j}
+    assert {(r.i, r.j) for r in simjoin.cosine_join(v, "v", 0.9).collect()} == want
+    cells = vectors.cells_of(vectors.units(v, "id", "v"))
+    told = vectors.pruning(cells, 0.9).first()
+    assert told.blocks >= 12 and told.met < told.pairs / 3 and told.copies < 720 * told.blocks / 10
+    assert vectors.pruning(cells, -1.0).first().met == told.pairs  # nothing to skip
+    top = simjoin.cosine_topk(v.where("id % 90 = 7").withColumnRenamed("id", "qid"), v, 5).collect()
+    for q in {r.qid for r in top}:
+        assert [r.id for r in sorted((r for r in top if r.qid == q), key=lambda r: r.rank)] == sorted(range(720), key=lambda j: (-cos[q, j], j))[:5]
+
+
 @pytest.mark.parametrize("nearest", [False, True])
 def test_quantiles_are_exact_in_slots(spark, monkeypatch, nearest):
     monkeypatch.setattr(stats, "SLOTS", 5)
