@@ -4,12 +4,15 @@ Word, symbol and repetition counts are taken from each whole text.  A few
 integer ratios of these are summarised for each language and source in
 mergeable quantile sketches: bucket counts in which a bucket keeps the five
 leading bits of a value, so the relative error is at most 1/16 and adding up
-counts merges sketches.  Fences derived from the quartiles replace fixed
-cutoffs; the documents are then joined with the fences of their group.
+counts merges sketches.  Fences derived from the deciles and the median of a
+group replace fixed cutoffs: a fence lies as many times the distance between
+median and outer decile beyond that decile as ``REACH`` says, and the error of
+its bucket.  The documents are then joined with the fences of their group.
 
-The slacks of the fences are what a few words, lines or symbols more make in a
-text of ordinary length, so that a group whose quartiles agree (all 0, as a
-rule, for repeated lines) keeps its ordinary documents.
+A document breaks the fence of a count only where more lies beyond it than
+chance gives a text of its length: three times the square root of its count of
+symbols, lines, or repeated windows.  So where nine in ten documents have none
+at all, a fence is 0 and a few still do no harm.
 
 Edge cases: a null text has no words and fails the base rules; a very long
 text is counted whole; a document on a fence is kept; null language or source
@@ -36,15 +39,19 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 @dataclass(frozen=True)
 class Fence:
-    """Bounds q25 - reach*IQR - slack and q75 + reach*IQR + slack of one ratio (per mille)."""
+    """Bounds of one ratio (per mille), and the count behind it, where it is one, that comes in units of so many words."""
 
     metric: str
-    slack: int
+    count: str | None = None
+    unit: int = 1
     low: bool = False
 
 
-FENCES = (Fence("word_len", 1500, low=True), Fence("symbols", 150), Fence("dup_lines", 60), Fence("repeats", 150))
-REACH = 4
+FENCES = (Fence("word_len", low=True), Fence("symbols", "n_symbols"), Fence("dup_lines", "n_dup_lines"), Fence("repeats", "n_repeat_words", unit=8))
+#: Distances between median and decile from the decile to the fence, and the share of a value that its bucket may hide.
+REACH, BUCKET_ERROR = 3, 16
+#: Standard errors by which a count must pass its fence.
+ERRORS = 3
 #: Documents that the sketches of all groups together count for in each group.
 POOL_WEIGHT = 50
 MIN_WORDS = 20
@@ -119,37 +126,46 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, docs, q25, q75: the smallest bucket up to which that share of the rows lies."""
+def quantiles(sketch: DataFrame, keys: list[str], shares: tuple[int, ...] = (10, 50, 90)) -> DataFrame:
+    """keys, metric, docs, and q10, q50, ...: the smallest bucket up to which that share of the rows lies."""
     by = Window.partitionBy(*keys, "metric")
     cum = F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     s = sketch.withColumns({"cum": cum, "docs": F.sum("n").over(by)})
-    at = lambda pct: F.min(F.when(F.col("cum") * 100 >= F.col("docs") * pct, F.col("bucket")))
-    return s.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), at(25).alias("q25"), at(75).alias("q75"))
+    at = lambda pct: F.min(F.when(F.col("cum") * 100 >= F.col("docs") * pct, F.col("bucket"))).alias(f"q{pct}")
+    return s.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), *map(at, shares))
 
 
 def fence_table(stats: DataFrame, fences=FENCES, reach: int = REACH, weight: int = POOL_WEIGHT) -> DataFrame:
     """lang, source and for each metric its low and high bound.
 
-    A group's quartiles are drawn to those of all groups' sketches merged, as
+    A group's quantiles are drawn to those of all groups' sketches merged, as
     if these were ``weight`` documents more: the more a group has, the less.
     """
-    metrics = [f.metric for f in fences]
+    metrics, shares = [f.metric for f in fences], (10, 50, 90)
     fine = sketches(stats, ["lang", "source"], metrics)
-    own = quartiles(fine, ["lang", "source"])
-    pooled = quartiles(merge(fine, []), []).select(F.col("metric").alias("m"), F.col("q25").alias("p25"), F.col("q75").alias("p75"))
+    own = quantiles(fine, ["lang", "source"], shares)
+    pooled = quantiles(merge(fine, []), [], shares).drop("docs").withColumnsRenamed({"metric": "m"} | {f"q{p}": f"p{p}" for p in shares})
     both = own.join(pooled, F.col("metric") == F.col("m"))
-    drawn = lambda own, pool: F.expr(f"(docs * {own} + {weight} * {pool}) div (docs + {weight})")
-    both = both.select("lang", "source", "metric", drawn("q25", "p25").alias("a"), drawn("q75", "p75").alias("b"))
+    both = both.select("lang", "source", "metric", *[F.expr(f"(docs * q{p} + {weight} * p{p}) div (docs + {weight})").alias(f"d{p}") for p in shares])
     bounds = []
     for f in fences:
         mine = F.col("metric") == f.metric
-        bounds.append(F.max(F.when(mine, F.col("b") + reach * (F.col("b") - F.col("a")) + f.slack)).alias(f"{f.metric}_hi"))
+        bounds.append(F.max(F.when(mine, F.expr(f"d90 + {reach} * (d90 - d50) + d90 div {BUCKET_ERROR}"))).alias(f"{f.metric}_hi"))
         if f.low:
-            bounds.append(F.max(F.when(mine, F.col("a") - reach * (F.col("b") - F.col("a")) - f.slack)).alias(f"{f.metric}_lo"))
+            bounds.append(F.max(F.when(mine, F.expr(f"d10 - {reach} * (d50 - d10) - d10 div {BUCKET_ERROR}"))).alias(f"{f.metric}_lo"))
     return both.groupBy("lang", "source").agg(*bounds)
 
 
+def breaks(f: Fence) -> Column:
+    """Whether a document with its fences breaks one."""
+    high = F.col(f"{f.metric}_hi")
+    out = F.col(f.metric) > high
+    if f.count:
+        beyond = (F.col(f.count) * 1000 - high * F.col("n_words")).cast("double")
+        out = out & (beyond * beyond > F.col(f.count).cast("double") * (ERRORS * ERRORS * f.unit * 1_000_000.0))
+    return out | (F.col(f.metric) < F.col(f"{f.metric}_lo")) if f.low else out
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT)
 
@@ -160,12 +176,7 @@ def quality_rules(docs: DataFrame, fences=FENCES) -> DataFrame:
     stats = settle(ratios(got.select("doc_id", "lang", "source", "c.*")), "quality-stats")
     bounds = fence_table(stats, fences).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     joined = stats.join(bounds, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    broken = []
-    for f in fences:
-        out = F.col(f.metric) > F.col(f"{f.metric}_hi")
-        if f.low:
-            out = out | (F.col(f.metric) < F.col(f"{f.metric}_lo"))
-        broken.append(F.when(out, F.lit(f.metric)))
+    broken = [F.when(breaks(f), F.lit(f.metric)) for f in fences]
     rules = F.array_compact(F.array(*broken))
     return joined.select(
         "doc_id", *COUNTS, *[f.metric for f in fences], base_failed().alias("base_failed"), rules.alias("failed_rules"), (~base_failed() & (F.size(rules) == 0)).alias("kept")

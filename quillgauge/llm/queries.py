@@ -87,12 +87,17 @@ QUERIES = {
 def _quality_sql() -> str:
     """The counts, the sketches and the fences of op9 in SQL."""
     metrics = [f.metric for f in quality.FENCES]
-    fence = {f.metric: f for f in quality.FENCES}
-    hi = {m: f"b.{m}75 + {quality.REACH} * (b.{m}75 - b.{m}25) + {fence[m].slack}" for m in metrics}
-    lo = {m: f"b.{m}25 - {quality.REACH} * (b.{m}75 - b.{m}25) - {fence[m].slack}" for m in metrics if fence[m].low}
-    broken = " OR ".join([f"r.{m} > {hi[m]}" for m in metrics] + [f"r.{m} < {lo[m]}" for m in lo])
+    hi = {m: f"(b.{m}90 + {quality.REACH} * (b.{m}90 - b.{m}50) + b.{m}90 // {quality.BUCKET_ERROR})" for m in metrics}
+    lo = {m: f"(b.{m}10 - {quality.REACH} * (b.{m}50 - b.{m}10) - b.{m}10 // {quality.BUCKET_ERROR})" for m in metrics}
+    rules = []
+    for f in quality.FENCES:
+        rule = f"r.{f.metric} > {hi[f.metric]}"
+        if f.count:
+            rule += f" AND pow((r.{f.count} * 1000 - {hi[f.metric]} * r.n_words)::DOUBLE, 2) > r.{f.count}::DOUBLE * {quality.ERRORS**2 * f.unit * 1_000_000}.0"
+        rules.append(f"({rule} OR r.{f.metric} < {lo[f.metric]})" if f.low else f"({rule})")
+    broken = " OR ".join(rules)
     at = lambda p: f"min(bucket) FILTER (WHERE rn * 100 >= n * {p})"
-    pick = ", ".join(f"max(CASE WHEN metric = '{m}' THEN (o.n * o.a{q} + {quality.POOL_WEIGHT} * p.a{q}) // (o.n + {quality.POOL_WEIGHT}) END) {m}{q}" for m in metrics for q in (25, 75))
+    pick = ", ".join(f"max(CASE WHEN metric = '{m}' THEN (o.n * o.a{q} + {quality.POOL_WEIGHT} * p.a{q}) // (o.n + {quality.POOL_WEIGHT}) END) {m}{q}" for m in metrics for q in (10, 50, 90))
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w FROM d),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) i FROM w)), rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) c FROM win) WHERE c > 1),
@@ -101,8 +106,8 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT l) n FROM (SELECT doc_id, unnes
 s AS (SELECT w.doc_id, lang, source, len(w)::BIGINT n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols, coalesce(dup.n, 0) n_dup_lines, coalesce(cov.n, 0) n_repeat_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
 r AS (SELECT *, floor(word_chars * 1000 / greatest(n_words, 1))::BIGINT word_len, floor(n_symbols * 1000 / greatest(n_words, 1))::BIGINT symbols, floor(n_dup_lines * 1000 / greatest(n_words, 1))::BIGINT dup_lines, floor(n_repeat_words * 1000 / greatest(n_words, 1))::BIGINT repeats FROM s),
 l AS (SELECT lang, source, metric, v - v % CAST(pow(2, greatest(length(bin(v)) - 5, 0)) AS BIGINT) bucket FROM ({' UNION ALL '.join(f"SELECT lang, source, '{m}' metric, {m} v FROM r" for m in metrics)})),
-o AS (SELECT lang, source, metric, any_value(n) n, {at(25)} a25, {at(75)} a75 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, metric ORDER BY bucket) rn, count(*) OVER (PARTITION BY lang, source, metric) n FROM l) GROUP BY ALL),
-p AS (SELECT metric, {at(25)} a25, {at(75)} a75 FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY bucket) rn, count(*) OVER (PARTITION BY metric) n FROM l) GROUP BY 1),
+o AS (SELECT lang, source, metric, any_value(n) n, {at(10)} a10, {at(50)} a50, {at(90)} a90 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, metric ORDER BY bucket) rn, count(*) OVER (PARTITION BY lang, source, metric) n FROM l) GROUP BY ALL),
+p AS (SELECT metric, {at(10)} a10, {at(50)} a50, {at(90)} a90 FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY bucket) rn, count(*) OVER (PARTITION BY metric) n FROM l) GROUP BY 1),
 b AS (SELECT lang, source, {pick} FROM o JOIN p USING (metric) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR n_repeat_words * 100 > n_words * 30) base_failed, NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND NOT ({broken}) kept
 FROM r JOIN b ON r.lang IS NOT DISTINCT FROM b.lang AND r.source IS NOT DISTINCT FROM b.source"""

@@ -78,13 +78,14 @@ def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, size: int
     digest = F.sha2("html", 256)
     # ids first: each partition offers the driver its first by digest, which must not be whole payloads
     ids = [r.page_id for r in rows.groupBy(digest.alias("digest")).agg(F.min("page_id").alias("page_id")).orderBy("digest").limit(records).collect()]
-    n, width = F.length("html"), SAMPLE_BYTES // WINDOWS
+    n, width = F.length("html"), SAMPLE_BYTES // WINDOWS  # a window of so many characters has four times as many bytes at most
     at = [F.floor((n - width) * k / (WINDOWS - 1)).cast("int") + 1 for k in range(WINDOWS)]
-    parts = F.when(n <= SAMPLE_BYTES, F.array("html")).otherwise(F.array(*[F.substring(F.col("html"), x, F.lit(width)) for x in at]))
-    chosen = rows.where(F.col("page_id").isin(ids)).select(digest.alias("digest"), "page_id", "url", parts.alias("parts")).dropDuplicates(["digest"]).orderBy("digest").limit(records)
+    parts = F.when(F.octet_length("html") <= SAMPLE_BYTES, F.array("html")).otherwise(F.array(*[F.substring(F.col("html"), x, F.lit(width)) for x in at]))
+    least = F.min(F.struct("page_id", F.coalesce("url", F.lit("")).alias("told"), "url", "parts")).alias("r")  # of rows that share an id, one and the same
+    chosen = rows.where(F.col("page_id").isin(ids)).select(digest.alias("digest"), "page_id", "url", parts.alias("parts")).groupBy("digest").agg(least).select("digest", "r.*").orderBy("digest").limit(records)
     sample = []
     for r in chosen.collect() if ids else []:
-        first, *others = (x.encode()[:SAMPLE_BYTES] for x in r.parts)
+        first, *others = (x.encode() for x in r.parts)
         sample += [record(r.page_id, r.url, first, r.digest, None), *others]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 8), sample).as_bytes()
@@ -213,7 +214,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     types = {"page_id": "long", "payload_bytes": "long", "refers_to": "long", "payload": "binary"}
-    return manifest.select("path").repartition("path").mapInArrow(run, ", ".join(f"{n} {types.get(n, 'string')}" for n in names))
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, ", ".join(f"{n} {types.get(n, 'string')}" for n in names))
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
