@@ -47,7 +47,7 @@ SCALE = 2_000_000
 #: Entries of a container before it bursts, of all tries of a task before the largest are spilled, and words numbered at a time.
 BURST, ENTRIES, WORDS = 4096, 1_000_000, 600_000
 #: Characters of text that are counted together, and rows of a batch that is handed on.
-CHUNK_CHARS, BATCH = 8 << 20, 100_000
+CHUNK_CHARS, BATCH = 2 << 20, 100_000
 #: The bit table has two to this many bits, whatever the size of the corpus.
 TABLE_BITS = 27
 #: Bits of a word's number in a packed key.
@@ -65,10 +65,10 @@ def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     mark = raw == ord(".")
     held = ~mark & (raw != ord(" "))
     starts = np.flatnonzero(held & ~np.concatenate([[False], held[:-1]]))
-    letters = np.cumsum(held)
+    letters = np.cumsum(held, dtype=np.int32)
     offsets = np.append(letters[starts] - 1, letters[-1] if len(letters) else 0).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[held])])
-    return words, np.cumsum(mark)[starts]
+    return words, np.cumsum(mark, dtype=np.int32)[starts]
 
 
 def mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
