@@ -11,7 +11,7 @@ from .registry import query, table
 
 W = r"'[\p{L}\p{N}_]+'"
 TOK_SQL = f"{I.ITEMS_SQL}, cc AS (SELECT item_id, string_agg(context, ' ' ORDER BY rank) c FROM ctx GROUP BY 1), tk AS (SELECT item_id, conv_id, question, answer, list_distinct(regexp_extract_all(lower(question), {W})) q, list_distinct(regexp_extract_all(lower(answer), {W})) a, list_distinct(regexp_extract_all(lower(coalesce(c, '')), {W})) c FROM items LEFT JOIN cc USING (item_id))"
-KWS_SQL = f"{I.ITEMS_SQL}, kws AS (SELECT item_id, answer, list_sort(list_distinct(regexp_extract_all(lower(question), {W})))[1:6] k FROM items)"
+KWS_SQL = f"{I.ITEMS_SQL}, kws AS (SELECT item_id, answer, list_sort(list_distinct(regexp_extract_all(lower(question), {W}))) k FROM items)"
 
 
 def r_sql(a: str, b: str) -> str:
@@ -23,7 +23,8 @@ def toks(spark, sf):
 
 
 def kws(spark, sf):
-    return I.items(spark, sf).select("item_id", F.col("answer").alias("text"), F.slice(F.array_sort(T.token_set(F.col("question"))), 1, 6).alias("keywords"))
+    """item_id, text, keywords: all words of the question; those of more than three letters are the mandatory ones where roles count."""
+    return I.items(spark, sf).select("item_id", F.col("answer").alias("text"), F.array_sort(T.token_set(F.col("question"))).alias("keywords"))
 
 
 @query("i1_faithfulness", f"WITH {TOK_SQL} SELECT item_id, {r_sql('a', 'c')} v FROM tk")
@@ -42,25 +43,24 @@ def i3(spark, sf):
 
 
 @query("i4_keyword_gate", f"""
-WITH {KWS_SQL}, s AS (SELECT item_id, CASE WHEN len(k[1:3]) = 0 THEN 0.0 ELSE len(list_filter(k[1:3], lambda x: contains(lower(answer), x))) / len(k[1:3]) END * 0.8 + CASE WHEN len(k[4:6]) = 0 THEN 1.0 ELSE len(list_filter(k[4:6], lambda x: contains(lower(answer), x))) / len(k[4:6]) END * 0.2 s FROM kws)
+WITH {KWS_SQL}, r AS (SELECT item_id, lower(answer) t, list_filter(k, lambda x: length(x) > 3) m, list_filter(k, lambda x: length(x) <= 3) o FROM kws), s AS (SELECT item_id, CASE WHEN len(m) = 0 THEN 0.0 ELSE len(list_filter(m, lambda x: contains(t, x))) / len(m) END * 0.8 + CASE WHEN len(o) = 0 THEN 1.0 ELSE len(list_filter(o, lambda x: contains(t, x))) / len(o) END * 0.2 s FROM r)
 SELECT item_id, round(s::DOUBLE, 9) score, s >= 0.6 passed FROM s""")
 def i4(spark, sf):
-    g = M.keyword_gate(F.slice("keywords", 1, 3), F.slice("keywords", 4, 3), F.col("text"))
+    g = M.keyword_gate(F.filter("keywords", lambda k: F.length(k) > 3), F.filter("keywords", lambda k: F.length(k) <= 3), F.col("text"))
     return kws(spark, sf).select("item_id", g.alias("g")).select("item_id", F.round("g.score", 9).alias("score"), "g.passed")
 
 
 SYN = [("de", "der"), ("la", "las"), ("the", "that")]
-MATCH_SQL = f"""{KWS_SQL}, kk AS (SELECT item_id, lower(answer) t, regexp_extract_all(lower(answer), {W}) w, unnest(list_filter(list_concat(k[1:4], [k[1] || ' ' || k[2], k[3] || ' ' || k[4] || ' ' || k[5]]), lambda x: x IS NOT NULL)) keyword FROM kws), sy AS (SELECT * FROM (VALUES ('de', 'der'), ('la', 'las'), ('the', 'that')) v(keyword, synonym)),
+MATCH_SQL = f"""{KWS_SQL}, kk AS (SELECT item_id, lower(answer) t, regexp_extract_all(lower(answer), {W}) w, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) keyword FROM kws), sy AS (SELECT * FROM (VALUES ('de', 'der'), ('la', 'las'), ('the', 'that')) v(keyword, synonym)),
 o AS (SELECT kk.item_id, kk.keyword, CASE WHEN contains(t, kk.keyword) OR contains(t, replace(kk.keyword, ' ', '')) OR (synonym IS NOT NULL AND contains(t, synonym)) THEN 1.0 ELSE 0.75 * len(list_filter(string_split(kk.keyword, ' '), lambda x: list_contains(w, x))) / len(string_split(kk.keyword, ' ')) END one FROM kk LEFT JOIN sy ON sy.keyword = kk.keyword),
 km AS (SELECT i.item_id, coalesce(avg(one), 1.0)::DOUBLE score, count(*) FILTER (WHERE one >= 0.5) matched, count(keyword) total, coalesce(string_agg(keyword, '|' ORDER BY keyword) FILTER (WHERE one < 0.5), '') missing FROM items i LEFT JOIN o USING (item_id) GROUP BY 1)"""
 
 
 def _match(spark, sf, fuzzy=False):
     syn = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("keyword"), F.lit(b).alias("synonym")) for a, b in SYN])).alias("s")).select("s.*")
-    k = lambda *at: F.concat_ws(" ", *[F.get("keywords", F.lit(i)) for i in at])
-    two = F.when(F.size("keywords") >= 2, k(0, 1))
-    three = F.when(F.size("keywords") >= 5, k(2, 3, 4))
-    words = kws(spark, sf).withColumn("keywords", F.array_compact(F.concat(F.slice("keywords", 1, 4), F.array(two, three))))
+    k = F.col("keywords")
+    pairs = F.zip_with(F.slice(k, 1, F.greatest(F.size(k) - 1, F.lit(0))), F.slice(k, 2, F.greatest(F.size(k), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
+    words = kws(spark, sf).withColumn("keywords", F.concat(k, pairs))
     return M.keyword_match(words, syn, fuzzy)
 
 
@@ -80,10 +80,10 @@ def i6(spark, sf):
 
 
 @query("i7_fuzzy_keywords", f"""
-WITH {I.ITEMS_SQL}, kws AS (SELECT item_id, answer, list_sort(list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+')))[1:6] k FROM items), p AS (SELECT item_id, unnest(k) k, list_distinct(regexp_extract_all(lower(answer), '[a-z0-9_]+')) w FROM kws), b AS (SELECT item_id, coalesce(list_max(list_transform(w, lambda x: 1 - levenshtein(x, k) / greatest(length(x), length(k)))), 0) best FROM p)
+WITH {I.ITEMS_SQL}, kws AS (SELECT item_id, answer, list_sort(list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+'))) k FROM items), p AS (SELECT item_id, unnest(k) k, list_distinct(regexp_extract_all(lower(answer), '[a-z0-9_]+')) w FROM kws), b AS (SELECT item_id, coalesce(list_max(list_transform(w, lambda x: 1 - levenshtein(x, k) / greatest(length(x), length(k)))), 0) best FROM p)
 SELECT item_id, count(*) FILTER (WHERE best >= 0.8) / count(*) match_rate FROM b GROUP BY 1""")
 def i7(spark, sf):
-    k = F.slice(F.array_sort(T.token_set(F.col("question"), "plain")), 1, 6)
+    k = F.array_sort(T.token_set(F.col("question"), "plain"))
     return M.fuzzy_keywords(I.items(spark, sf).select("item_id", F.col("answer").alias("text"), k.alias("keywords")), kind="plain")
 
 
