@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.session import discard, hot_join, settle
-from .simjoin import cosine_join, set_join
+from .graph import component_roots
+from .simjoin import cosine_join, pair_tokens, set_join
 
 
 def dedup_ingest(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -47,25 +48,55 @@ def shingle_sets(df: DataFrame, text: Column, k: int = 4, key: str = "id") -> Da
     return w.select(key, F.when(F.size("w") < k, F.array(F.array_join("w", " "))).otherwise(F.array_distinct("g")).alias("s"))
 
 
+#: Edges of a component that is decided in one task; rounds between two looks at the components of what is left.
+COMPONENT_EDGES, ROUNDS = 200_000, 8
+
+
+def pass_over(f: pd.DataFrame) -> pd.DataFrame:
+    """What a pass in the order of ids drops, given all edges of some components: each edge's later end, if the earlier one stays."""
+    gone: set = set()
+    for x, y in sorted(zip(f["x"], f["y"], strict=True)):  # when x comes, all edges into it have been met
+        if x not in gone:
+            gone.add(y)
+    return pd.DataFrame({"x": list(gone)})
+
+
 def greedy_keep(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows that a pass in the order of ``id`` keeps, dropping each that is linked to a kept earlier one.
 
-    Edges are (x earlier, y later).  In each round every undecided row without
-    undecided earlier neighbours is kept and its later neighbours go, so the
-    result is that of the sequential pass; rounds are as many as the longest
-    chain of undecided neighbours.
+    Edges are (x earlier, y later).  Components of up to COMPONENT_EDGES edges,
+    however long their chains are, are passed over in one task each.  Larger ones
+    are taken down in rounds, in which every undecided row without undecided
+    earlier neighbours stays and its later neighbours go, until they have
+    fallen apart: what is left is looked at anew every ROUNDS rounds.
     """
     edges = settle(edges.select("x", "y"), "edges")
+    kind = dict(edges.dtypes)["x"]
     removed = None
     while not edges.isEmpty():
-        heads = edges.select("x").distinct().join(edges.select(F.col("y").alias("x")).distinct(), "x", "left_anti")
-        gone = settle(edges.join(heads, "x").select(F.col("y").alias("x")).distinct(), "gone")
+        roots = settle(component_roots(edges), "roots")
+        sized = roots.join(edges.groupBy("x").agg(F.count("*").alias("e")), F.col("id") == F.col("x")).groupBy("root").agg(F.sum("e").alias("e"), F.count("*").alias("n"))
+        total = edges.count()
+        of_edge = hot_join(edges, roots.join(edges.groupBy("x").agg(F.count("*").alias("n")), F.col("id") == F.col("x")).select("x", "root", "n"), "x", total)
+        marked = settle(hot_join(of_edge, sized.select("root", "e", F.col("e").alias("n")), "root", total), "marked")
+        bucket = F.pmod(F.xxhash64("root"), F.lit(-(-total // COMPONENT_EDGES)))  # whole components, about COMPONENT_EDGES edges together
+        small = marked.where(F.col("e") <= COMPONENT_EDGES).groupBy(bucket.alias("bucket"))
+        gone = settle(small.applyInPandas(pass_over, f"x {kind}"), "gone")
         removed = gone if removed is None else removed.union(gone)
-        # what a head removed and edges into it are decided; a head without edges left has no neighbours to be asked
-        rest = edges.join(heads, "x", "left_anti").join(gone, "x", "left_anti").join(gone.select(F.col("x").alias("y")), "y", "left_anti")
-        left = settle(rest.select("x", "y"), "edges")
-        discard(edges)
+        left = settle(marked.where(F.col("e") > COMPONENT_EDGES).select("x", "y"), "edges")
+        discard(edges, roots, marked)
         edges = left
+        for _ in range(ROUNDS):
+            if edges.isEmpty():
+                break
+            heads = edges.select("x").distinct().join(edges.select(F.col("y").alias("x")).distinct(), "x", "left_anti")
+            gone = settle(edges.join(heads, "x").select(F.col("y").alias("x")).distinct(), "gone")
+            removed = removed.union(gone)
+            # what a head removed and edges into it are decided; a head without edges left has no neighbours to be asked
+            rest = edges.join(heads, "x", "left_anti").join(gone, "x", "left_anti").join(gone.select(F.col("x").alias("y")), "y", "left_anti")
+            left = settle(rest.select("x", "y"), "edges")
+            discard(edges)
+            edges = left
     return rows if removed is None else rows.join(removed.withColumnRenamed("x", "id"), "id", "left_anti")
 
 
@@ -105,10 +136,8 @@ def ratio_candidates(texts: DataFrame, t: float) -> DataFrame:
     sets = settle(rows.join(df, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g")).select("id", "n", F.transform("g", lambda x: x.gram).alias("g")), "grams")
     least = F.greatest(need(2 * F.col("n") / (2 - t)), F.lit(1))
     index = sets.select("id", "n", F.explode(F.slice("g", 1, F.greatest(F.size("g") - least + 1, F.lit(0)).cast("int"))).alias("g"))
-    a = index.select(F.col("id").alias("i"), F.col("n").alias("ni"), "g")
-    b = index.select(F.col("id").alias("j"), F.col("n").alias("nj"), "g")
     fits = 2 * F.least("ni", "nj") >= t * (F.col("ni") + F.col("nj")) - 1e-9
-    cand = a.join(b, "g").where("i < j").where(fits).select("i", "j", "ni", "nj").distinct()
+    cand = pair_tokens(index.withColumnRenamed("g", "token")).where(fits).select("i", "j", "ni", "nj").distinct()
     both = cand.join(sets.select(F.col("id").alias("i"), F.col("g").alias("gi")), "i").join(sets.select(F.col("id").alias("j"), F.col("g").alias("gj")), "j")
     out = both.where(F.size(F.array_intersect("gi", "gj")) >= need(F.col("ni") + F.col("nj"))).select("i", "j")
     most = 3 / (2.5 * t - 2) if t > 0.8 else float("inf")

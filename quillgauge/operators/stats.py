@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.session import settle
+
 
 def finite(c: Column) -> Column:
     """Null in place of NaN and infinities."""
@@ -20,33 +22,38 @@ def sanitize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: finite(F.col(c)) for c in cols})
 
 
-#: Slots of equal width that a group's values are counted in.
-SLOTS = 4096
+#: Where a quantile lies between 0 and n - 1, by rule: interpolated, the smallest value with that share of the values, or the value at the index rounded down.
+RULES = {
+    "linear": lambda n, q: (n - 1) * F.lit(q),
+    "nearest": lambda n, q: F.greatest(F.ceil(n * F.lit(q)), F.lit(1)) - 1,
+    "floor": lambda n, q: F.floor((n - 1) * F.lit(q)),
+}
 
 
-def quantiles(rows: DataFrame, by: str, value: Column, wanted: dict[str, float], nearest: bool = False) -> DataFrame:
-    """by, and an exact quantile of each group's values under each wanted name; linear unless ``nearest`` rank is asked for.
+def quantiles(rows: DataFrame, by: str, value: Column, wanted: dict[str, float], rule: str = "linear") -> DataFrame:
+    """by, and an exact quantile of each group's values under each wanted name.
 
-    No task holds a group's values: a first pass counts them in slots between
-    the group's extremes, which tells in what slots the wanted ranks lie, and a
-    second counts the different values of these slots alone.  NaN and null
-    values are left out; groups without values have no row.
+    Equal values of a group are counted first, and the counts sorted into
+    ranges of like size whatever the values are, so no task holds a group's
+    values and an outlier has no range to itself.  Sums over the ranges tell
+    which of them hold the wanted ranks; only these are looked at again.  NaN
+    and null values are left out; groups without values have no row.
     """
     v = rows.select(F.col(by).alias("g"), finite(value.cast("double")).alias("v")).where("v is not null")
-    ends = v.groupBy(F.col("g").alias("of")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
-    place = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * SLOTS), F.lit(SLOTS - 1))).otherwise(F.lit(0)).cast("int")
-    slotted = v.join(ends, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "n", place.alias("slot"))
-    per = slotted.groupBy("g", "n", "slot").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = [F.greatest(F.ceil(F.col("n") * F.lit(q)), F.lit(1)) - 1 if nearest else (F.col("n") - 1) * F.lit(q) for q in wanted.values()]
+    counted = v.groupBy("g", "v").agg(F.count("*").alias("c"))
+    placed = settle(counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "counted")
+    per = placed.groupBy("g", "part").agg(F.sum("c").alias("c"))
+    ranges = Window.partitionBy("g")  # a row a range
+    before = F.coalesce(F.sum("c").over(ranges.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumns({"before": before, "n": F.sum("c").over(ranges)})
+    at = [RULES[rule](F.col("n"), q) for q in wanted.values()]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in at])))
-    held = per.withColumn("before", before).select("g", "slot", "before", F.explode(ranks).alias("rank"), "c").where("rank >= before and rank < before + c")
-    needed = held.groupBy("g", "slot", "before").agg(F.collect_list("rank").alias("ranks"))  # at most two rows for each group and quantile
-    needed = needed.withColumnsRenamed({"g": "g2", "slot": "slot2"})
-    values = slotted.join(needed, F.col("g").eqNullSafe(F.col("g2")) & (F.col("slot") == F.col("slot2"))).groupBy("g", "n", "slot", "before", "ranks", "v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("g", "slot").orderBy("v")) + F.col("before")
+    needed = per.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c")))).where(F.size("ranks") > 0)
+    needed = needed.select(F.col("g").alias("g2"), F.col("part").alias("part2"), "before", "n", "ranks")
+    values = placed.join(needed, F.col("g").eqNullSafe(F.col("g2")) & (F.col("part") == F.col("part2")))
+    upto = F.sum("c").over(Window.partitionBy("g", "part").orderBy("v")) + F.col("before")
     found = values.withColumn("upto", upto).select("g", "n", "v", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))).alias("rank"))
-    known = found.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))
+    known = found.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))  # two values a wanted one
     out = []
     for name, p in zip(wanted, at, strict=True):
         lo, hi = F.col("m")[F.floor(p)], F.col("m")[F.ceil(p)]
@@ -97,7 +104,7 @@ def nan_tolerance(long: DataFrame, mode: str) -> DataFrame:
 def latency_stats(items: DataFrame, by: str, col: str = "latency") -> DataFrame:
     """avg, p50, p90, p99 (nearest rank) of a latency column."""
     s = items.where(F.col(col).isNotNull()).groupBy(by).agg(F.avg(col).alias("avg"))
-    return with_quantiles(s, quantiles(items, by, F.col(col), {"p50": 0.5, "p90": 0.9, "p99": 0.99}, nearest=True), by)
+    return with_quantiles(s, quantiles(items, by, F.col(col), {"p50": 0.5, "p90": 0.9, "p99": 0.99}, "nearest"), by)
 
 
 def filtered_kpis(long: DataFrame, latency: tuple[float, float], ranges: dict[str, tuple[float, float]]) -> DataFrame:

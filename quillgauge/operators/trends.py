@@ -119,11 +119,9 @@ def compare_runs(long: DataFrame, base: str) -> DataFrame:
     from .stats import finite
 
     v = finite(F.col("value"))
-    r = F.row_number().over(Window.partitionBy("metric", "run_id").orderBy(v.asc_nulls_last(), "item_id")) - 1
-    n = F.count(v).over(Window.partitionBy("metric", "run_id"))
-    rows = long.withColumns({"v": v, "r": r, "nv": n})
-    at = lambda q: F.max(F.when(F.col("r") == F.floor((F.col("nv") - 1) * q), F.col("v")))
-    s = rows.groupBy("metric", "run_id").agg(F.count("v").alias("n"), (F.count_if(F.col("v").isNull()) / F.count("*") * 100).alias("na_pct"), F.avg("v").alias("mean"), at(0.5).alias("median"), at(0.9).alias("p90"))
+    rows = long.withColumn("of", F.struct("metric", "run_id"))
+    s = rows.groupBy("of").agg(F.count(v).alias("n"), (F.count_if(v.isNull()) / F.count("*") * 100).alias("na_pct"), F.avg(v).alias("mean"))
+    s = with_quantiles(s, quantiles(rows, "of", v, {"median": 0.5, "p90": 0.9}, "floor"), "of").select("of.metric", "of.run_id", "n", "na_pct", "mean", "median", "p90")
     b = s.where(F.col("run_id") == base).select("metric", F.col("mean").alias("base_mean"))
     j = s.join(b, "metric", "left").withColumn("delta", F.col("mean") - F.col("base_mean"))
     return j.withColumn("delta_pct", F.when(F.col("base_mean") != 0, F.col("delta") / F.col("base_mean") * 100)).drop("base_mean")
@@ -140,11 +138,8 @@ def box_stats(long: DataFrame) -> DataFrame:
     """run_id, metric, q1, median, q3 (floor index), lo, hi fences at 1.5 IQR."""
     from .stats import finite
 
-    rows = long.withColumn("v", finite(F.col("value"))).where("v is not null")
-    w = Window.partitionBy("run_id", "metric")
-    rows = rows.withColumns({"r": F.row_number().over(w.orderBy("v", "item_id")) - 1, "n": F.count("*").over(w)})
-    at = lambda q: F.max(F.when(F.col("r") == F.floor((F.col("n") - 1) * q), F.col("v")))
-    s = rows.groupBy("run_id", "metric").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+    rows = long.withColumn("of", F.struct("run_id", "metric"))
+    s = quantiles(rows, "of", finite(F.col("value")), {"q1": 0.25, "median": 0.5, "q3": 0.75}, "floor").select("of.run_id", "of.metric", "q1", "median", "q3")
     iqr = F.col("q3") - F.col("q1")
     return s.withColumns({"lo": F.col("q1") - 1.5 * iqr, "hi": F.col("q3") + 1.5 * iqr})
 

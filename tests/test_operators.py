@@ -182,13 +182,12 @@ def test_cells_out_of_reach_are_skipped(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("nearest", [False, True])
-def test_quantiles_are_exact_in_slots(spark, monkeypatch, nearest):
-    monkeypatch.setattr(stats, "SLOTS", 5)
+def test_quantiles_are_exact(spark, nearest):
     rng = random.Random(2)
     groups = {"a": [rng.random() for _ in range(101)], "b": [1.5] * 4, None: [rng.choice([1.0, 2.0, 900.0]) for _ in range(30)], "c": [7.0]}
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("empty", None)]
     wanted = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r.g: r for r in stats.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", F.col("v"), wanted, nearest).collect()}
+    got = {r.g: r for r in stats.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", F.col("v"), wanted, "nearest" if nearest else "linear").collect()}
     assert got.keys() == groups.keys()
     for g, vs in groups.items():
         s = sorted(vs)
@@ -198,6 +197,29 @@ def test_quantiles_are_exact_in_slots(spark, monkeypatch, nearest):
             assert got[g][name] == pytest.approx(lo + (hi - lo) * (at - int(at)))
 
 
+def test_quantiles_beside_extreme_outliers(spark):
+    values = [1 + i / 10_000 for i in range(5000)] + [1e300, -1e300, 5e-324]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double").repartition(4)
+    s = sorted(values)
+    got = stats.quantiles(df, "g", F.col("v"), {"p50": 0.5, "p0": 0.0, "p100": 1.0}, "floor").first()
+    assert (got.p0, got.p50, got.p100) == (s[0], s[(len(s) - 1) // 2], s[-1])
+
+
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_greedy_keep_over_long_chains(spark, monkeypatch, most):
+    """Paths of linked rows, and one of stars that hold many edges: in one task, or taken down in rounds."""
+    monkeypatch.setattr(quality, "COMPONENT_EDGES", most)
+    n = 10_000 if most > 1000 else 60
+    edges = [(i, i + 1) for i in range(n)] + [(20_000 + i, 20_000 + j) for i in range(6) for j in range(i + 1, 30)]
+    rows = spark.createDataFrame([(i,) for i in {v for e in edges for v in e}], "id long")
+    kept = {r.id for r in quality.greedy_keep(rows, spark.createDataFrame(edges, "x long, y long")).collect()}
+    gone = set()
+    for x, y in sorted(edges):
+        if x not in gone:
+            gone.add(y)
+    assert kept == {v for e in edges for v in e} - gone
+
+
 def test_rows_are_numbered_over_ranges(spark):
     d = spark.range(5000).repartition(6).select((F.col("id") * 7919 % 5003).alias("k"))
     got = [(r.k, r.number) for r in number_rows(d, "k").collect()]
