@@ -4,8 +4,14 @@ The regression sees the presence of hashed character n-grams of host and path.
 It is trained on a small labelled table of urls by gradient descent, each step
 one aggregate over the table; all of it is DataFrame expressions.  Sums are
 taken over scaled integers, so the model does not depend on their order.  The
-table is built by rule from words of unwanted and of ordinary sites; nothing in
-it is taken from the pages that are judged.
+table is built by rule from words of unwanted and of ordinary sites, chosen for
+it; nothing in it is taken from the pages that are judged.
+
+Hosts are mostly made of words that the table has not.  So beside the model a
+few others are trained in the same steps, each without the urls of a share of
+the words, and the intercept is set so that ``FALSE_BLOCKS`` of the ordinary
+hosts are blocked below a path that tells nothing, when judged by the model that
+has not seen their words.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path; a
 url too short for an n-gram is judged by the intercept; a very long url is
@@ -27,7 +33,7 @@ from .shared import settle
 ALLOW, BLOCK = "allow", "block"
 #: Rules in the form host/path; each fits its host and all subdomains if the path starts with the rule's.
 RULES = {"org/": ALLOW, "example.org/es/": BLOCK, "example.org/en/1": BLOCK, "com/fr/": ALLOW, "com/de/": BLOCK}
-#: Words of unwanted and of ordinary sites, and endings of paths, that the labelled table is built from (fixed values).
+#: Words of unwanted and of ordinary sites, and endings of paths, that the labelled table is built from: a choice, to be replaced by a table of one's own.
 UNWANTED = """casino poker jackpot roulette slots betting wager lottery bingo blackjack porn xxx escort webcam nude hookup milf fetish viagra cialis
 pills steroids pharmacy weightloss payday loans forex crypto giveaway prize crack keygen torrent warez serial phishing verify-account login-update
 free-download clickbait adserver tracker popunder backlinks linkfarm replica counterfeit followers spam""".split()
@@ -45,6 +51,8 @@ WIDTHS = (3, 4)
 MAX_ROWS = 4000
 STEPS, RATE, RIDGE = 30, 4.0, 0.001
 SCALE = 1 << 30
+#: Shares that the words are dealt to, and the part of unseen ordinary urls that may be blocked.
+FOLDS, FALSE_BLOCKS = 4, 0.05
 
 
 def host_of(url: Column) -> Column:
@@ -98,39 +106,58 @@ class Model:
         return F.aggregate(found, F.lit(float(self.weights[-1])), lambda acc, i: acc + F.element_at(w, i + 1))
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, steps: int = STEPS, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on rows (host, path, verdict), at most ``max_rows`` distinct ones."""
-    rows = labelled.select("host", "path", (F.col("verdict") == BLOCK).cast("int").alias("y")).distinct()
-    rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path").limit(max_rows)
+def fit(labelled: DataFrame, buckets: int = BUCKETS, steps: int = STEPS, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> tuple[list[Model], DataFrame]:
+    """A model without each fold and one of all rows, and the rows (y, fold, found, plain); labelled: host, path, verdict, fold."""
+    rows = labelled.select("host", "path", (F.col("verdict") == BLOCK).cast("int").alias("y"), "fold").distinct()
+    rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path", "y", "fold").limit(max_rows)
     # a feature's share of the step: long urls do not outweigh short ones
-    data = settle(rows.select("y", features(F.col("host"), F.col("path"), buckets).alias("found")), "urls").coalesce(1)
-    n = data.count()
-    weights = [0.0] * (buckets + 1)
-    for _ in range(steps if n else 0):
-        odds = Model(tuple(weights)).margin(F.col("found"))
+    plain = features(F.col("host"), F.lit("/"), buckets).alias("plain")
+    data = settle(rows.select("y", "fold", features(F.col("host"), F.col("path"), buckets).alias("found"), plain), "urls").coalesce(1)
+    used = data.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds))).alias("m")).where("m <> fold")
+    sizes = {r.m: r["count"] for r in used.groupBy("m").count().collect()}  # a row a model
+    weights = [[0.0] * (buckets + 1) for _ in range(folds + 1)]
+    for _ in range(steps if sizes else 0):
+        odds = F.coalesce(*[F.when(F.col("m") == m, Model(tuple(w)).margin(F.col("found"))) for m, w in enumerate(weights)])
         off = F.col("y") - 1 / (1 + F.exp(-odds))
-        each = data.select(F.round(off * SCALE / F.sqrt(F.size("found") + 1)).cast("long").alias("g"), F.explode(F.concat("found", F.array(F.lit(buckets)))).alias("i"))
-        for i, g in each.groupBy("i").agg(F.sum("g")).collect():  # one number a bucket
-            weights[i] += RATE * (g / SCALE / n * 10 - RIDGE * (weights[i] if i < buckets else 0))
+        each = used.select("m", F.round(off * SCALE / F.sqrt(F.size("found") + 1)).cast("long").alias("g"), F.explode(F.concat("found", F.array(F.lit(buckets)))).alias("i"))
+        for m, i, g in each.groupBy("m", "i").agg(F.sum("g")).collect():  # one number a model and bucket
+            weights[m][i] += RATE * (g / SCALE / sizes[m] * 10 - RIDGE * (weights[m][i] if i < buckets else 0))
+    return [Model(tuple(w)) for w in weights], data
+
+
+def unseen_margins(models: list[Model], data: DataFrame, found: str = "found") -> DataFrame:
+    """y, margin of each row by the model that has not seen its fold; of its host alone with ``plain``."""
+    return data.select("y", F.coalesce(*[F.when(F.col("fold") == m, model.margin(F.col(found))) for m, model in enumerate(models[:-1])]).alias("margin"))
+
+
+def train(labelled: DataFrame, buckets: int = BUCKETS, steps: int = STEPS, max_rows: int = MAX_ROWS, false_blocks: float = FALSE_BLOCKS) -> Model:
+    """Fit on rows (host, path, verdict, fold), at most ``max_rows`` distinct ones, and set the intercept on those not seen."""
+    models, data = fit(labelled, buckets, steps, max_rows)
+    least = unseen_margins(models, data, "plain").where("y = 0").agg(F.percentile("margin", 1 - false_blocks)).first()[0]
+    weights = list(models[-1].weights)
+    weights[-1] -= max(least or 0.0, 0.0)
     return Model(tuple(weights))
 
 
-def table_of(words: list[str], paths: tuple[str, ...]) -> list[str]:
-    """Urls of hosts named after one word or two, below the usual subdomains."""
+def table_of(words: list[str], paths: tuple[str, ...], folds: int = FOLDS) -> list[tuple[str, int]]:
+    """Urls of hosts named after one word or two, below the usual subdomains, and their fold; no word is in two folds."""
     out = []
     for i, word in enumerate(words):
-        other = words[(i * 7 + 3) % len(words)]
+        fold = i % folds
+        own = words[fold::folds]
+        other = own[(i // folds * 3 + 1) % len(own)]
         names = (word, f"{word}-{other}", f"{word}{other}", f"my{word}", f"{word}{i + 11}")
         for j, name in enumerate(names):
-            out.append(f"http{'s' * (j % 2)}://{('', 'www.', 'm.', 'blog.')[(i + j) % 4]}{name}{ENDINGS[(i + 2 * j) % len(ENDINGS)]}{paths[(i + 3 * j) % len(paths)]}")
+            url = f"http{'s' * (j % 2)}://{('', 'www.', 'm.', 'blog.')[(i + j) % 4]}{name}{ENDINGS[(i + 2 * j) % len(ENDINGS)]}{paths[(i + 3 * j) % len(paths)]}"
+            out.append((url, fold))
     return out
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled table as rows (host, path, verdict)."""
-    pairs = [(u, BLOCK) for u in table_of(UNWANTED, UNWANTED_PATHS)] + [(u, ALLOW) for u in table_of(ORDINARY, ORDINARY_PATHS)]
-    one = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(v).alias("verdict")) for u, v in pairs])).alias("r"))
-    return one.select(host_of(F.col("r.url")).alias("host"), path_of(F.col("r.url")).alias("path"), "r.verdict")
+    """The labelled table as rows (host, path, verdict, fold)."""
+    rows = [(u, BLOCK, f) for u, f in table_of(UNWANTED, UNWANTED_PATHS)] + [(u, ALLOW, f) for u, f in table_of(ORDINARY, ORDINARY_PATHS)]
+    one = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(v).alias("verdict"), F.lit(f).alias("fold")) for u, v, f in rows])).alias("r"))
+    return one.select(host_of(F.col("r.url")).alias("host"), path_of(F.col("r.url")).alias("path"), "r.verdict", "r.fold")
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, model: Model | None = None) -> DataFrame:
