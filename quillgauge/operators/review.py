@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.session import settle
+from ..functions.session import hot_join, number_rows, settle
 from .stats import quantiles, with_quantiles
 
 
@@ -90,30 +92,108 @@ def recommend_threshold(scores: DataFrame, w: int) -> DataFrame:
     return scores.withColumn("r", r).where(F.col("r") <= w).groupBy("key").agg(F.percentile("score", 0.5).alias("threshold"))
 
 
-def dynamic_gate(scores: DataFrame, every: int = 10) -> DataFrame:
-    """key, seq, lo, hi, in_range: quartiles of all scores so far, renewed every tenth step.
+#: Renewals of the quartiles in a block of steps, and values of a range of ranks.
+RENEWALS, RANGE = 800, 8000
 
-    A key's scores are merged into a sorted list step by step; null scores are
-    steps without a value.
-    """
 
-    def gate(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seq", kind="stable")
-        v = f["score"].to_numpy(dtype=float)
-        lo, hi, held = np.full(len(v), np.nan), np.full(len(v), np.nan), np.zeros(0)
-        for end in range(every, len(v) + 1, every):
-            new = np.sort(v[end - every : end])
-            new = new[~np.isnan(new)]
-            held = np.insert(held, np.searchsorted(held, new), new)
-            if len(held):
-                at = (len(held) - 1) * np.array([0.25, 0.75])
-                low, part = held[np.floor(at).astype(int)], at - np.floor(at)
-                q1, q3 = low + (held[np.ceil(at).astype(int)] - low) * part
-                lo[end - 1 : end - 1 + every], hi[end - 1 : end - 1 + every] = round(q1, 9), round(q3, 9)
-        return pd.DataFrame({"key": f["key"], "seq": f["seq"], "lo": lo, "hi": hi, "in_range": (v >= lo) & (v <= hi)})
+def order_places(steps: pd.DataFrame, before: np.ndarray, every: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the quartiles of a block's renewals stand.
 
+    ``steps`` (p, rank) are in order, ``before`` counts the values of earlier
+    blocks in each range of ranks.  Gives the steps of the renewals, how many
+    steps of the block lie up to each, the fraction between neighbours, and for
+    (renewal, quartile, neighbour) the range and the place in it.
+    """
+    p, rank = steps["p"].to_numpy(), steps["rank"].to_numpy()
+    at = np.flatnonzero((p + 1) % every == 0)
+    ranges = np.where(rank >= 0, rank // width, -1)
+    local = np.zeros((len(at), len(before)), np.int64)
+    for k, (a, b) in enumerate(pairwise([0, *(at + 1)])):
+        new = ranges[a:b]
+        local[k] = np.bincount(new[new >= 0], minlength=len(before))
+    upto = np.cumsum(before + np.cumsum(local, axis=0), axis=1)
+    held = upto[:, -1]
+    at, upto, held = at[held > 0], upto[held > 0], held[held > 0]
+    place = (held[:, None] - 1) * np.array([0.25, 0.75])
+    both = np.stack([np.floor(place), np.ceil(place)], axis=2).astype(np.int64)
+    which = (upto[:, None, None, :] <= both[..., None]).sum(axis=3)
+    ahead = np.concatenate([np.zeros((len(at), 1), np.int64), upto], axis=1)
+    return p[at], at + 1, place - np.floor(place), which, both - ahead[np.arange(len(at))[:, None, None], which]
+
+
+def counts_before(f: pd.DataFrame) -> np.ndarray:
+    """Counts of earlier values by range from rows (range, n)."""
+    own = f[f["n"].notna()]
+    out = np.zeros(int(own["range"].max()) + 1 if len(own) else 1, np.int64)
+    out[own["range"].to_numpy(dtype=np.int64)] = own["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def dynamic_gate(scores: DataFrame, every: int = 10, renewals: int = RENEWALS, width: int = RANGE) -> DataFrame:
+    """key, seq, lo, hi, in_range: quartiles of all scores so far, renewed every tenth step.
+
+    A key's steps are cut into blocks and its values, by their ranks, into
+    ranges.  Counts of the values in each block and range, added up over the
+    blocks, tell each block in which few ranges its quartiles lie; the earlier
+    values of these alone are brought to it.  A task holds a block of steps and
+    a few ranges of a key of any length.  Steps of the same seq are ordered by
+    score; null scores are steps without a value.
+    """
     kinds = dict(scores.dtypes)
-    return scores.select("key", "seq", F.col("score").cast("double").alias("score")).groupBy("key").applyInPandas(gate, f"key {kinds['key']}, seq {kinds['seq']}, lo double, hi double, in_range boolean")
+    size = every * renewals
+    v = F.when(~F.isnan(F.col("score").cast("double")), F.col("score").cast("double"))
+    rows = number_rows(scores.select(F.struct("key").alias("of"), "seq", v.alias("score")), "of", F.asc_nulls_first("seq"), F.asc_nulls_first("score"), name="p")
+    own = lambda df, number: df.groupBy("of").agg(F.min(number).alias("start"), F.count("*").alias("n"))
+    total = rows.count()
+    steps = hot_join(rows, own(rows, "p"), "of", total).withColumn("p", F.col("p") - F.col("start")).drop("start")
+    valued = number_rows(steps.where("score is not null"), "of", "score", "p", name="rank")
+    valued = settle(hot_join(valued, own(valued, "rank"), "of", total).withColumn("rank", F.col("rank") - F.col("start")).drop("start"), "ranked")
+    block, part = F.floor((F.col("p") + 1) / size).alias("block"), F.floor(F.col("rank") / width).alias("range")
+    steps = valued.unionByName(steps.where("score is null").withColumn("rank", F.lit(-1).cast("long"))).select("of", "seq", "score", "p", "rank", block)
+    cells = valued.select("of", block, part).groupBy("of", "block", "range").agg(F.count("*").alias("c"))
+    blocks, parts = steps.select("of", "block").distinct(), cells.select("of", "range").distinct()
+    grid = blocks.join(parts, "of").join(cells, ["of", "block", "range"], "left")  # blocks times ranges of a key
+    sofar = Window.partitionBy("of", "range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = settle(grid.select("of", "block", "range", F.coalesce(F.sum("c").over(sofar), F.lit(0)).alias("n")), "cells")
+
+    def find(key: tuple, f: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or not len(counts):
+            return pd.DataFrame({"of": pd.Series([], dtype=object), "block": [], "range": []})
+        which = np.unique(order_places(f.sort_values("p"), counts_before(counts), every, width)[3])
+        return pd.DataFrame({"of": pd.Series([key[0]] * len(which), dtype=object), "block": key[1], "range": which})
+
+    of = f"of struct<key: {kinds['key']}>"
+    needed = steps.select("of", "block", "p", "rank").groupBy("of", "block").cogroup(before.groupBy("of", "block")).applyInPandas(find, f"{of}, block long, range long")
+    earlier = valued.select("of", block.alias("from"), part, "rank", "score").join(needed, ["of", "range"]).where(F.col("from") < F.col("block"))
+    more = before.select("of", "block", "range", "n", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("double").alias("score"))
+    more = more.unionByName(earlier.select("of", "block", "range", F.lit(None).cast("long").alias("n"), "rank", "score"))
+
+    def gate(key: tuple, f: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("p", ignore_index=True)
+        lo, hi = np.full(len(f), np.nan), np.full(len(f), np.nan)
+        v, rank = f["score"].to_numpy(dtype=float), f["rank"].to_numpy()
+        if len(known):
+            at, upto, share, which, place = order_places(f, counts_before(known), every, width)
+            old = known[known["rank"].notna()]
+            pools = {r: (g["rank"].to_numpy(dtype=np.int64), g["score"].to_numpy()) for r, g in old.groupby("range")}
+            none = (np.zeros(0, np.int64), np.zeros(0))
+            inside = {r: np.flatnonzero((rank >= 0) & (rank // width == r)) for r in np.unique(which)}
+            for k in range(len(at)):
+                ends = np.empty((2, 2))
+                for q in range(2):
+                    for side in range(2):
+                        r = int(which[k, q, side])
+                        mine = inside[r][inside[r] < upto[k]]
+                        ranks = np.concatenate([pools.get(r, none)[0], rank[mine]])
+                        values = np.concatenate([pools.get(r, none)[1], v[mine]])
+                        ends[q, side] = values[np.argpartition(ranks, place[k, q, side])[place[k, q, side]]]
+                quart = ends[:, 0] + (ends[:, 1] - ends[:, 0]) * share[k]
+                a = upto[k] - 1
+                lo[a : a + every], hi[a : a + every] = round(quart[0], 9), round(quart[1], 9)
+        return pd.DataFrame({"of": pd.Series([key[0]] * len(f), dtype=object), "seq": f["seq"], "lo": lo, "hi": hi, "in_range": (v >= lo) & (v <= hi)})
+
+    out = steps.groupBy("of", "block").cogroup(more.groupBy("of", "block")).applyInPandas(gate, f"{of}, seq {kinds['seq']}, lo double, hi double, in_range boolean")
+    return out.select("of.key", "seq", "lo", "hi", "in_range")
 
 
 def threshold_path(scores: DataFrame) -> DataFrame:

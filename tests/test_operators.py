@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgauge.functions.session import number_rows
-from quillgauge.operators import chunks, gcr, graph, quality, simjoin, stats, vectors
+from quillgauge.operators import chunks, gcr, graph, quality, review, simjoin, stats, vectors
 from quillgauge.sources import files
 
 
@@ -220,6 +220,26 @@ def test_greedy_keep_over_long_chains(spark, monkeypatch, most):
     assert kept == {v for e in edges for v in e} - gone
 
 
+@pytest.mark.parametrize(("renewals", "width"), [(800, 8000), (3, 17)])
+def test_expanding_quartiles_in_blocks(spark, renewals, width):
+    rng = random.Random(5)
+    keys = {"long": 900, "short": 7, None: 65, "none": 25}
+    rows = [(k, i, None if k == "none" or rng.random() < 0.1 else rng.choice([0.5, round(rng.random(), 3), i / 900])) for k, n in keys.items() for i in range(n)]
+    got = {(r.key, r.seq): (r.lo, r.hi, r.in_range) for r in review.dynamic_gate(spark.createDataFrame(rows, "key string, seq long, score double").repartition(3), 10, renewals, width).collect()}
+    assert len(got) == len(rows)
+    for key in keys:
+        seen, lo, hi = [], None, None
+        for k, i, score in rows:
+            if k != key:
+                continue
+            seen += [] if score is None else [score]
+            if (i + 1) % 10 == 0 and seen:
+                lo, hi = (float(np.quantile(seen, q)) for q in (0.25, 0.75))
+            told = got[key, i]
+            assert (told[0] is None) == (lo is None) and (lo is None or (told[0], told[1]) == pytest.approx((lo, hi), abs=1e-8))
+            assert told[2] == (lo is not None and score is not None and told[0] <= score <= told[1])
+
+
 def test_rows_are_numbered_over_ranges(spark):
     d = spark.range(5000).repartition(6).select((F.col("id") * 7919 % 5003).alias("k"))
     got = [(r.k, r.number) for r in number_rows(d, "k").collect()]
