@@ -25,16 +25,13 @@ def sentence_texts(text: Column) -> Column:
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, pos, sentence, start, end: offsets in code points, found by the running length of all pieces."""
     pieces = F.regexp_extract_all("text", F.lit(r"[^\n.?!。？！；]*[.?!。？！；][\"'”’」』）)\]]*|[^\n.?!。？！；]+|\n"), F.lit(0))
-    ends = F.aggregate(
-        F.col("p"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:string,start:int>>").alias("out")),
-        lambda acc, p: F.struct((acc.at + F.length(p)).alias("at"), F.concat(acc.out, F.array(F.struct(p.alias("s"), acc.at.alias("start")))).alias("out")),
-    ).out
-    rows = docs.select("doc_id", pieces.alias("p")).select("doc_id", F.posexplode(ends).alias("raw", "x"))
-    lead = F.length(F.regexp_extract("x.s", r"^\s*", 0))
-    trimmed = F.regexp_replace("x.s", r"^\s+|\s+$", "")
-    rows = rows.select("doc_id", "raw", trimmed.alias("sentence"), (F.col("x.start") + lead).alias("start")).where("sentence <> ''")
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("raw")) - 1
-    return rows.select("doc_id", pos.alias("pos"), "sentence", "start", (F.col("start") + F.length("sentence")).alias("end"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), pieces.alias("p")).select("doc_id", "row", F.posexplode("p").alias("raw", "s"))
+    order = Window.partitionBy("row").orderBy("raw")
+    at = F.coalesce(F.sum(F.length("s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    lead = F.length(F.regexp_extract("s", r"^\s*", 0))
+    trimmed = F.regexp_replace("s", r"^\s+|\s+$", "")
+    rows = rows.select("doc_id", "row", "raw", trimmed.alias("sentence"), (at + lead).alias("start")).where("sentence <> ''")
+    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "sentence", "start", (F.col("start") + F.length("sentence")).alias("end"))
 
 
 def split_sentences(text: Column) -> Column:

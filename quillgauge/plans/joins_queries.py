@@ -146,6 +146,16 @@ def e12(spark, sf):
     return S.column_affinity(spark.range(1).select(F.explode(F.array(*cols)).alias("c")).select("c.*"))
 
 
+@query("e12_column_affinity_catalog", """
+WITH c AS (SELECT p_brand tb, p_partkey || '_' || replace(p_name, ' ', '_') cn FROM part), k AS (SELECT DISTINCT tb, cn, unnest(list_filter(string_split_regex(lower(cn), '[^a-z0-9]+'), lambda x: x <> '')) token FROM c),
+p AS (SELECT a.tb || '.' || a.cn source, b.tb || '.' || b.cn target, count(*) n FROM k a JOIN k b USING (token) WHERE (a.tb, a.cn) < (b.tb, b.cn) AND a.tb <> b.tb GROUP BY 1, 2)
+SELECT source, target, least(0.95, 0.45 + 0.25 * n)::DOUBLE score FROM p ORDER BY score DESC, source, target LIMIT 25""")
+def e12c(spark, sf):
+    """A catalog that is a table: parts as columns of the table that their brand is."""
+    name = F.concat_ws("_", F.col("p_partkey").cast("string"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    return S.column_affinity(table(spark, sf, "part").select(F.col("p_brand").alias("table_name"), name.alias("column_name")), 25)
+
+
 @query("e13_multi_hop_edges", f"""
 WITH {ENT_SQL}, n AS (SELECT vec_id id, embedding::DOUBLE[] embedding FROM embeddings), x AS (SELECT * FROM e WHERE id IN (SELECT id FROM n)), xn AS (SELECT id, count(*) n FROM x GROUP BY id), {PAIRS_SQL.format(t='x', n='xn')}
 SELECT 'summary' AS type, count(*) n, round(sum(list_cosine_similarity(a.embedding, b.embedding)), 1) total FROM n a, n b WHERE a.id < b.id AND list_cosine_similarity(a.embedding, b.embedding) > 0.3
