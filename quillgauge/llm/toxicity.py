@@ -13,7 +13,14 @@ Labels tell only whether a document is toxic.  The earlier categories are weak
 labels found in the labelled rows: the indicative word or stem that most toxic
 documents of no category yet have, with those that mostly occur beside it, makes
 a category, and a toxic document that has one of these belongs to it.  Such
-clusters follow the languages and manners of abuse; they have no names.
+clusters follow the languages and manners of abuse; they have no names.  For
+the out-of-fold predictions they are found anew without the documents of the
+fold, so a document's own label has no part in its prediction, and matched to
+those of all rows by the documents they share.  A kind of fewer than
+``MIN_DOCS`` toxic documents makes no category: where fewer kinds are found than
+the chain has places, the rest are constants, and later models do not use them.
+All documents of a category are toxic, so an earlier category that would speak
+against a later one is taken out of that model.
 
 Training fits on a bounded sample of labelled documents (``max_rows``, taken by
 a hash of the id).  What reaches the driver is the counts of words and stems of
@@ -185,12 +192,12 @@ class Bags:
         return np.where(chi >= LEAST_CHI2, np.minimum(1, chi / level) ** 2, 0.0)
 
 
-def weak_categories(bags: Bags, toxic: np.ndarray, how_many: int) -> list[np.ndarray]:
-    """Weak labels of the categories that the toxic documents fall into, the largest first; all 0 where there are no more."""
-    every, hit = np.ones(bags.n, bool), toxic > 0
-    df, pos = bags.counts(every), bags.counts(hit)
-    chi = chi_square(df, pos, bags.n, hit.sum())
-    indicative = (chi > 2 * np.log(max(bags.size, 2))) & (pos * max(bags.n, 1) > df * hit.sum())
+def weak_categories(bags: Bags, toxic: np.ndarray, how_many: int, used: np.ndarray) -> list[np.ndarray]:
+    """Weak labels of the categories that the toxic documents among those used fall into, the largest first; all 0 where there are no more."""
+    hit, n = (toxic > 0) & used, used.sum()
+    df, pos = bags.counts(used), bags.counts(hit)
+    chi = chi_square(df, pos, n, hit.sum())
+    indicative = (chi > 2 * np.log(max(bags.size, 2))) & (pos * max(n, 1) > df * hit.sum())
     out, open_ = [], hit.copy()
     for _ in range(how_many):
         covers = np.where(indicative, bags.counts(open_), 0)
@@ -205,10 +212,19 @@ def weak_categories(bags: Bags, toxic: np.ndarray, how_many: int) -> list[np.nda
     return out
 
 
-def fit_chain(features: list[str], bags: Bags, labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
-    """Fit the models in the order of ``labels``; ``folds`` numbers each row's fold."""
+def matched(found: list[np.ndarray], to: list[np.ndarray]) -> list[np.ndarray]:
+    """The categories found, in the order of those that they share most documents with."""
+    left, out = list(found), []
+    for y in to:
+        best = max(range(len(left)), key=lambda k: (float(left[k] @ y), -k))
+        out.append(left.pop(best))
+    return out
+
+
+def fit_chain(features: list[str], bags: Bags, labels: dict[str, np.ndarray], folds: np.ndarray, without: dict[int, dict[str, np.ndarray]] | None = None) -> Chain:
+    """Fit the models in the order of ``labels``; ``folds`` numbers each row's fold, ``without`` has the labels found without a fold."""
     weights, before, intercepts, earlier = [], [], [], np.zeros((bags.n, 0))
-    for y in labels.values():
+    for name, y in labels.items():
         if not bags.n or y.all() or not y.any():
             base = float(np.clip(y.mean() if bags.n else 0.0, 1e-9, 1 - 1e-9))
             weights.append(np.zeros(bags.size))
@@ -216,16 +232,28 @@ def fit_chain(features: list[str], bags: Bags, labels: dict[str, np.ndarray], fo
             intercepts.append(float(np.log(base / (1 - base))))
             earlier = np.hstack([earlier, np.full((bags.n, 1), base)])
             continue
-        fit = lambda used, y=y: fit_logistic(bags.row, bags.col, bags.scale(y, used), earlier, y, used)
+
+        def fit(used: np.ndarray, y: np.ndarray, earlier: np.ndarray = earlier) -> tuple[np.ndarray, np.ndarray]:
+            scale, own = bags.scale(y, used), np.flatnonzero(np.ptp(earlier, axis=0) > 0) if bags.n else np.zeros(0, int)
+            while True:
+                w, v = fit_logistic(bags.row, bags.col, scale, earlier[:, own], y, used)
+                if (v[:-1] >= 0).all():
+                    break
+                own = own[v[:-1] >= 0]
+            whole = np.zeros(earlier.shape[1] + 1)
+            whole[own], whole[-1] = v[:-1], v[-1]
+            return w, whole
+
         oof = np.zeros(bags.n)
         for f in np.unique(folds):
             out, rest = folds == f, folds != f
-            if rest.any() and 0 < y[rest].sum() < rest.sum():
-                w, v = fit(rest)
+            own = (without or {}).get(int(f), {}).get(name, y)
+            if rest.any() and 0 < own[rest].sum() < rest.sum():
+                w, v = fit(rest, own)
                 oof[out] = sigmoid(np.bincount(bags.row, w[bags.col], bags.n) + earlier @ v[:-1] + v[-1])[out]
             else:
-                oof[out] = y[rest].mean() if rest.any() else y.mean()
-        w, v = fit(np.ones(bags.n, bool))
+                oof[out] = own[rest].mean() if rest.any() else y.mean()
+        w, v = fit(np.ones(bags.n, bool), y)
         weights.append(w)
         before.append(tuple(map(float, v[:-1])))
         intercepts.append(float(v[-1]))
@@ -290,8 +318,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: i
     got = rows.mapInPandas(find, "doc_id long, toxic int, fold int, found binary").toPandas().sort_values("doc_id", kind="stable")
     bags = Bags([np.frombuffer(x, np.int32) for x in got["found"]], len(features))
     toxic = got["toxic"].to_numpy(dtype=float)
-    y = dict(zip(categories, weak_categories(bags, toxic, len(categories)), strict=True)) | {FINAL: toxic}
-    return fit_chain(features, bags, y, got["fold"].to_numpy(dtype=np.int64))
+    fold = got["fold"].to_numpy(dtype=np.int64)
+    kinds = weak_categories(bags, toxic, len(categories), np.ones(bags.n, bool))
+    without = {}
+    for f in np.unique(fold).tolist():
+        without[f] = dict(zip(categories, matched(weak_categories(bags, toxic, len(categories), fold != f), kinds), strict=True))
+    return fit_chain(features, bags, dict(zip(categories, kinds, strict=True)) | {FINAL: toxic}, fold, without)
 
 
 def predictor(chain: Chain):
