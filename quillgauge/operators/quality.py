@@ -54,11 +54,12 @@ COMPONENT_EDGES, ROUNDS = 200_000, 8
 
 def pass_over(f: pd.DataFrame) -> pd.DataFrame:
     """What a pass in the order of ids drops, given all edges of some components: each edge's later end, if the earlier one stays."""
-    gone: set = set()
-    for x, y in sorted(zip(f["x"], f["y"], strict=True)):  # when x comes, all edges into it have been met
+    plain = lambda v: tuple(v.values()) if isinstance(v, dict) else v
+    gone: dict = {}
+    for x, y, later in sorted(zip(map(plain, f["x"]), map(plain, f["y"]), range(len(f)), strict=True)):  # when x comes, all edges into it have been met
         if x not in gone:
-            gone.add(y)
-    return pd.DataFrame({"x": list(gone)})
+            gone.setdefault(y, later)
+    return pd.DataFrame({"x": pd.Series([f["y"].iloc[k] for k in gone.values()], dtype=object)})
 
 
 def greedy_keep(rows: DataFrame, edges: DataFrame) -> DataFrame:
