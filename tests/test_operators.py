@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgauge.functions.session import number_rows
-from quillgauge.operators import chunks, gcr, graph, quality, review, simjoin, stats, vectors
+from quillgauge.operators import chunks, gcr, graph, keywords, quality, review, simjoin, stats, vectors
 from quillgauge.sources import files
 
 
@@ -250,3 +250,15 @@ def test_list_literals(spark):
     texts = ["['a', 'b']", '["it\'s", "x, y"]', r"['it\'s', 'a\\b']", "[1, 2.5, None]", "[]", "no list", None, "['two\nlines']"]
     d = spark.createDataFrame([(t,) for t in texts], "t string").select(files.list_literal(F.col("t")).alias("l"))
     assert [r.l for r in d.collect()] == [["a", "b"], ["it's", "x, y"], ["it's", "a\\b"], ["1", "2.5", "None"], [], [], [], ["two\nlines"]]
+
+
+def test_top_tokens_are_counted_where_their_row_lies(spark):
+    texts = [(1, "beta alpha beta gamma alpha delta"), (2, None), (3, ""), (4, "x " * 5000 + "one two two")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    words = F.split("text", " ")
+    top = keywords.top_tokens(d, words, 3)
+    got = {(r.doc_id, r["rank"]): (r.token, r.n, r["first"]) for r in top.where("token <> ''").collect()}
+    assert got == {(1, 1): ("beta", 2, 0), (1, 2): ("alpha", 2, 1), (1, 3): ("gamma", 1, 3), (4, 1): ("x", 5000, 0), (4, 2): ("two", 2, 5001), (4, 3): ("one", 1, 5000)}
+    assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
+    twice = keywords.top_tokens(d.union(spark.createDataFrame([(1, "gamma gamma")], d.schema)), words, 1).where("doc_id = 1").collect()
+    assert [(r.token, r.n) for r in twice] == [("gamma", 3)]
