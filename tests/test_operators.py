@@ -262,3 +262,28 @@ def test_top_tokens_are_counted_where_their_row_lies(spark):
     assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
     twice = keywords.top_tokens(d.union(spark.createDataFrame([(1, "gamma gamma")], d.schema)), words, 1).where("doc_id = 1").collect()
     assert [(r.token, r.n) for r in twice] == [("gamma", 3)]
+
+
+@pytest.mark.parametrize("sets", [7, 4096])
+def test_block_join_counts_every_pair_where_it_lies(spark, monkeypatch, sets):
+    monkeypatch.setattr(simjoin, "SETS", sets)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    bags = {f"n{i}": set(rng.sample(words[: 1 + i % 40], min(1 + i % 9, 1 + i % 40))) for i in range(60)} | {"none": set()}
+    n = spark.createDataFrame([(i, sorted(b)) for i, b in bags.items()], "id string, e array<string>")
+    score = {"jaccard": lambda a, b: len(a & b) / len(a | b), "overlap": lambda a, b: len(a & b) / min(len(a), len(b)), "max": lambda a, b: len(a & b) / max(len(a), len(b))}
+    for measure, f in score.items():
+        want = {(i, j, len(bags[i] & bags[j]), round(f(bags[i], bags[j]), 9)) for i in bags for j in bags if i < j and bags[i] & bags[j] and f(bags[i], bags[j]) >= 0.2}
+        out = simjoin.set_join(n, "e", 0.2, measure)
+        assert {(r.i, r.j, r.common, round(r.score, 9)) for r in out.collect()} == want and want
+        assert "hashpartitioning(i" not in out._jdf.queryExecution().executedPlan().toString()  # pairs are not shuffled
+    shared = simjoin.set_join(n, "e", 0.2, "overlap", strict=True, shared=True).collect()
+    assert all(r.shared == sorted(bags[r.i] & bags[r.j]) and r.score > 0.2 for r in shared) and shared
+    few = n.where("id < 'n2'")
+    best = simjoin.lexical_search(few.withColumnRenamed("e", "tokens"), n.withColumnRenamed("e", "tokens"), 3, 0.05).collect()
+    for q in (r.id for r in few.collect()):
+        ranked = sorted((-score["jaccard"](bags[q], b), i) for i, b in bags.items() if bags[q] & b)
+        assert [r.id for r in sorted(best, key=lambda r: r["rank"]) if r.qid == q] == [i for s, i in ranked if s <= -0.05][:3]
+    monkeypatch.setattr(simjoin, "PREFIX_ROWS", -1)
+    want = {(i, j) for i in bags for j in bags if i < j and bags[i] & bags[j] and score["jaccard"](bags[i], bags[j]) >= 0.6}
+    assert {(r.i, r.j) for r in simjoin.set_join(n, "e", 0.6).collect()} == want and want
