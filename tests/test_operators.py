@@ -287,3 +287,11 @@ def test_block_join_counts_every_pair_where_it_lies(spark, monkeypatch, sets):
     monkeypatch.setattr(simjoin, "PREFIX_ROWS", -1)
     want = {(i, j) for i in bags for j in bags if i < j and bags[i] & bags[j] and score["jaccard"](bags[i], bags[j]) >= 0.6}
     assert {(r.i, r.j) for r in simjoin.set_join(n, "e", 0.6).collect()} == want and want
+
+
+def test_blocks_of_vectors_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(400)], "id long, v array<double>")
+    cells = vectors.cells_of(vectors.units(v, "id", "v"))
+    assert cells.parts.sum() < 32 + 64 and cells.size.sum() == 400
