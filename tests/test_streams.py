@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgauge.functions.session import fresh_path
 from quillgauge.streaming import envelopes as V
+from quillgauge.streaming import events as E
 from quillgauge.streaming import stateful as S
 
 
@@ -145,3 +146,10 @@ def test_empty_table(spark, name, tmp_path):
     registry.load()
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_open_numbers_are_the_gaps_less_what_filled_them(spark):
+    told = [(1, 5, 9, "gap"), (1, 20, 20, "gap"), (1, 30, 34, "gap"), (1, 5, 5, "filled"), (1, 7, 7, "filled"), (1, 20, 20, "filled"), (1, 34, 34, "filled"), (2, 3, 4, "gap")]
+    out = E.open_numbers(spark.createDataFrame(told, "source long, first long, last long, kind string"))
+    assert sorted(map(tuple, out.collect())) == [(1, 6), (1, 8), (1, 9), (1, 30), (1, 31), (1, 32), (1, 33), (2, 3), (2, 4)]
+    assert "hashpartitioning(source" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "missing" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
