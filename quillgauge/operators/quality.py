@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.session import discard, hot_join, settle
 from .graph import component_roots
-from .simjoin import cosine_join, pair_tokens, set_join
+from .simjoin import cosine_join, distinct_pairs, pair_tokens, set_join, token_sets
 
 
 def dedup_ingest(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -102,10 +102,17 @@ def greedy_keep(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(samples: DataFrame, t: float = 0.82, k: int = 4) -> DataFrame:
-    """Samples (id, text) that are not similar to a kept earlier one."""
+    """Samples (id, text) that are not similar to a kept earlier one.
+
+    What drops the first of several equal sets, or that one itself, drops the
+    others, so only the first takes part in the pass.
+    """
     sets = shingle_sets(samples, F.col("text"), k)
-    edges = set_join(sets, "s", t).select(F.col("i").alias("x"), F.col("j").alias("y"))
-    return greedy_keep(samples, edges)
+    if t < 0.5:
+        return greedy_keep(samples, set_join(sets, "s", t).select(F.col("i").alias("x"), F.col("j").alias("y")))
+    pairs, copies = distinct_pairs(settle(token_sets(sets, "s"), "sets"), t)
+    firsts = samples.join(copies.where("id <> rep").select("id"), "id", "left_anti")
+    return greedy_keep(firsts, pairs.select(F.col("i").alias("x"), F.col("j").alias("y")))
 
 
 def length_filter(samples: DataFrame, least: int = 12, most: int = 360, answer: int = 8) -> DataFrame:
