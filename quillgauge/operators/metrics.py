@@ -6,8 +6,10 @@ import difflib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,96 @@ def keyword_gate(mandatory: Column, optional: Column, text: Column, pass_at: flo
     return F.struct(score.alias("score"), (score >= pass_at).alias("passed"))
 
 
+#: Pairs of forms and words that are bounded at a time, and characters of those whose bound is their longest common subsequence.
+PAIRS, LETTERS = 1 << 18, 64
+
+
+@lru_cache(1 << 17)
+def ratio_of(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def in_common(forms: list[str], words: list[str], f: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of each pair forms[f], words[w], none of which has more than LETTERS characters.
+
+    A bit for each character of a form, all pairs side by side.
+    """
+    points = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    nf, nw = (np.array([len(x) for x in texts], np.int64) for texts in (forms, words))
+    letters, code = np.unique(points(forms), return_inverse=True)
+    masks = np.zeros((len(forms), len(letters) + 1), np.uint64)  # the last for letters that no form has
+    row = np.repeat(np.arange(len(forms)), nf)
+    np.bitwise_or.at(masks, (row, code), np.uint64(1) << (np.arange(len(row)) - (np.cumsum(nf) - nf)[row]).astype(np.uint64))
+    spelled = points(words)
+    at = np.minimum(np.searchsorted(letters, spelled), len(letters) - 1)
+    spelled = np.where(letters[at] == spelled, at, len(letters))
+    start = (np.cumsum(nw) - nw)[w]
+    order = np.argsort(-nw[w], kind="stable")  # pairs whose words go on come first
+    f, start, n = f[order], start[order], nw[w][order]
+    v = np.full(len(order), ~np.uint64(0))
+    for k in range(int(n[0]) if len(n) else 0):
+        m = int(np.searchsorted(-n, -k))
+        u = v[:m] & masks[f[:m], spelled[start[:m] + k]]
+        v[:m] = (v[:m] + u) | (v[:m] - u)
+    out = np.empty(len(order), np.int64)
+    width = nf[f].astype(np.uint64)
+    out[order] = np.bitwise_count(~v & (~np.uint64(0) >> (np.uint64(LETTERS) - width)))
+    return out
+
+
+def best_likeness(forms: pa.ListArray, words: pa.ListArray, texts: pa.Array, least: np.ndarray) -> np.ndarray:
+    """For each row the best ratio of difflib of a form to a word, or ``least`` if that is more.
+
+    Forms without a letter, and those of rows without words, are held against
+    the text; ideographic ones against nothing.  What matches is a common
+    subsequence, so the longest one bounds the ratio, and a row's pairs are
+    looked at from the highest bound down to its best ratio.
+    """
+    out = least.copy()
+    of, ow = (x.offsets.to_numpy() - x.offsets[0].as_py() for x in (forms, words))
+    ef, ew = (x.flatten().dictionary_encode() for x in (forms, words))
+    fs, ws = ef.dictionary.to_pylist(), ew.dictionary.to_pylist()
+    ef, ew = (x.indices.to_numpy(zero_copy_only=False) for x in (ef, ew))
+    row = np.repeat(np.arange(len(forms)), np.diff(of))
+    many = np.diff(ow)[row]
+    told = np.array([not re.search("[一-鿿]", x) for x in fs], bool)[ef]
+    worded = np.array([bool(re.search(r"\w", x)) for x in fs], bool)[ef] & (many > 0)
+    for e in np.flatnonzero(told & ~worded).tolist():
+        out[row[e]] = max(out[row[e]], difflib.SequenceMatcher(None, fs[ef[e]], texts[int(row[e])].as_py()).ratio())
+    entries = np.flatnonzero(told & worded)
+    lf, lw = (np.array([len(x) for x in texts_], np.int64) for texts_ in (fs, ws))
+    ends, at = np.cumsum(many[entries]), 0
+    while at < len(entries):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        here = entries[at:to]
+        n = many[here]
+        e = np.repeat(here, n)
+        w = ew[ow[row[e]] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)]
+        f, r = ef[e], row[e]
+        common = np.minimum(lf[f], lw[w])
+        some = np.flatnonzero(2.0 * common / (lf[f] + lw[w]) > out[r])
+        f, w, r, common = f[some], w[some], r[some], common[some]
+        short = np.flatnonzero((lf[f] <= LETTERS) & (lw[w] <= LETTERS))
+        if len(short):
+            uf, cf = np.unique(f[short], return_inverse=True)
+            uw, cw = np.unique(w[short], return_inverse=True)
+            common[short] = in_common([fs[k] for k in uf.tolist()], [ws[k] for k in uw.tolist()], cf, cw)
+        bound = 2.0 * common / (lf[f] + lw[w])
+        some = np.flatnonzero(bound > out[r])
+        some = some[np.lexsort((-bound[some], r[some]))]
+        decided = -1
+        for x, b, i, j in zip(r[some].tolist(), bound[some].tolist(), f[some].tolist(), w[some].tolist(), strict=True):
+            if x == decided:
+                continue
+            if b <= out[x]:
+                decided = x  # the others of this row have lower bounds
+                continue
+            ratio_ = ratio_of(fs[i], ws[j]) if max(len(fs[i]), len(ws[j])) <= LETTERS else difflib.SequenceMatcher(None, fs[i], ws[j]).ratio()
+            out[x] = max(out[x], ratio_)
+        at = to
+    return out
+
+
 def keyword_match(items: DataFrame, synonyms: DataFrame, fuzzy: bool = False, weight: float = 0.75) -> DataFrame:
     """item_id, score, matched, total, missing; items: item_id, keywords, text; synonyms: keyword, synonym.
 
@@ -53,11 +145,12 @@ def keyword_match(items: DataFrame, synonyms: DataFrame, fuzzy: bool = False, we
     are words of the text and, with ``fuzzy``, the best ratio of difflib to one
     of them.  It is matched from 0.5 up; no keywords score 1.
     """
-    k = items.select("item_id", F.lower("text").alias("t"), F.explode_outer(F.transform("keywords", lambda x: F.lower(F.trim(x)))).alias("keyword"))
+    texts = items.select("item_id", "keywords", F.lower("text").alias("t")).withColumn("w", T.token_set(F.col("t")))  # once a text, not once a keyword
+    k = texts.select("item_id", "t", "w", F.explode_outer(F.transform("keywords", lambda x: F.lower(F.trim(x)))).alias("keyword"))
     s = synonyms.groupBy(F.lower("keyword").alias("keyword")).agg(F.collect_set(F.lower("synonym")).alias("syn"))
     k = k.join(s, "keyword", "left")
     forms = F.array_distinct(F.filter(F.concat(F.array("keyword", F.replace("keyword", F.lit(" "), F.lit(""))), F.coalesce("syn", F.array().cast("array<string>"))), lambda f: f != ""))
-    k = k.withColumns({"forms": forms, "w": T.token_set(F.col("t"))})
+    k = k.withColumn("forms", forms)
     present = F.exists("forms", lambda f: F.col("t").contains(f))
 
     def share(form: Column) -> Column:
@@ -70,14 +163,15 @@ def keyword_match(items: DataFrame, synonyms: DataFrame, fuzzy: bool = False, we
     best = F.coalesce(F.array_max(F.transform("forms", share)), F.lit(0.0))
     if fuzzy:
 
-        @F.pandas_udf("double")
-        def likeness(open_: pd.Series, forms: pd.Series, words: pd.Series, texts: pd.Series) -> pd.Series:
-            def one(form: str, words: list[str], text: str) -> float:
-                return max((difflib.SequenceMatcher(None, form, w).ratio() for w in (words if len(words) and re.search(r"\w", form) else [text])), default=0.0)
-
-            return pd.Series([max((one(f, w, t) for f in fs if not re.search("[一-鿿]", f)), default=0.0) if o else 0.0 for o, fs, w, t in zip(open_, forms, words, texts, strict=True)], dtype=float)
+        @F.arrow_udf("double")
+        def likeness(open_: pa.Array, best: pa.Array, forms: pa.Array, words: pa.Array, texts: pa.Array) -> pa.Array:
+            out = best.to_numpy(zero_copy_only=False).copy()
+            rows = np.flatnonzero(open_.to_numpy(zero_copy_only=False))
+            some = pa.array(rows)
+            out[rows] = best_likeness(forms.take(some), words.take(some), texts.take(some), out[rows])
+            return pa.array(out)
 
-        best = F.greatest(best, likeness(F.coalesce(~present, F.lit(False)), "forms", "w", F.coalesce("t", F.lit(""))))
+        best = likeness(F.coalesce(~present, F.lit(False)), best, "forms", "w", F.coalesce("t", F.lit("")))
     one = F.when(F.col("keyword").isNull(), None).when(F.coalesce(present, F.lit(False)), 1.0).otherwise(best * weight)
     k = k.withColumn("one", one)
     missing = F.array_sort(F.collect_list(F.when(F.col("one") < 0.5, F.col("keyword"))))

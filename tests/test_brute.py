@@ -2,10 +2,12 @@
 
 import difflib
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +293,21 @@ def test_gaps_stay_open_until_they_are_filled():
             seen |= set(some.tolist())
             missing = set(range(min(seen), max(seen) + 1)) - seen
             assert {x for a, b in gaps for x in range(a, b + 1)} == missing == {x for x, n in told.items() if n}
+
+
+@pytest.mark.parametrize("pairs", [1 << 18, 7])
+def test_best_likeness_bounds_leave_no_better_word_out(monkeypatch, pairs):
+    monkeypatch.setattr(metrics, "PAIRS", pairs)
+    draw = random.Random(5)
+    word = lambda most: "".join(draw.choice("abcdeé ") for _ in range(draw.randint(1, most)))
+    rows = [([word(12) for _ in range(draw.randint(0, 3))], [word(9).replace(" ", "") or "x" for _ in range(draw.randint(0, 40))], word(30), draw.choice([0.0, 0.5])) for _ in range(150)]
+    rows += [(["?!", "温 度", "a" * 70], ["b" * 80 + "a" * 60, "温"], "a?!", 0.0), (["a" * 64], ["a" * 64, "b" * 63 + "a"], "", 0.25)]
+    likeness = lambda f, w: difflib.SequenceMatcher(None, f, w).ratio()
+    calls = []
+    monkeypatch.setattr(metrics, "ratio_of", lambda f, w: calls.append(1) or likeness(f, w))
+    lists = lambda k: pa.array([r[k] for r in rows], pa.list_(pa.string()))
+    got = metrics.best_likeness(lists(0), lists(1), pa.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
+    for (forms, words, text, least), best in zip(rows, got, strict=True):
+        told = [f for f in forms if not re.search("[一-鿿]", f)]
+        assert best == max([least] + [likeness(f, w) for f in told for w in (words if words and re.search(r"\w", f) else [text])])
+    assert len(calls) < sum(len(r[0]) * len(r[1]) for r in rows) / 3
