@@ -47,10 +47,13 @@ KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBL
 TIME = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
 
 
-def first_broken(value: Column, fields: tuple[Field, ...], at: str = "") -> list[tuple[Column, str]]:
-    """(condition, reason) of an object's rules, in the order in which they are put: presence, kind, bounds, unknown fields."""
+def keys_of(value: Column) -> Column:
+    return F.json_object_keys(F.to_json(value))
+
+
+def first_broken(value: Column, keys: Column, fields: tuple[Field, ...], at: str = "") -> list[tuple[Column, str]]:
+    """(condition, reason) of the rules of an object with these keys, in the order in which they are put: presence, kind, bounds, unknown fields."""
     get = lambda f, kind="variant": F.try_variant_get(value, f"$.{f.name}", kind)
-    keys = F.json_object_keys(F.to_json(value))
     rules = [(~F.array_contains(keys, f.name), f"missing {at}{f.name}") for f in fields if f.required]
     for f in fields:
         there = F.array_contains(keys, f.name)
@@ -77,23 +80,29 @@ def judge_envelopes(raw: DataFrame, col: str = "value", fields: tuple[Field, ...
     Payloads are checked by the schema of their event; those of events without
     one may hold anything.
     """
-    e = F.try_parse_json(col)
+    # what many rules ask for are columns of their own, so that a row has them computed once
+    parts = {"envelope": F.try_parse_json(col), "__keys": keys_of(F.col("envelope"))}
     rules = [(~F.coalesce(F.schema_of_variant(F.col("envelope")).startswith("OBJECT"), F.lit(False)), "not an object")]
-    rules += first_broken(F.col("envelope"), fields)
+    rules += first_broken(F.col("envelope"), F.col("__keys"), fields)
     if fields is EVENT:
-        name, payload = F.try_variant_get("envelope", "$.event", "string"), F.try_variant_get("envelope", "$.payload", "variant")
-        for event, own in (PAYLOADS if payloads is None else payloads).items():
-            rules += [((name == event) & c, r) for c, r in first_broken(payload, own, "payload.")]
-    reason = F.coalesce(*[F.when(c, F.lit(r)) for c, r in rules])
-    return raw.withColumn("envelope", e).withColumn("reason", reason)
+        schemas = PAYLOADS if payloads is None else payloads
+        parts["__name"] = F.try_variant_get("envelope", "$.event", "string")
+        parts["__payload"] = F.try_variant_get("envelope", "$.payload", "variant")
+        parts["__own"] = F.when(F.col("__name").isin(*schemas), keys_of(F.col("__payload")))
+        for event, own in schemas.items():
+            rules += [((F.col("__name") == event) & c, r) for c, r in first_broken(F.col("__payload"), F.col("__own"), own, "payload.")]
+    out = raw
+    for name, c in parts.items():
+        out = out.withColumn(name, c)
+    return out.withColumn("reason", F.coalesce(*[F.when(c, F.lit(r)) for c, r in rules])).drop(*[c for c in parts if c != "envelope"])
 
 
 def reasons(fields: tuple[Field, ...] = EVENT, payloads: dict[str, tuple[Field, ...]] | None = None) -> list[str]:
     """All reasons there can be."""
-    some = F.lit(None).cast("string")
-    out = ["not an object", *[r for _, r in first_broken(some, fields)]]
+    some = F.lit(None).cast("array<string>")
+    out = ["not an object", *[r for _, r in first_broken(some, some, fields)]]
     if fields is EVENT:
-        out += [r for own in (PAYLOADS if payloads is None else payloads).values() for _, r in first_broken(some, own, "payload.")]
+        out += [r for own in (PAYLOADS if payloads is None else payloads).values() for _, r in first_broken(some, some, own, "payload.")]
     return list(dict.fromkeys(out))
 
 

@@ -153,3 +153,8 @@ def test_open_numbers_are_the_gaps_less_what_filled_them(spark):
     out = E.open_numbers(spark.createDataFrame(told, "source long, first long, last long, kind string"))
     assert sorted(map(tuple, out.collect())) == [(1, 6), (1, 8), (1, 9), (1, 30), (1, 31), (1, 32), (1, 33), (2, 3), (2, 4)]
     assert "hashpartitioning(source" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "missing" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_keys_of_an_envelope_are_taken_once(spark):
+    judged = V.judge_envelopes(spark.createDataFrame([(v,) for v, _ in ENVELOPES], "value string"))
+    assert str(judged._jdf.queryExecution().optimizedPlan()).count("jsonObjectKeys") == 2  # its own and those of its payload
