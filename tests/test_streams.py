@@ -158,3 +158,17 @@ def test_open_numbers_are_the_gaps_less_what_filled_them(spark):
 def test_keys_of_an_envelope_are_taken_once(spark):
     judged = V.judge_envelopes(spark.createDataFrame([(v,) for v, _ in ENVELOPES], "value string"))
     assert str(judged._jdf.queryExecution().optimizedPlan()).count("jsonObjectKeys") == 2  # its own and those of its payload
+
+
+def test_sources_of_a_bucket_keep_their_own_silences(spark):
+    beat, start = 15, 1_704_067_200
+    events = sorted((start + k * 37 % 900, None if k % 31 == 0 else (k * k) % 31) for k in range(300))
+    cut = [events[:90], events[90:200], events[200:], [(start + 900 + 90, 99)]]
+    frame = lambda part: spark.createDataFrame(part, "at long, source long").select("source", F.timestamp_seconds("at").alias("timestamp"))
+    told = S.fed(spark, [frame(p) for p in cut], lambda x: S.watch_sources(x, beat_seconds=beat, late="1 minute", buckets=3), "t")
+    want = []
+    for source in {s for _, s in events}:
+        own = [t for t, s in events if s == source]
+        want += [(source, a) for a, b in zip(own, [*own[1:], start + 2000]) if b - a >= 2 * beat]
+    got = [(r.source, r.at) for r in told.select("source", F.unix_seconds("last_seen").alias("at")).collect()]
+    assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1])) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
