@@ -172,3 +172,20 @@ def test_sources_of_a_bucket_keep_their_own_silences(spark):
         want += [(source, a) for a, b in zip(own, [*own[1:], start + 2000]) if b - a >= 2 * beat]
     got = [(r.source, r.at) for r in told.select("source", F.unix_seconds("last_seen").alias("at")).collect()]
     assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1])) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def test_stages_of_an_id_share_one_state_and_keep_every_pair(spark):
+    stages, within = ("x", "y", "z"), 600
+    draw = [(k * 7 % 23 if k % 19 else None, "xyzw"[k * k % 4 if k % 5 else k % 3], 1_704_067_200 + k * 211 % 5400) for k in range(200)]
+    frame = lambda part: spark.createDataFrame(part, "id long, event string, at long").select("id", "event", F.timestamp_seconds("at").alias("timestamp"))
+    end = [(-1, "x", 1_704_067_200 + 90_000)]
+    streams = []
+    got = S.fed(spark, [frame(draw), frame(end)], lambda x: streams.append(S.stage_lags(x, stages, "10 minutes")) or streams[-1], "t").where("id is null or id >= 0")
+    assert "Join" not in streams[0]._jdf.queryExecution().analyzed().toString()
+    want = []
+    for before, after in (("x", "y"), ("y", "z")):
+        a, b = ([(i, t) for i, e, t in draw if e == s] for s in (before, after))
+        both = [(i, s, t) for i, s in a for j, t in b if i is not None and i == j and abs(s - t) <= within]
+        want += [(after, *p) for p in both] + [(after, i, s, None) for i, s in a if (i, s) not in {p[:2] for p in both}] + [(after, i, None, t) for i, t in b if (i, t) not in {(p[0], p[2]) for p in both}]
+    rows_ = [(r.stage, r.id, r.a, r.b) for r in got.select("stage", "id", F.unix_seconds("at_before").alias("a"), F.unix_seconds("at_after").alias("b")).collect()]
+    assert sorted(rows_, key=str) == sorted(want, key=str)
