@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.session import discard, hot_join, settle
 from .graph import component_roots
-from .simjoin import cosine_join, distinct_pairs, pair_tokens, set_join, token_sets
+from .simjoin import PREFIX_ROWS, cosine_join, counted_pairs, distinct_pairs, pair_tokens, set_join, token_sets
 
 
 def dedup_ingest(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -132,22 +133,34 @@ def ratio_candidates(texts: DataFrame, t: float) -> DataFrame:
     where it stands in the other one, so the texts share 5 m - 2 s - 2 trigrams
     or more, counted with repeats; texts of n characters at most differ so that
     s >= 2 n / (2 - t).  Trigrams are numbered by occurrence and the rare prefix
-    of each text that this bound leaves is joined.  Where s is so small that the
-    bound asks for no trigram, pairs are joined by their lengths.
+    of each text that this bound leaves is joined, or, where prefixes meet too
+    often, whole texts are counted in blocks, which shuffle no pair.  Trigrams
+    go by 64-bit hashes.  Where s is so small that the bound asks for no trigram,
+    pairs are joined by their lengths.
     """
     need = lambda s: F.ceil((2.5 * t - 2) * s - 2 - 1e-9)
     n = F.length("norm")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda k: F.substring(F.col("norm"), k, F.lit(3)))
     rows = texts.select("id", n.alias("n"), F.posexplode(grams).alias("pos", "gram"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))).select("id", "n", F.concat("gram", "k").alias("gram"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))).select("id", "n", F.xxhash64("gram", "k").alias("gram"))
     df = rows.groupBy("gram").agg(F.count("*").alias("df"))
     sets = settle(rows.join(df, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g")).select("id", "n", F.transform("g", lambda x: x.gram).alias("g")), "grams")
     least = F.greatest(need(2 * F.col("n") / (2 - t)), F.lit(1))
     index = sets.select("id", "n", F.explode(F.slice("g", 1, F.greatest(F.size("g") - least + 1, F.lit(0)).cast("int"))).alias("g"))
     fits = 2 * F.least("ni", "nj") >= t * (F.col("ni") + F.col("nj")) - 1e-9
-    cand = pair_tokens(index.withColumnRenamed("g", "token")).where(fits).select("i", "j", "ni", "nj").distinct()
-    both = cand.join(sets.select(F.col("id").alias("i"), F.col("g").alias("gi")), "i").join(sets.select(F.col("id").alias("j"), F.col("g").alias("gj")), "j")
-    out = both.where(F.size(F.array_intersect("gi", "gj")) >= need(F.col("ni") + F.col("nj"))).select("i", "j")
+    met = index.groupBy("g").agg((F.count("*") * (F.count("*") - 1.0)).alias("p")).agg(F.sum("p")).first()[0] or 0
+    if met > sets.count() * PREFIX_ROWS:
+
+        def least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            a, b = a.astype(np.float64) + 2, b.astype(np.float64) + 2  # characters; a text of one or two counts as one of three, which asks for less or no more than the one shared trigram
+            return np.where(2 * np.minimum(a, b) >= t * (a + b) - 1e-3, (2.5 * t - 2) * (a + b) - 2, np.inf)
+
+        lists = sets.select("id", F.col("g").alias("tokens"), F.size("g").alias("n"))
+        out = counted_pairs(lists, least_shared).select("i", "j")
+    else:
+        cand = pair_tokens(index.withColumnRenamed("g", "token")).where(fits).select("i", "j", "ni", "nj").distinct()
+        both = cand.join(sets.select(F.col("id").alias("i"), F.col("g").alias("gi")), "i").join(sets.select(F.col("id").alias("j"), F.col("g").alias("gj")), "j")
+        out = both.where(F.size(F.array_intersect("gi", "gj")) >= need(F.col("ni") + F.col("nj"))).select("i", "j")
     most = 3 / (2.5 * t - 2) if t > 0.8 else float("inf")
     if most * (1 - t) <= 1:
         return out  # different texts of so few characters miss the ratio

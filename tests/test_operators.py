@@ -128,6 +128,13 @@ def test_fuzzy_dedup_is_the_sequential_pass(spark, t):
     assert sorted(r.id for r in got.collect()) == kept
 
 
+@pytest.mark.parametrize("t", [0.92, 0.7])
+def test_fuzzy_dedup_in_blocks_is_the_same_pass(spark, monkeypatch, t):
+    monkeypatch.setattr(quality, "PREFIX_ROWS", -1)
+    monkeypatch.setattr(simjoin, "SETS", 16)
+    test_fuzzy_dedup_is_the_sequential_pass(spark, t)
+
+
 def test_hot_tokens_meet_in_slices(spark, monkeypatch):
     monkeypatch.setattr(simjoin, "SLICE", 7)
     rng = random.Random(3)
