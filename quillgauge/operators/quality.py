@@ -143,7 +143,7 @@ def ratio_candidates(texts: DataFrame, t: float) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda k: F.substring(F.col("norm"), k, F.lit(3)))
     rows = texts.select("id", n.alias("n"), F.posexplode(grams).alias("pos", "gram"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))).select("id", "n", F.xxhash64("gram", "k").alias("gram"))
-    df = rows.groupBy("gram").agg(F.count("*").alias("df"))
+    df = rows.groupBy("gram").agg(F.count("*").alias("df")).hint("merge")  # Spark takes the trigrams to be as small as the texts, and would broadcast them
     sets = settle(rows.join(df, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g")).select("id", "n", F.transform("g", lambda x: x.gram).alias("g")), "grams")
     least = F.greatest(need(2 * F.col("n") / (2 - t)), F.lit(1))
     index = sets.select("id", "n", F.explode(F.slice("g", 1, F.greatest(F.size("g") - least + 1, F.lit(0)).cast("int"))).alias("g"))
@@ -159,12 +159,12 @@ def ratio_candidates(texts: DataFrame, t: float) -> DataFrame:
         out = counted_pairs(lists, least_shared).select("i", "j")
     else:
         cand = pair_tokens(index.withColumnRenamed("g", "token")).where(fits).select("i", "j", "ni", "nj").distinct()
-        both = cand.join(sets.select(F.col("id").alias("i"), F.col("g").alias("gi")), "i").join(sets.select(F.col("id").alias("j"), F.col("g").alias("gj")), "j")
+        both = cand.join(sets.select(F.col("id").alias("i"), F.col("g").alias("gi")).hint("merge"), "i").join(sets.select(F.col("id").alias("j"), F.col("g").alias("gj")).hint("merge"), "j")
         out = both.where(F.size(F.array_intersect("gi", "gj")) >= need(F.col("ni") + F.col("nj"))).select("i", "j")
     most = 3 / (2.5 * t - 2) if t > 0.8 else float("inf")
     if most * (1 - t) <= 1:
         return out  # different texts of so few characters miss the ratio
-    lengths = texts.select("id", n.alias("n"))
+    lengths = texts.select("id", n.alias("n")).hint("merge")
     x = lengths.select(F.col("id").alias("i"), F.col("n").alias("ni"), F.explode(F.sequence(F.floor(F.col("n") * t / (2 - t)), F.ceil(F.col("n") * (2 - t) / t))).alias("nj"))
     short = x.join(lengths.select(F.col("id").alias("j"), F.col("n").cast("long").alias("nj")), "nj").where("i < j").where(fits)
     return out.union(short.where(F.col("ni") + F.col("nj") < most).select("i", "j")).distinct()
@@ -178,7 +178,7 @@ def fuzzy_dedup(samples: DataFrame, t: float = 0.92) -> DataFrame:
     """
     rows = samples.withColumn("norm", normalized(F.col("question")))
     first = rows.groupBy("norm").agg(F.min("id").alias("id"))
-    base = rows.join(first.select("id"), "id", "left_semi")
+    base = rows.join(first.select("id").hint("merge"), "id", "left_semi")
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -186,7 +186,8 @@ def fuzzy_dedup(samples: DataFrame, t: float = 0.92) -> DataFrame:
 
     text = settle(base.select("id", "norm"), "texts")
     cand = ratio_candidates(text, t)
-    both = cand.join(text.select(F.col("id").alias("i"), F.col("norm").alias("a")), "i").join(text.select(F.col("id").alias("j"), F.col("norm").alias("b")), "j")
+    side = lambda i, a: text.select(F.col("id").alias(i), F.col("norm").alias(a)).hint("merge")
+    both = cand.join(side("i", "a"), "i").join(side("j", "b"), "j")
     edges = both.where(ratio("b", "a") >= t).select(F.col("i").alias("x"), F.col("j").alias("y"))
     return greedy_keep(base, edges).drop("norm")
 
